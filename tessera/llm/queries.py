@@ -7,11 +7,13 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op4_langid
 from .media import op10_media
 from .mixing import OP2_SQL, op2_mixing
+from .ngram_join import OP1_SQL, op1_ngram_join
 from .sharding import OP3_SQL, op3_sharding
 from .token_counts import op7_token_counts
 from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_langid": op4_langid,
@@ -21,4 +23,4 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op10_media": op10_media,
 }
-SQL = {"op2_mixing": OP2_SQL, "op3_sharding": OP3_SQL, "op6_warc": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+SQL = {"op1_ngram_join": OP1_SQL, "op2_mixing": OP2_SQL, "op3_sharding": OP3_SQL, "op6_warc": OP6_SQL, "op8_exact_dedup": OP8_SQL}
