@@ -11,6 +11,10 @@ band by cost; each set also leaves out its e least selective segments, which cos
 guaranteed matches and is paid for by a larger m. Pairs with as many matches as their sizes
 demand are then verified on the whole sets.
 
+A band's segments are dealt to G buckets, so that some bucket has a G-th part of the matches a
+pair needs; pairs with fewer are dropped where they are found. Where a single segment overfills
+a bucket it is split by signature, and the parts' matches are summed.
+
 Signatures travel in packed binary blocks, one a batch and bucket, so that the shuffle carries
 under five bytes a signature and no row a signature. A 64-bit sum of hashes stands for a set and
 48 bits for an n-gram when verifying; a clash of either has a chance below 1e-8 a pair.
@@ -33,9 +37,9 @@ NGRAM = 2
 THRESHOLD = Fraction(3, 4)
 #: Signatures that a worker gathers before it packs them, and that a bucket has on average.
 FLUSH_SIGNATURES = 3_000_000
-BUCKET_SIGNATURES = 10_000_000
-#: Signatures a byte of text, about; only sizes the buckets.
-SIGNATURES_A_BYTE = 0.35
+BUCKET_SIGNATURES = 5_000_000
+#: Distinct n-grams a byte of text, about; only sizes the buckets.
+GRAMS_A_BYTE = 0.14
 #: Pairs that a worker holds at once.
 PAIR_CHUNK = 4_000_000
 #: Pairs verified in one group of documents.
@@ -128,6 +132,35 @@ class Plan:
         for a in ("lo", "hi", "m", "k", "e"):
             setattr(self, a, np.array(getattr(self, a), np.int64))
 
+    def lay_out(self, lengths: list[tuple[float, int]], limit: int = BUCKET_SIGNATURES) -> int:
+        """Deal the bands' segments to buckets of about ``limit`` signatures; returns the number of buckets.
+
+        ``lengths``: (mean bytes, documents) of groups of texts. Sets, for each band, the first
+        bucket, the buckets its segments are dealt to, and the parts a segment is split into.
+        """
+        volume = np.zeros(len(self.hi))
+        for mean, docs in lengths:
+            n = max(1.0, mean * GRAMS_A_BYTE)
+            b = int(self.band(np.array([n]))[0])
+            for i in (b, b - 1):
+                if i >= 0:
+                    volume[i] += docs * (self.m[i] + n * self.k[i])
+        self.start, self.dealt, self.split = (np.ones(len(volume), np.int64) for _ in range(3))
+        at = filled = 0
+        for i, v in enumerate(volume):
+            if v <= limit:
+                if filled + v > limit:
+                    at, filled = at + 1, 0
+                filled += v
+                self.start[i] = at
+            else:
+                at += filled > 0
+                self.start[i] = at
+                self.dealt[i] = min(self.m[i], -(-v // limit))
+                self.split[i] = max(1, -(-v // (self.dealt[i] * limit)))
+                at, filled = at + self.dealt[i] * self.split[i], 0
+        return int(at + 1)
+
     def differences(self, a, b):
         """n-grams that differ, at most, between sets of sizes a and b that reach the threshold."""
         t = self.threshold
@@ -166,7 +199,7 @@ class Plan:
 
 
 def signatures(plan: Plan, grams: np.ndarray, per: np.ndarray, weight: np.ndarray):
-    """(signature, set, deletion?, prober?) arrays of sets in a row.
+    """(signature, bucket, set, deletion?, prober?) arrays of sets in a row.
 
     A set has signatures in its own band, and as a prober in the band below if that may hold a
     partner. ``weight`` is each n-gram's rarity, which decides what segments are left out.
@@ -204,10 +237,17 @@ def signatures(plan: Plan, grams: np.ndarray, per: np.ndarray, weight: np.ndarra
         rank[order] = np.arange(total)
         keep = rank - base[own] >= e[own]
         at = np.nonzero(keep)[0]
-        yield mix(sums[at] + salt[at]), sets[own[at]], False, probe
+        first, parts = plan.start[b][own] + seg % plan.dealt[b][own] * plan.split[b][own], plan.split[b][own]
+
+        def placed(sig, slots):
+            return first[slots] + ((sig >> U(40)).astype(np.int64) * parts[slots] >> 24)
+
+        sig = mix(sums[at] + salt[at])
+        yield sig, placed(sig, at), sets[own[at]], False, probe
         drop = keep[slot] & (k[of] > 0)
         s = slot[drop]
-        yield mix(sums[s] - hashed[drop] + salt[s]), sets[of[drop]], True, probe
+        sig = mix(sums[s] - hashed[drop] + salt[s])
+        yield sig, placed(sig, s), sets[of[drop]], True, probe
 
 
 _HEAD = np.dtype([("kind", "<u4"), ("docs", "<u4"), ("entries", "<u4"), ("tops", "<u4")])
@@ -269,12 +309,12 @@ def _sign(plan: Plan, buckets: int, n: int):
         if len(p):
             _, inverse, df = np.unique(g, return_inverse=True, return_counts=True)
             weight = np.log2((len(p) + 1) / df)[inverse]
-            parts = [(s, d.astype(np.uint32) << np.uint32(2) | np.uint32(2 * dele + probe)) for s, d, dele, probe in signatures(plan, g, p, weight)]
-            sig, who = (np.concatenate(x) for x in zip(*parts))
-            bucket = ((sig >> U(32)) * U(buckets) >> U(32)).astype(np.uint32)
-            order = np.argsort(bucket, kind="stable") if buckets > 1 else np.arange(len(sig))
-            sig, who = sig[order].astype(np.uint32), who[order]
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            parts = [(s.astype(np.uint32), at.astype(np.uint32), d.astype(np.uint32) << np.uint32(2) | np.uint32(2 * dele + probe)) for s, at, d, dele, probe in signatures(plan, g, p, weight)]
+            sig, bucket, who = (np.concatenate(x) for x in zip(*parts))
+            del parts, inverse, weight
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable") if buckets > 1 else np.arange(len(sig))
+            sig, who = sig[order], who[order]
+            edge = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
             for i in np.nonzero(np.diff(edge))[0]:
                 rows.append((int(i), pack(sig[edge[i] : edge[i + 1]], who[edge[i] : edge[i + 1]], u, p)))
         named = per > 0
@@ -374,6 +414,10 @@ def _match(plan: Plan):
                 if len(pair) > PAIR_CHUNK or to == len(first):
                     p, q = (pair >> U(32)).astype(np.int64), (pair & U(0xFFFFFFFF)).astype(np.int64)
                     need = plan.needed(size[p], size[q])
+                    # the part of it that some bucket has; where that is 1, all matches are passed on and summed
+                    part = -(-need // plan.dealt[plan.band(np.minimum(size[p], size[q]))])
+                    ok = t >= part
+                    p, q, t, need = p[ok], q[ok], t[ok], np.where(part > 1, 1, need)[ok]
                     a, b = every[p].astype(np.int64), every[q].astype(np.int64)
                     yield from rows(np.minimum(a, b), np.maximum(a, b), need, t)
                     held = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -459,9 +503,10 @@ def _verify(threshold: Fraction):
 def unit_pairs(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(pairs (a, b, jaccard) of units, members (unit, id)); both written in the shared folder."""
     d = _documents(docs, id_col, text_col)
-    count, size = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    plan = Plan(threshold, count)
-    buckets = max(1, -(-int(size * SIGNATURES_A_BYTE) // BUCKET_SIGNATURES))
+    by = d.select(F.octet_length("text").alias("n")).groupBy(F.floor(F.log2(F.col("n") + 1) * 4).alias("g"))
+    lengths = [(r["mean"], r["docs"]) for r in by.agg(F.avg("n").alias("mean"), F.count(F.lit(1)).alias("docs")).collect()]
+    plan = Plan(threshold, sum(c for _, c in lengths))
+    buckets = plan.lay_out(lengths)
     found, _ = written(candidates(d, plan, buckets, n), "candidates")
     pairs = found.where("need >= 0").select("a", "b")
     members = found.where("need < 0").select(F.col("a").alias("unit"), F.col("b").alias("id"))
