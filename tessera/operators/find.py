@@ -13,7 +13,7 @@ from ..plans.pipeline import ordering
 
 def find(df: DataFrame, query: dict | None = None, sort=None, skip: int = 0, limit: int = 0, projection: list[str] | None = None, dialect: str = "filter", coerce: bool = False) -> DataFrame:
     """One lazy plan; a sort with a limit becomes TakeOrderedAndProject, and filters and columns reach the scan. Limit 0 is none."""
-    out = df.where(compile_filter(query, df.schema, dialect, coerce)) if query else df
+    out = df.where(compile_filter(query, df.schema, dialect, coerce, where=True)) if query else df
     if sort:
         out = out.orderBy(*ordering(df.schema, sort))
     if skip:

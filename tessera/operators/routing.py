@@ -33,11 +33,11 @@ def in_range(c: Column, low, high) -> Column:
     return (c >= low) & (c < high)
 
 
-def unique_violations(df: DataFrame, keys: list[str], sparse: bool = False) -> DataFrame:
+def unique_violations(df: DataFrame, keys: list[str], sparse: bool = False, out: str = "n") -> DataFrame:
     """Keys of more than one document; with ``sparse``, documents without any key field don't count."""
     if sparse:
         some = F.lit(False)
         for k in keys:
             some = some | F.col(k).isNotNull()
         df = df.where(some)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)).where(F.col(out) > 1)

@@ -66,20 +66,33 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int, metric: str = "cosine",
 
 
 class IvfIndex:
-    """Inverted file: vectors by nearest of ``cells`` centroids; a query reads the nearest ``probes`` cells only."""
+    """Inverted file: vectors by nearest of ``cells`` centroids; a query reads the nearest cells only.
 
-    def __init__(self, df: DataFrame, cells: int = 16, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 1, sample: int = 20_000):
+    How many it reads is the least that found ``recall`` of the ten nearest of queries drawn
+    from the sample that the centroids are fitted on.
+    """
+
+    def __init__(self, df: DataFrame, cells: int = 16, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 1, sample: int = 20_000, recall: float = 0.95):
         self.id_col, self.vec_col = id_col, vec_col
         few = [r[0] for r in df.select(vec_col).orderBy(F.xxhash64(id_col)).limit(sample).collect()]
         x = np.array(few, np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
         self.centroids = kmeans(x, min(cells, len(x)), seed=seed)
+        self.probes = self._calibrated(x, recall)
         self.assigned = df.withColumn("cell", _nearest(self.centroids, vec_col))
 
-    def search(self, query, k: int, probes: int = 4) -> DataFrame:
+    def _calibrated(self, x: np.ndarray, recall: float, queries: int = 200, k: int = 10) -> int:
+        q = x[:queries]
+        order = np.argsort((self.centroids**2).sum(1)[None] - 2 * q @ self.centroids.T, axis=1)
+        cell = np.argmin((self.centroids**2).sum(1)[None] - 2 * x @ self.centroids.T, axis=1)
+        near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+        rank = np.argsort(order, axis=1)[np.arange(len(q))[:, None], cell[near]]
+        return next(p for p in range(1, len(self.centroids) + 1) if (rank < p).mean() >= recall)
+
+    def search(self, query, k: int, probes: int | None = None) -> DataFrame:
         q = np.array(query, np.float64)
         q /= max(np.linalg.norm(q), 1e-10)
-        near = np.argsort(((self.centroids - q) ** 2).sum(1), kind="stable")[:probes]
+        near = np.argsort(((self.centroids - q) ** 2).sum(1), kind="stable")[: probes or self.probes]
         return knn(self.assigned.where(F.col("cell").isin([int(c) for c in near])), query, k, id_col=self.id_col, vec_col=self.vec_col)
 
 

@@ -110,19 +110,20 @@ def _element(e: Column, dt: T.StructType) -> Callable:
     return lambda path: V.resolve(dt, path, lambda name: e.getField(name.strip("`")))
 
 
-def compile_tree(node, find: Callable, coerce: bool = False) -> Column:
-    sure = lambda c: F.coalesce(c, F.lit(False))
+def compile_tree(node, find: Callable, coerce: bool = False, where: bool = False) -> Column:
+    """The tree as a Column. With ``where`` a leaf may be null for false, as a WHERE takes it, and stays in a form that scans accept; below a negation leaves are two-valued."""
+    sure = (lambda c: c) if where else (lambda c: F.coalesce(c, F.lit(False)))
     if isinstance(node, All):
         return F.lit(True)
     if isinstance(node, And):
         out = F.lit(True)
         for p in node.parts:
-            out = out & compile_tree(p, find, coerce)
+            out = out & compile_tree(p, find, coerce, where)
         return out
     if isinstance(node, Or):
         out = F.lit(False)
         for p in node.parts:
-            out = out | compile_tree(p, find, coerce)
+            out = out | compile_tree(p, find, coerce, where)
         return out
     if isinstance(node, Not):
         return ~compile_tree(node.inner, find, coerce)
@@ -139,10 +140,12 @@ def compile_tree(node, find: Callable, coerce: bool = False) -> Column:
     if op == "$eq":
         return sure(V.equals(c, dt, v, coerce))
     if op == "$ne":
-        return ~sure(V.equals(c, dt, v, coerce))
-    if op in ("$in", "$nin"):
-        hit = sure(_member(c, dt, v, coerce))
-        return hit if op == "$in" else ~hit
+        return c.isNull() | ~V.equals(c, dt, v, coerce) if where else ~sure(V.equals(c, dt, v, coerce))
+    if op == "$in":
+        return sure(_member(c, dt, v, coerce))
+    if op == "$nin":
+        hit = _member(c, dt, v, coerce)
+        return c.isNull() | ~hit if where else ~sure(hit)
     if op == "$exists":
         return c.isNotNull() if v else c.isNull()
     if op == "$regex":
@@ -166,7 +169,7 @@ def _member(c: Column, dt: T.DataType, vs: list, coerce: bool) -> Column:
     return c.isin(good) if good else F.lit(False)
 
 
-def _wire(query: dict, schema: T.StructType) -> Column:
+def _wire(query: dict, schema: T.StructType, where: bool) -> Column:
     """The wire dialect: one level of fields, each with a literal or an object of operators."""
     out = F.lit(True)
     for path, v in query.items():
@@ -178,7 +181,7 @@ def _wire(query: dict, schema: T.StructType) -> Column:
             continue
         c, dt = at
         if not isinstance(v, dict):
-            hit = c.isNull() if v is None else F.coalesce(V.equals(c, dt, v), F.lit(False))
+            hit = c.isNull() if v is None else V.equals(c, dt, v) if where else F.coalesce(V.equals(c, dt, v), F.lit(False))
         else:
             hit = c.isNotNull()
             for op, x in v.items():
@@ -187,18 +190,18 @@ def _wire(query: dict, schema: T.StructType) -> Column:
                 elif op in ("$in", "$nin") and not isinstance(x, list):
                     hit = hit & F.lit(op == "$nin")
                 elif op in (*COMPARE, "$in", "$nin") or (op == "$regex" and isinstance(x, str)):
-                    hit = hit & compile_tree(Leaf(op, path, x), lambda _p: (c, dt))
+                    hit = hit & compile_tree(Leaf(op, path, x), lambda _p, at=(c, dt): at, where=where)
         out = out & hit
     return out
 
 
-def compile_filter(query: dict, schema: T.StructType, dialect: str = "filter", coerce: bool = False) -> Column:
-    """A filter as a Column over rows of ``schema``. ``coerce``: numbers are equal across types."""
+def compile_filter(query: dict, schema: T.StructType, dialect: str = "filter", coerce: bool = False, where: bool = False) -> Column:
+    """A filter as a Column over rows of ``schema``. ``coerce``: numbers are equal across types. ``where``: for use in a WHERE only."""
     if len({n.lower() for n in schema.names}) < len(schema.names):
         raise QueryParseError("column names differ only by case")
     if dialect == "wire":
-        return _wire(query, schema)
-    return compile_tree(parse(query), _root(schema), coerce)
+        return _wire(query, schema, where)
+    return compile_tree(parse(query), _root(schema), coerce, where)
 
 
 def matches(query, row: dict) -> bool:

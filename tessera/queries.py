@@ -247,7 +247,7 @@ def _pq(s: SparkSession, d: str) -> DataFrame:
 
 
 add("v_pq_adc", _pq)
-add("v_ann", lambda s, d: vector_search.IvfIndex(table(s, d, "embeddings"), 16).search(_query_vector(s, d), 10, 6))
+add("v_ann", lambda s, d: vector_search.IvfIndex(table(s, d, "embeddings"), 16).search(_query_vector(s, d), 10))
 add("v_stats", lambda s, d: vector_search.stats(table(s, d, "embeddings")), "SELECT count(*) AS n_vectors, max(len(embedding))::INTEGER AS dims FROM embeddings")
 
 # --- semantic ----------------------------------------------------------------------------------

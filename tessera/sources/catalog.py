@@ -35,18 +35,18 @@ class Collection:
 
     def _parts(self) -> list[str]:
         fs = self._fs()
-        if not fs.exists(self._p("_head")):
+        if not fs.exists(self._p("head")):
             return []
-        rows = self.spark.read.text(f"{self.path}/_head", wholetext=True).collect()
+        rows = self.spark.read.text(f"{self.path}/head", wholetext=True).collect()
         return json.loads(rows[0][0]) if rows else []
 
     def _point(self, parts: list[str]) -> None:
         fs = self._fs()
-        out = fs.create(self._p("_head.new"), True)
+        out = fs.create(self._p("head.new"), True)
         out.writeBytes(json.dumps(parts))
         out.close()
-        fs.delete(self._p("_head"), False)
-        fs.rename(self._p("_head.new"), self._p("_head"))
+        fs.delete(self._p("head"), False)
+        fs.rename(self._p("head.new"), self._p("head"))
 
     def _write(self, df: DataFrame) -> str:
         name = f"part-{uuid.uuid4().hex}"

@@ -114,7 +114,7 @@ class Commands:
     def _create_index(self, c):
         key = (c.get("database", "default"), c["collection"], c["name"])
         if c.get("unique"):
-            bad = unique_violations(self._db(c).collection(c["collection"]).df(), c["fields"], bool(c.get("sparse"))).first()
+            bad = unique_violations(self._db(c).collection(c["collection"]).df(), c["fields"], bool(c.get("sparse")), out="_count").first()
             if bad is not None:
                 raise EngineError(f"duplicate key {bad.asDict()}")
         self.indexes[key] = {"fields": c["fields"], "unique": bool(c.get("unique")), "sparse": bool(c.get("sparse"))}

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..plans.filters import compile_filter
 
 TYPES = ("insert", "update", "delete", "replace", "drop", "invalidate")
-EVENT = T.StructType.fromDDL("id string, change_type string, namespace string, document_id string, full_document string, cluster_time bigint, ts timestamp_ntz")
+EVENT = "id string, change_type string, namespace string, document_id string, full_document string, cluster_time bigint, ts timestamp_ntz"
 
 
 def watch(events: DataFrame, namespace: str | None = None, types: list[str] | None = None, query: dict | None = None) -> DataFrame:
@@ -19,7 +19,7 @@ def watch(events: DataFrame, namespace: str | None = None, types: list[str] | No
     if types is not None:
         events = events.where(F.col("change_type").isin(types))
     if query:
-        events = events.where(compile_filter(query, events.schema))
+        events = events.where(compile_filter(query, events.schema, where=True))
     return events
 
 
@@ -28,7 +28,7 @@ def latest(events: DataFrame, buffer: int = 10_000) -> DataFrame:
     return events.orderBy(F.desc("cluster_time")).limit(buffer).orderBy("cluster_time")
 
 
-def source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
+def source(spark: SparkSession, path: str, schema: T.StructType | str = EVENT, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
