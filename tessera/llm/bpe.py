@@ -8,19 +8,20 @@ token byte lengths and a byte-to-character map of the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, table
+from .common import TOKENIZERS, map_arrow, table
 from .token_counts import PATTERN
 
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 #: Characters encoded together.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 
 
 def byte_chars() -> dict[str, int]:
@@ -69,28 +70,43 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids of each)."""
         split = [self.find(t) for t in texts]
-        new = {w for ws in split for w in ws if w not in self.cache}
+        flat = list(chain.from_iterable(split))
+        distinct = set(flat)
+        new = distinct - self.cache.keys()
         if new:
             if len(self.cache) + len(new) > CACHE_WORDS:
                 self.clear()
-                new = {w for ws in split for w in ws}
-            new = list(new)
-            coded = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, coded), np.int64, len(coded))
+                new = distinct
+            # words of letters after a space stay apart when joined, and go through in long strings
+            plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
+            other = [w for w in new if not (w[0] == " " and w[1:].isalpha())]
+            new = plain + other
+            ids, size = self._encode_joined(plain)
+            coded = [e.ids for e in self.tok.encode_batch_fast(other, add_special_tokens=False)]
+            size = np.concatenate([size, np.fromiter(map(len, coded), np.int64, len(coded))])
             base, count = len(self.ids), len(self.first)
-            self.ids = np.concatenate([self.ids, np.fromiter((i for c in coded for i in c), np.int32, int(size.sum()))])
+            self.ids = np.concatenate([self.ids, ids, np.array([i for c in coded for i in c], np.int32)])
             self.first = np.concatenate([self.first, base + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.cache.update((w, count + k) for k, w in enumerate(new))
         per = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.cache.__getitem__
-        rows = np.fromiter((get(w) for ws in split for w in ws), np.int64, int(per.sum()))
+        rows = np.fromiter(map(self.cache.__getitem__, flat), np.int64, len(flat))
         size = self.size[rows]
         ids = self.ids[_ranges(self.first[rows], size)]
         ends = np.concatenate([[0], np.cumsum(size)])
         edge = np.concatenate([[0], np.cumsum(per)])
         return ids, ends[edge[1:]] - ends[edge[:-1]]
 
+    def _encode_joined(self, words: list[str], together: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids of each word) of words that are pre-tokens of their joined text too."""
+        if not words:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        texts = ["".join(words[i : i + together]) for i in range(0, len(words), together)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.cumsum([len(w.encode()) for w in words])
+        last = np.searchsorted(np.cumsum(self.lens[ids]), ends) + 1
+        return ids, np.diff(last, prepend=0)
+
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids in a row, through the reversed byte table."""
         return self.flat[_ranges(self.at[ids], self.lens[ids])]
@@ -171,7 +187,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), pa.array(n, pa.int64(), mask=null), *lists, pa.array(same, mask=null)], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>, steps array<smallint>, widths array<smallint>, round_trip boolean")
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {kind}, n_tokens bigint, ids array<int>, steps array<smallint>, widths array<smallint>, round_trip boolean")
 
 
 def with_offsets(encoded: DataFrame) -> DataFrame:
@@ -191,7 +207,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_
             texts = [None if ids is None else codec.decode(ids) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"doc_id {encoded.schema[id_col].dataType.simpleString()}, text string")
+    return map_arrow(encoded.select(F.col(id_col), F.col(ids_col)), run, f"doc_id {encoded.schema[id_col].dataType.simpleString()}, text string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
