@@ -11,6 +11,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, table
+from .common import TOKENIZERS, map_arrow, table
 
 VOCABULARY = f"{TOKENIZERS}/piece_bpe_32k.model"
 #: Labelled rows of each language that the model is fitted on, at most.
@@ -223,19 +224,21 @@ def score_batch(model: Model, arr: pa.Array, cache: dict, table_: list[np.ndarra
     """(log scores by language, words) of each text; nulls have 0 words. ``cache``: word to row of ``table_[0]``."""
     lowered = pc.utf8_lower(arr).to_pylist()
     split = [words_of(t.encode()) if t else [] for t in lowered]
-    new = {w for ws in split for w in ws if w not in cache}
+    flat = list(chain.from_iterable(split))
+    distinct = set(flat)
+    new = distinct - cache.keys()
     if new:
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             table_[0] = np.empty((0, len(model.langs)))
-            new = {w for ws in split for w in ws}
+            new = distinct
         new = sorted(new)
         fresh = np.concatenate([model.log_scores([w.decode("utf-8", "replace") for w in new[i : i + 4096]]) for i in range(0, len(new), 4096)])
         base = len(table_[0])
         cache.update((w, base + i) for i, w in enumerate(new))
         table_[0] = np.concatenate([table_[0], fresh])
     n = np.array([len(ws) for ws in split], np.int64)
-    rows = np.fromiter((cache[w] for ws in split for w in ws), np.int64, int(n.sum()))
+    rows = np.fromiter(map(cache.__getitem__, flat), np.int64, len(flat))
     total = np.zeros((len(split), len(model.langs)))
     has = np.nonzero(n)[0]
     if len(has):
@@ -268,7 +271,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([b.column(0), pred, post, margin, pa.array(n), ok], names=["doc_id", "lang_pred", "posterior", "margin", "n_words", "accepted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, {COLUMNS}")
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {kind}, {COLUMNS}")
 
 
 def _decide(langs: list[str], score: np.ndarray, n: np.ndarray, least: float):
@@ -303,7 +306,7 @@ def accept(docs: DataFrame, model: Model, text_col: str = "text", min_posterior:
                 score, n = score_batch(m, b.column(where), cache, tab)
                 yield b.filter(_decide(m.langs, score, n, min_posterior)[3])
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

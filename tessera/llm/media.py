@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 RATE, FRAME, HOP = 8000, 512, 256
 #: A peak is paired with the FAN next peaks at most SPAN frames later.
@@ -103,7 +103,7 @@ def media_of_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str
                 wavs = [None if v is None else wav_bytes(tones(np.array([x or 0.0 for x in v], np.float64))) for v in s.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(wavs, pa.binary())], names=["media_id", "wav"])
 
-    return vectors.select(id_col, vec_col).mapInArrow(run, f"media_id {vectors.schema[id_col].dataType.simpleString()}, wav binary")
+    return map_arrow(vectors.select(id_col, vec_col), run, f"media_id {vectors.schema[id_col].dataType.simpleString()}, wav binary")
 
 
 def fingerprints(media: DataFrame, id_col: str = "media_id", wav_col: str = "wav") -> DataFrame:
@@ -128,7 +128,7 @@ def fingerprints(media: DataFrame, id_col: str = "media_id", wav_col: str = "wav
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types))], names=["media_id", "rate", "n_samples", "n_frames", "rms", "fingerprint"])
 
-    return media.select(F.col(id_col), F.col(wav_col)).mapInArrow(run, f"media_id {media.schema[id_col].dataType.simpleString()}, rate int, n_samples bigint, n_frames int, rms double, fingerprint array<bigint>")
+    return map_arrow(media.select(F.col(id_col), F.col(wav_col)), run, f"media_id {media.schema[id_col].dataType.simpleString()}, rate int, n_samples bigint, n_frames int, rms double, fingerprint array<bigint>")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 SEGMENT_BYTES = 2048
 CHUNK_BYTES = 1000
@@ -106,7 +106,7 @@ def parsed(records: DataFrame, raw_col: str = "record") -> DataFrame:
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["origin", "page", "uri", "segment", "total", "block"])
 
-    return records.select(raw_col).mapInArrow(run, "origin string, page bigint, uri string, segment int, total bigint, block binary")
+    return map_arrow(records.select(raw_col), run, "origin string, page bigint, uri string, segment int, total bigint, block binary")
 
 
 def reassemble(segments: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def reassemble(segments: DataFrame) -> DataFrame:
             yield out(rows)
 
     ordered = segments.repartition("origin").sortWithinPartitions("origin", "segment", "block")
-    return ordered.mapInArrow(run, "origin string, page bigint, uri string, segments int, ok boolean, status int, body binary")
+    return map_arrow(ordered, run, "origin string, page bigint, uri string, segments int, ok boolean, status int, body binary")
 
 
 def page_records(pages: DataFrame, segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYTES) -> DataFrame:
@@ -185,7 +185,7 @@ def page_records(pages: DataFrame, segment: int = SEGMENT_BYTES, chunk: int = CH
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "record binary")
+    return map_arrow(pages.select("page_id", "url", "html"), run, "record binary")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
