@@ -28,10 +28,11 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, small, table, written
+from .common import map_arrow, small, table, written
 
 NGRAM = 2
 THRESHOLD = Fraction(3, 4)
@@ -250,47 +251,47 @@ def signatures(plan: Plan, grams: np.ndarray, per: np.ndarray, weight: np.ndarra
         yield sig, placed(sig, s), sets[of[drop]], True, probe
 
 
-_HEAD = np.dtype([("kind", "<u4"), ("docs", "<u4"), ("entries", "<u4"), ("tops", "<u4")])
+_HEAD = np.dtype([("kind", "<u4"), ("docs", "<u4"), ("entries", "<u4"), ("jumps", "<u4")])
 
 
 def pack(sig: np.ndarray, who: np.ndarray, units: np.ndarray, sizes: np.ndarray) -> bytes:
     """Signatures of one bucket: 32 bits each, sorted, and 16 bits for their set and flags.
 
-    ``who``: local set << 2 | deletion << 1 | prober, below 2**16.
+    ``who``: local set << 2 | deletion << 1 | prober, below 2**16. The upper halves of the
+    signatures go as differences of a byte, which compress, with the few larger ones apart.
     """
     order = np.argsort(sig)
     sig, who = sig[order], who[order]
     ids, local = np.unique(who >> 2, return_inverse=True)
-    tops = np.bincount(sig >> np.uint32(16), minlength=1 << 16) if len(sig) > 1 << 13 else None
-    if tops is not None and tops.max() > 255:
-        tops = None
-    head = np.array([(0, len(ids), len(sig), tops is not None)], _HEAD)
-    hi = tops.astype(np.uint8).tobytes() if tops is not None else (sig >> np.uint32(16)).astype("<u2").tobytes()
-    return b"".join([head.tobytes(), units[ids].astype("<u8").tobytes(), sizes[ids].astype("<u4").tobytes(), hi, sig.astype("<u2").tobytes(), (local.astype(np.uint16) << 2 | (who & 3).astype(np.uint16)).astype("<u2").tobytes()])
+    step = np.diff(sig >> np.uint32(16), prepend=np.uint32(0))
+    jumps = step[step > 254]
+    head = np.array([(0, len(ids), len(sig), len(jumps))], _HEAD)
+    parts = (units[ids].astype("<u8"), sizes[ids].astype("<u4"), jumps.astype("<u4"), np.minimum(step, 255).astype(np.uint8), sig.astype("<u2"), (local.astype(np.uint16) << 2 | (who & 3).astype(np.uint16)).astype("<u2"))
+    return zstandard.compress(b"".join([head.tobytes(), *(x.tobytes() for x in parts)]), 1)
 
 
 def pack_members(units: np.ndarray, ids: np.ndarray) -> bytes:
-    return np.array([(1, len(units), 0, 0)], _HEAD).tobytes() + units.astype("<u8").tobytes() + ids.astype("<i8").tobytes()
+    return zstandard.compress(np.array([(1, len(units), 0, 0)], _HEAD).tobytes() + units.astype("<u8").tobytes() + ids.astype("<i8").tobytes(), 1)
 
 
 def unpack(blob: bytes):
     """(kind, units, sizes or ids, signatures, local set and flags)."""
-    kind, docs, n, tops = (int(x) for x in np.frombuffer(blob, _HEAD, 1)[0])
+    blob = zstandard.decompress(blob)
+    kind, docs, n, jumps = (int(x) for x in np.frombuffer(blob, _HEAD, 1)[0])
     at = _HEAD.itemsize
-    units = np.frombuffer(blob, "<u8", docs, at)
-    at += 8 * docs
+
+    def take(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(blob, kind, count, at)
+        at += out.nbytes
+        return out
+
+    units = take("<u8", docs)
     if kind == 1:
-        return kind, units, np.frombuffer(blob, "<i8", docs, at), None, None
-    sizes = np.frombuffer(blob, "<u4", docs, at)
-    at += 4 * docs
-    if tops:
-        hi = np.repeat(np.arange(1 << 16, dtype=np.uint32), np.frombuffer(blob, np.uint8, 1 << 16, at))
-        at += 1 << 16
-    else:
-        hi = np.frombuffer(blob, "<u2", n, at).astype(np.uint32)
-        at += 2 * n
-    lo = np.frombuffer(blob, "<u2", n, at)
-    return kind, units, sizes, hi << np.uint32(16) | lo, np.frombuffer(blob, "<u2", n, at + 2 * n)
+        return kind, units, take("<i8", docs), None, None
+    sizes, big, step = take("<u4", docs), take("<u4", jumps), take("u1", n).astype(np.uint32)
+    step[step == 255] = big
+    return kind, units, sizes, np.cumsum(step, dtype=np.uint32) << np.uint32(16) | take("<u2", n), take("<u2", n)
 
 
 def _sign(plan: Plan, buckets: int, n: int):
@@ -362,7 +363,7 @@ def _match(plan: Plan):
                     continue
                 # signature, deletion, set, prober: subsets come before deletions in a group
                 key = sig.astype(np.uint64) << U(32) | (who.astype(np.uint64) >> U(1) & U(1)) << U(31)
-                parts.append((key, (who >> 2).astype(np.int64) + base, (who & 1).astype(np.uint64)))
+                parts.append((key | (who & 1).astype(np.uint64), (who >> 2).astype(np.uint32) + np.uint32(base)))
                 units.append(u)
                 sizes.append(s)
                 base += len(u)
@@ -372,7 +373,10 @@ def _match(plan: Plan):
         size = np.zeros(len(every), np.int64)
         size[inverse] = np.concatenate(sizes)
         assert len(every) < 1 << 30, "too few buckets"
-        key = np.concatenate([k | inverse[d].astype(np.uint64) << U(1) | p for k, d, p in parts])
+        inverse = inverse.astype(np.uint64) << U(1)
+        for k, d in parts:
+            k |= inverse[d]
+        key = np.concatenate([k for k, _ in parts])
         del parts, inverse, units, sizes
         key.sort()
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
@@ -439,8 +443,8 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def candidates(docs: DataFrame, plan: Plan, buckets: int, n: int = NGRAM) -> DataFrame:
     """(a, b, need, t) of every pair of units with enough matches, and (unit, id, -1, 0) of every document; written once."""
-    signed = docs.mapInArrow(_sign(plan, buckets, n), "bucket int, block binary").repartitionById(buckets, "bucket")
-    rows = signed.mapInArrow(_match(plan), "a bigint, b bigint, need int, t int")
+    signed = map_arrow(docs, _sign(plan, buckets, n), "bucket int, block binary").repartitionById(buckets, "bucket")
+    rows = map_arrow(signed, _match(plan), "a bigint, b bigint, need int, t int")
     return rows.groupBy("a", "b", "need").agg(F.sum("t").alias("t")).where("t >= need")
 
 
@@ -524,10 +528,10 @@ def unit_pairs(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD,
     wanted = wanted.join(one, "unit").groupBy("id").agg(F.collect_list(F.struct("block", "unit")).alias("blocks"))
     wanted, wanted_size = written(wanted, "wanted")
     texts = d.join(small(wanted, wanted_size), "id").select("id", "text", "blocks")
-    sets = texts.mapInArrow(_packed_sets(n), "block bigint, a bigint, b bigint, grams binary")
+    sets = map_arrow(texts, _packed_sets(n), "block bigint, a bigint, b bigint, grams binary")
     rows = sets.union(placed.select("block", "a", "b", F.lit(None).cast("binary").alias("grams")))
     rows = rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first())
-    done, _ = written(rows.mapInArrow(_verify(Fraction(threshold)), "a bigint, b bigint, jaccard double"), "pairs")
+    done, _ = written(map_arrow(rows, _verify(Fraction(threshold)), "a bigint, b bigint, jaccard double"), "pairs")
     return done, members
 
 
