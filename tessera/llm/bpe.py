@@ -191,11 +191,20 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
 
 
 def with_offsets(encoded: DataFrame) -> DataFrame:
-    """``encoded`` with ``starts`` and ``ends``, the characters [start, end) of each token."""
-    zero = F.array().cast("array<int>")
-    starts = F.aggregate("steps", zero, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + x.cast("int"))))
-    starts = F.when(F.size("steps") > 0, starts).when(F.col("steps").isNotNull(), zero)
-    return encoded.withColumn("starts", starts).withColumn("ends", F.zip_with("starts", "widths", lambda s, w: s + w.cast("int")))
+    """(doc_id, ids, starts, ends): the characters [start, end) of each token, from steps and widths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts, ends = [], []
+            for s, w in zip(b.column(2), b.column(3)):
+                at = np.cumsum(s.values.to_numpy(), dtype=np.int32) if s.is_valid else None
+                starts.append(at)
+                ends.append(at + w.values.to_numpy() if s.is_valid else None)
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, kind), pa.array(ends, kind)], names=["doc_id", "ids", "starts", "ends"])
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return map_arrow(encoded.select("doc_id", "ids", "steps", "widths"), run, f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

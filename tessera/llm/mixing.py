@@ -103,7 +103,7 @@ def with_copies(docs: DataFrame, weights: dict | None = None, default_weight: in
     if stats.where(c("partial")).limit(1).count():
         # Repeated ids on a cut: rank those rows only.
         df = df.withColumn(_P + "tie", at & F.coalesce(c("partial"), F.lit(False)))
-        rank = F.row_number().over(Window.partitionBy(_P + "s").orderBy(*[F.xxhash64(*[F.col(f"`{x}`") for x in docs.columns])]))
+        rank = F.row_number().over(Window.partitionBy(_P + "s").orderBy(F.xxhash64(*[F.col(f"`{x}`") for x in docs.columns if x != out])))
         tied = df.where(_P + "tie").withColumn(_P + "rank", rank)
         df = df.where(~c("tie")).withColumn(_P + "rank", F.lit(0)).unionByName(tied)
         extra = extra & (c("rank") <= F.coalesce(c("take"), F.lit(0)))

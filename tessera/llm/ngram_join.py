@@ -394,38 +394,40 @@ def _match(plan: Plan):
         first = np.nonzero((key >> U(31) & U(1) == 0) & (left > 0))[0]
         left = left[first]
         cum = np.cumsum(left)
-        held = np.empty(0, np.uint64), np.empty(0, np.int64)
-        at = 0
-        while at < len(first):
-            done = cum[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(cum, done + PAIR_CHUNK, side="right")))
-            f, n = first[at:to], left[at:to]
-            i = np.repeat(f, n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            x, y = key[i], key[j]
-            ok = (x & y & U(1)) == 0
-            mask = U((1 << 30) - 1)
-            p, q = x[ok] >> U(1) & mask, y[ok] >> U(1) & mask
-            ok = p != q
-            p, q = p[ok], q[ok]
-            near = self_ok(plan, size, p, q)
-            pair, t = np.unique(np.minimum(p, q)[near] << U(32) | np.maximum(p, q)[near], return_counts=True)
-            held = np.concatenate([held[0], pair]), np.concatenate([held[1], t])
-            if len(held[0]) > 2 * PAIR_CHUNK or to == len(first):
-                pair, back = np.unique(held[0], return_inverse=True)
-                t = np.bincount(back, weights=held[1], minlength=len(pair)).astype(np.int64)
-                held = pair, t
-                if len(pair) > PAIR_CHUNK or to == len(first):
-                    p, q = (pair >> U(32)).astype(np.int64), (pair & U(0xFFFFFFFF)).astype(np.int64)
-                    need = plan.needed(size[p], size[q])
-                    # the part of it that some bucket has; where that is 1, all matches are passed on and summed
-                    part = -(-need // plan.dealt[plan.band(np.minimum(size[p], size[q]))])
-                    ok = t >= part
-                    p, q, t, need = p[ok], q[ok], t[ok], np.where(part > 1, 1, need)[ok]
-                    a, b = every[p].astype(np.int64), every[q].astype(np.int64)
-                    yield from rows(np.minimum(a, b), np.maximum(a, b), need, t)
-                    held = np.empty(0, np.uint64), np.empty(0, np.int64)
-            at = to
+        # so many passes, each over the pairs of one class, that the pairs of a pass fit in memory
+        classes = max(1, -(-int(cum[-1] if len(cum) else 0) // (4 * PAIR_CHUNK)))
+        mask = U((1 << 30) - 1)
+        for c in range(classes):
+            pairs, counts, at = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+            while at < len(first):
+                done = cum[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(cum, done + PAIR_CHUNK, side="right")))
+                f, n = first[at:to], left[at:to]
+                i = np.repeat(f, n)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                x, y = key[i], key[j]
+                ok = (x & y & U(1)) == 0
+                p, q = x[ok] >> U(1) & mask, y[ok] >> U(1) & mask
+                p, q = np.minimum(p, q), np.maximum(p, q)
+                ok = p != q
+                if classes > 1:
+                    ok &= (p + q) % U(classes) == U(c)
+                p, q = p[ok], q[ok]
+                near = self_ok(plan, size, p, q)
+                new, t = np.unique(p[near] << U(32) | q[near], return_counts=True)
+                pairs, counts = np.concatenate([pairs, new]), np.concatenate([counts, t])
+                at = to
+                if len(pairs) > 2 * PAIR_CHUNK or at == len(first):
+                    pairs, back = np.unique(pairs, return_inverse=True)
+                    counts = np.bincount(back, weights=counts, minlength=len(pairs)).astype(np.int64)
+            p, q, t = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64), counts
+            need = plan.needed(size[p], size[q])
+            # the part of it that some bucket has; where that is 1, all matches are passed on and summed
+            part = -(-need // plan.dealt[plan.band(np.minimum(size[p], size[q]))])
+            ok = t >= part
+            p, q, t, need = p[ok], q[ok], t[ok], np.where(part > 1, 1, need)[ok]
+            a, b = every[p].astype(np.int64), every[q].astype(np.int64)
+            yield from rows(np.minimum(a, b), np.maximum(a, b), need, t)
 
     return run
 
