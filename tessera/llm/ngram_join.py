@@ -42,7 +42,7 @@ BUCKET_SIGNATURES = 5_000_000
 #: Distinct n-grams a byte of text, about; only sizes the buckets.
 GRAMS_A_BYTE = 0.14
 #: Pairs that a worker holds at once.
-PAIR_CHUNK = 4_000_000
+PAIR_CHUNK = 1_000_000
 #: Pairs verified in one group of documents.
 BLOCK_PAIRS = 100_000
 #: Part of its segments that a set leaves out.
@@ -395,7 +395,7 @@ def _match(plan: Plan):
         left = left[first]
         cum = np.cumsum(left)
         # so many passes, each over the pairs of one class, that the pairs of a pass fit in memory
-        classes = max(1, -(-int(cum[-1] if len(cum) else 0) // (4 * PAIR_CHUNK)))
+        classes = max(1, -(-int(cum[-1] if len(cum) else 0) // (16 * PAIR_CHUNK)))
         mask = U((1 << 30) - 1)
         for c in range(classes):
             pairs, counts, at = np.empty(0, np.uint64), np.empty(0, np.int64), 0
