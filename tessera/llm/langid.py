@@ -7,7 +7,6 @@ product over its words. Characters outside the vocabulary are covered by its byt
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -169,35 +168,72 @@ def fit(counts: dict[str, Counter], path: str = VOCABULARY, rounds: int = EM_ROU
     pieces, of_byte = vocabulary(path)
     langs = sorted(counts)
     model = Model(langs, pieces, of_byte, np.full((len(pieces), len(langs)), 1 / len(pieces)))
-    lattices = {w: model.edges(w) for c in counts.values() for w in c}
     for l, lang in enumerate(langs):
-        p = [1 / len(pieces)] * len(pieces)
-        for _ in range(rounds):
-            got: dict[int, float] = defaultdict(float)
-            for w, c in counts[lang].items():
-                n, edges = len(w) + 1, lattices[w]
-                ps = [p[ks[0]] if len(ks) == 1 else math.prod(p[k] for k in ks) for _, _, ks in edges]
-                fwd, bwd = [0.0] * (n + 1), [0.0] * (n + 1)
-                fwd[0] = bwd[n] = 1.0
-                for (i, j, _), q in zip(edges, ps):
-                    fwd[j] += fwd[i] * q
-                for (i, j, _), q in zip(reversed(edges), reversed(ps)):
-                    bwd[i] += bwd[j] * q
-                if fwd[n] <= 0:
-                    continue
-                unit = c / fwd[n]
-                for (i, j, ks), q in zip(edges, ps):
-                    e = fwd[i] * q * bwd[j] * unit
-                    for k in ks:
-                        got[k] += e
-            total = sum(got.values()) + smoothing * len(pieces)
-            p = [smoothing / total] * len(pieces)
-            for k, e in got.items():
-                p[k] += e / total
+        words = sorted(counts[lang])
+        many = np.array([counts[lang][w] for w in words], np.float64)
+        p = np.full(len(pieces), 1 / len(pieces))
+        arcs = _arcs(model, words) if words else None
+        for _ in range(rounds if words else 0):
+            got = _expected(arcs, many, p)
+            p = (got + smoothing) / (got.sum() + smoothing * len(pieces))
         model.probs[:, l] = p
     return model
 
 
+def _arcs(model: Model, words: list[str]):
+    """All words' lattices in flat arrays: (nodes, first node, last node, word, arcs by start offset, arc pieces, piece ranges)."""
+    model.tables()
+    texts = [SPACE + w for w in words]
+    size = np.array([len(t) for t in texts])
+    node = np.cumsum(size + 1) - (size + 1)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), size)
+    offset = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+    power = np.multiply.accumulate(np.where(np.arange(len(codes) + 1) == 0, np.uint64(1), _BASE))
+    back = np.multiply.accumulate(np.where(np.arange(len(codes)) == 0, np.uint64(1), np.uint64(pow(int(_BASE), -1, 1 << 64))))
+    acc = np.concatenate([[np.uint64(0)], np.cumsum((codes + np.uint64(1)) * back, dtype=np.uint64)])
+    starts, lens, ids = [], [], []
+    known = np.zeros(len(codes), bool)
+    for n, (hashes, of) in model.by_len.items():
+        i = np.nonzero(offset + n <= size[word])[0]
+        h = (acc[i + n] - acc[i]) * power[i + n - 1]
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hit = hashes[at] == h
+        starts.append(i[hit])
+        lens.append(np.full(int(hit.sum()), n))
+        ids.append(of[at[hit]])
+        if n == 1:
+            known[i[hit]] = True
+    start, step, piece = np.concatenate(starts), np.concatenate(lens), np.concatenate(ids)
+    single = len(start)
+    other = np.nonzero(~known)[0]
+    spelled = [[model.of_byte[b] for b in chr(int(codes[i])).encode()] for i in other]
+    start, step = np.concatenate([start, other]), np.concatenate([step, np.ones(len(other), np.int64)])
+    per = np.concatenate([np.ones(single, np.int64), np.array([len(x) for x in spelled], np.int64)])
+    piece = np.concatenate([piece, np.array([k for x in spelled for k in x], np.int64)])
+    source = node[word[start]] + offset[start]
+    order = np.argsort(offset[start], kind="stable")
+    edge = np.searchsorted(offset[start][order], np.arange(int(size.max()) + 1))
+    return int((size + 1).sum()), node, node + size, word[start], source, source + step, order, edge, piece, np.cumsum(per) - per, per
+
+
+def _expected(arcs, many: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece, by the forward and backward sums of every word; words too long for a double's range are passed over."""
+    nodes, first, last, word, source, target, order, edge, piece, at, per = arcs
+    q = np.exp(np.add.reduceat(np.log(p)[piece], at))
+    fwd, bwd = np.zeros(nodes), np.zeros(nodes)
+    fwd[first] = bwd[last] = 1
+    steps = [order[a:z] for a, z in zip(edge, edge[1:])]
+    for e in steps:
+        np.add.at(fwd, target[e], fwd[source[e]] * q[e])
+    for e in reversed(steps):
+        np.add.at(bwd, source[e], bwd[target[e]] * q[e])
+    z = fwd[last]
+    unit = np.divide(many, z, out=np.zeros_like(many), where=z > 0)
+    use = fwd[source] * q * bwd[target] * unit[word]
+    return np.bincount(piece, weights=np.repeat(use, per), minlength=len(p))
+
+
 def training_counts(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Counter]:
     """Word counts of at most ``per_lang`` labelled texts a language, chosen by the hash of their ids."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL").withColumn("h", F.xxhash64("id", F.lit(17)))
