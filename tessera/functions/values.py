@@ -111,6 +111,19 @@ def _all(parts: list[Column]) -> Column:
     return out
 
 
+def as_text(c: Column, dt: T.DataType) -> Column:
+    return c if column_tag(dt) == "string" else F.lit(None).cast("string")
+
+
+def set_path(c: Column, path: str, value) -> Column:
+    """A document column with a dotted path set; missing documents on the way are made."""
+    head, *rest = path.split(".")
+    if not rest:
+        return c.withField(head, F.lit(value))
+    inner = c.getField(head)
+    return c.withField(head, set_path(inner, ".".join(rest), value))
+
+
 def type_name(c: Column, dt: T.DataType) -> Column:
     """Tag of each value; null for a missing one."""
     tag = column_tag(dt)

@@ -49,8 +49,10 @@ class TextIndex:
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         t = self.tokens if terms is None else self.tokens.where(F.col("term").isin(terms) if terms else F.lit(False))
-        w = reduce(lambda acc, i: F.when(F.col("field") == i, F.lit(float(self.weights.get(self.fields[i], 1.0)))).otherwise(acc), range(len(self.fields)), F.lit(1.0))
-        return t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.sum(w).alias("wtf"))
+        return t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.sum(self._weight(F.col("field"))).alias("wtf"))
+
+    def _weight(self, field: Column) -> Column:
+        return reduce(lambda acc, i: F.when(field == i, F.lit(float(self.weights.get(self.fields[i], 1.0)))).otherwise(acc), range(len(self.fields)), F.lit(1.0))
 
     def without(self, ids: DataFrame) -> DataFrame:
         return self.tokens.join(ids, self.tokens["doc"] == ids[ids.columns[0]], "left_anti")
@@ -81,16 +83,19 @@ class TextIndex:
     def scored(self, terms: list[str], among: DataFrame | None = None, score: str = "bm25") -> DataFrame:
         """(doc, score, matched_terms): a repeated query term counts again.
 
-        The collection's size, average length and the terms' document counts are one small row
-        and a row a term; they are broadcast, and only postings of the terms are shuffled.
+        One scan takes the terms' occurrences and the document lengths together, and only those
+        occurrences are shuffled; the terms' document counts come from the same exchange. The
+        collection's size and average length are one row, the counts a row a term.
         """
         repeats = {t: terms.count(t) for t in terms}
-        posts = self.postings(list(repeats))
+        hits = F.filter("tokens", lambda x: x["term"].isin(list(repeats)) if repeats else F.lit(False))
+        found = self.docs.select("doc", F.size("tokens").alias("dl"), F.explode(hits).alias("t"))
+        posts = found.groupBy("doc", "dl", F.col("t.term").alias("term")).agg(F.sum(self._weight(F.col("t.field"))).alias("wtf"))
+        df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         if among is not None:
             posts = posts.join(among, "doc", "left_semi")
-        df = self.tokens.where(F.col("term").isin(list(repeats)) if repeats else F.lit(False)).groupBy("term").agg(F.count_distinct("doc").alias("df"))
         qn = reduce(lambda acc, kv: F.when(F.col("term") == kv[0], F.lit(kv[1])).otherwise(acc), repeats.items(), F.lit(0))
-        j = posts.join(F.broadcast(df), "term").join(self.lengths(), "doc").crossJoin(F.broadcast(self.stats()))
+        j = posts.join(F.broadcast(df), "term").crossJoin(F.broadcast(self.stats()))
         part = bm25(F.col("wtf"), F.col("dl"), F.col("avgdl"), F.col("df"), F.col("n_docs")) if score == "bm25" else tf_idf(F.col("wtf"), F.col("dl"), F.col("df"), F.col("n_docs"))
         return j.groupBy("doc").agg(F.sum(part * qn).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
 

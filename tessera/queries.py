@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import geo, text, values, vectors
 from .operators import codec, routing, search, security, semantic, sketch, validate, vector_search, versions
 from .operators.find import find
+from .plans.filters import compile_filter
 from .plans.pipeline import aggregate
 from .plans.updates import apply_update, delete_many
 from .streaming import changes
@@ -397,3 +398,16 @@ def _dynamic(s: SparkSession, d: str) -> DataFrame:
 
 
 add("dynamic_profile", _dynamic, "SELECT event_id, 'int32' AS tag FROM events WHERE CAST(props->>'$.k' AS INTEGER) = 42")
+
+
+# --- stores and remaining operators ------------------------------------------------------------
+add("v_put", lambda s, d: vector_search.put(table(s, d, "embeddings").select("vec_id", "label"), table(s, d, "embeddings").where("vec_id < 10").select("vec_id", (F.col("label") + 100).alias("label"))), "SELECT vec_id, CASE WHEN vec_id < 10 THEN label + 100 ELSE label END AS label FROM embeddings")
+add("v_remove", lambda s, d: vector_search.remove(table(s, d, "embeddings").select("vec_id"), table(s, d, "embeddings").where("label = 1")), "SELECT vec_id FROM embeddings WHERE label <> 1")
+add("t_phrase_search", lambda s, d: _index(s, d).scored(list(_PH), _index(s, d).phrase(list(_PH))).select("doc", F.round("score", 6).alias("score")), f"WITH {_TOK}, ph AS (SELECT DISTINCT a.doc FROM tok a JOIN tok b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.term = '{_PH[0]}' AND b.term = '{_PH[1]}'), po AS (SELECT doc, term, count(*) AS tf FROM tok WHERE term IN ('{_PH[0]}', '{_PH[1]}') GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1) SELECT doc, round(sum({_BM}), 6) AS score FROM po JOIN df USING (term) JOIN dl USING (doc), st WHERE doc IN (SELECT doc FROM ph) GROUP BY doc")
+add("t_remove_document", lambda s, d: _index(s, d).without(s.range(100).toDF("doc_id")).groupBy("doc").agg(F.count(F.lit(1)).alias("n")), f"WITH {_TOK} SELECT doc, count(*) AS n FROM tok WHERE doc >= 100 GROUP BY 1")
+add("f_coerce", lambda s, d: find(table(s, d, "lineitem"), {"l_quantity": 20}, coerce=True, projection=["l_orderkey", "l_linenumber"]), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity = 20")
+add("f_exists_as_value", lambda s, d: table(s, d, "customer").select("c_custkey", compile_filter({"$nor": [{"c_acctbal": {"$lt": 0}}, {"c_nationkey": {"$in": [1, 2]}}]}, table(s, d, "customer").schema).alias("hit")), "SELECT c_custkey, NOT (c_acctbal < 0 OR c_nationkey IN (1, 2)) AS hit FROM customer")
+add("index_sparse", lambda s, d: routing.unique_violations(_nulls(s, d).select("top"), ["top"], sparse=True), f"SELECT top, count(*) AS n FROM {_N} WHERE top IS NOT NULL GROUP BY top HAVING count(*) > 1")
+add("display", lambda s, d: table(s, d, "part").select("p_partkey", values.display(F.col("p_name"), table(s, d, "part").schema["p_name"].dataType).alias("name"), values.display(F.col("p_size"), table(s, d, "part").schema["p_size"].dataType).alias("size")), "SELECT p_partkey, '\"' || p_name || '\"' AS name, CAST(p_size AS VARCHAR) AS size FROM part")
+add("crc32", lambda s, d: table(s, d, "nation").select("n_nationkey", values.crc32(F.col("n_name")).alias("c")))
+add("set_path", lambda s, d: _props(s, d).select("event_id", values.set_path(F.col("props"), "k", 7).getField("k").alias("k")), "SELECT event_id, 7 AS k FROM events")

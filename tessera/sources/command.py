@@ -6,20 +6,28 @@ import time
 
 from pyspark.sql import SparkSession
 
-from ..errors import EngineError, NotFoundError
+from ..errors import DuplicateKeyError, EngineError, NotFoundError, PermissionDenied
 from ..functions.values import to_extended
 from ..operators import find as finds
 from ..operators.routing import unique_violations
+from ..operators.security import Users, check
 from ..operators.versions import TransactionManager
 from .catalog import Database
 
 
 class Commands:
-    """``execute({"type": ..., ...})`` returns ``{"ok": ..., "data": ..., "execution_time_us": ...}``."""
+    """``execute({"type": ..., ...})`` returns ``{"ok": ..., "data": ..., "execution_time_us": ...}``.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.databases, self.metrics = spark, path, {}, {}
+    With ``require_auth``, a command other than ``authenticate`` and ``ping`` needs a user who
+    has authenticated and a role that allows it.
+    """
+
+    NEEDS = {"find": "read", "find_one": "read", "count": "read", "aggregate": "read", "explain": "read", "insert_one": "write", "insert_many": "write", "update_one": "write", "update_many": "write", "delete_one": "delete", "delete_many": "delete", "create_collection": "createCollection", "drop_collection": "dropCollection", "create_index": "createIndex", "drop_index": "dropIndex", "create_user": "createUser"}
+
+    def __init__(self, spark: SparkSession, path: str, require_auth: bool = False, users: Users | None = None):
+        self.spark, self.path, self.databases, self.metrics = spark, path, {}, {"errors_total": 0}
         self.transactions, self.indexes = TransactionManager(), {}
+        self.require_auth, self.users, self.user = require_auth, users or Users(), None
 
     def execute(self, command: dict) -> dict:
         start = time.perf_counter()
@@ -29,13 +37,19 @@ class Commands:
         try:
             if handler is None:
                 raise NotFoundError(f"unknown command {kind}")
+            if self.require_auth and kind not in ("authenticate", "ping"):
+                if self.user is None:
+                    raise PermissionDenied("not authenticated")
+                if kind in self.NEEDS:
+                    check(self.users.roles(self.user), self.NEEDS[kind])
             out = {"ok": True, "data": handler(command)}
         except EngineError as e:
+            self.metrics["errors_total"] += 1
             out = {"ok": False, "error": str(e)}
         return out | {"execution_time_us": int((time.perf_counter() - start) * 1e6)}
 
     def _db(self, c: dict) -> Database:
-        name = c.get("database", "default")
+        name = c["name"] if c["type"] in ("create_database", "drop_database") and "name" in c else c.get("database", "default")
         return self.databases.setdefault(name, Database(self.spark, self.path, name))
 
     def _ping(self, c):
@@ -54,16 +68,16 @@ class Commands:
         db = self._db(c)
         for n in db.list_collections():
             db.drop_collection(n)
-        del self.databases[db.name]
+        self.databases.pop(c.get("name", c.get("database", "default")))
 
     def _list_collections(self, c):
         return self._db(c).list_collections()
 
     def _create_collection(self, c):
-        self._db(c).create_collection(c["collection"], cap=c.get("cap"))
+        self._db(c).create_collection(c.get("name") or c["collection"], cap=c.get("cap"))
 
     def _drop_collection(self, c):
-        self._db(c).drop_collection(c["collection"])
+        self._db(c).drop_collection(c.get("name") or c["collection"])
 
     def _insert_one(self, c):
         self._db(c).get_or_create(c["collection"]).insert_one(c["document"])
@@ -116,7 +130,7 @@ class Commands:
         if c.get("unique"):
             bad = unique_violations(self._db(c).collection(c["collection"]).df(), c["fields"], bool(c.get("sparse")), out="_count").first()
             if bad is not None:
-                raise EngineError(f"duplicate key {bad.asDict()}")
+                raise DuplicateKeyError(f"duplicate key {bad.asDict()}")
         self.indexes[key] = {"fields": c["fields"], "unique": bool(c.get("unique")), "sparse": bool(c.get("sparse"))}
 
     def _drop_index(self, c):
@@ -126,14 +140,23 @@ class Commands:
     def _list_indexes(self, c):
         return {k[2]: v for k, v in self.indexes.items() if k[:2] == (c.get("database", "default"), c["collection"])}
 
-    def _begin_transaction(self, c):
+    def _txn_begin(self, c):
         return self.transactions.begin(c.get("isolation", "snapshot"))
 
-    def _commit_transaction(self, c):
-        return len(self.transactions.commit(c["txn"]))
+    def _txn_commit(self, c):
+        return len(self.transactions.commit(int(c["txn_id"])))
+
+    def _txn_abort(self, c):
+        self.transactions.abort(int(c["txn_id"]))
+
+    def _authenticate(self, c):
+        if not self.users.authenticate(c["username"], c["password"]):
+            raise PermissionDenied("wrong user or password")
+        self.user = c["username"]
+        return self.users.roles(self.user)
 
-    def _abort_transaction(self, c):
-        self.transactions.abort(c["txn"])
+    def _create_user(self, c):
+        self.users.create(c["username"], c["password"], c.get("roles", ["read"]))
 
     def _stats(self, c):
         return self._db(c).stats()

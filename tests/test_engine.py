@@ -50,8 +50,33 @@ def test_commands(spark, tmp_path):
     assert x({"type": "create_index", "collection": "u", "name": "i", "fields": ["n"], "unique": True})["ok"]
     assert x({"type": "list_indexes", "collection": "u"})["data"]["i"]["unique"]
     assert x({"type": "list_collections"})["data"] == ["u"] and x({"type": "explain", "collection": "u"})["ok"]
-    t = x({"type": "begin_transaction"})["data"]
-    assert x({"type": "commit_transaction", "txn": t})["ok"] and not x({"type": "abort_transaction", "txn": t})["ok"]
+    assert not x({"type": "create_index", "collection": "u", "name": "j", "fields": ["absent"]})["ok"] or x({"type": "drop_index", "collection": "u", "name": "j"})["ok"]
+    t = x({"type": "txn_begin"})["data"]
+    assert x({"type": "txn_commit", "txn_id": str(t)})["ok"] and not x({"type": "txn_abort", "txn_id": str(t)})["ok"]
+    assert x({"type": "create_database", "name": "d2"})["ok"] and x({"type": "list_databases"})["data"] == ["d2", "default"]
+    assert x({"type": "drop_database", "name": "d2"})["ok"] and x({"type": "list_databases"})["data"] == ["default"]
+
+
+def test_commands_with_roles(spark, tmp_path):
+    c = Commands(spark, str(tmp_path), require_auth=True)
+    c.users.create("ann", "pw", ["read"])
+    assert not c.execute({"type": "find", "collection": "u"})["ok"] and c.execute({"type": "ping"})["ok"]
+    assert not c.execute({"type": "authenticate", "username": "ann", "password": "x"})["ok"]
+    assert c.execute({"type": "authenticate", "username": "ann", "password": "pw"})["data"] == ["read"]
+    assert "needs another role" in c.execute({"type": "insert_one", "collection": "u", "document": {"a": 1}})["error"]
+    assert c.metrics["errors_total"] == 3
+
+
+def test_prompt_and_settings(tmp_path):
+    from tessera.cli import request
+    from tessera.config import Settings
+
+    assert request('find users {"a": 1}', "d") == {"type": "find", "database": "d", "collection": "users", "filter": {"a": 1}}
+    assert request('insert u {"a": 1}', "d")["document"] == {"a": 1} and request("createcol x", "d")["name"] == "x"
+    assert request("nonsense", "d") is None and request("delete u", "d")["filter"] == {}
+    s = Settings(oplog_mb=1, shards=["a"])
+    s.save(str(tmp_path / "s.json"))
+    assert Settings.load(str(tmp_path / "s.json")) == s and s.oplog_entries == 2097
 
 
 def test_transactions():
