@@ -12,21 +12,20 @@ def request(line: str, db: str) -> dict | None:
     """The command of one line, or None for an empty or unknown one."""
     word, _, rest = line.strip().partition(" ")
     name, _, body = rest.strip().partition(" ")
-    plain = {"ping": "ping", "status": "server_status", "dbs": "list_databases", "databases": "list_databases"}
+    plain = dict(ping="ping", status="server_status", dbs="list_databases", databases="list_databases")
+    here = dict(find="find", count="count", delete="delete_many")
     if word in plain:
-        return {"type": plain[word]}
-    if word == "collections":
-        return {"type": "list_collections", "database": db}
+        return dict(type=plain[word])
     if word == "createdb":
-        return {"type": "create_database", "name": name}
+        return dict(type="create_database", name=name)
+    in_db = dict(database=db)
+    if word == "collections":
+        return dict(in_db, type="list_collections")
     if word in ("createcol", "createcollection"):
-        return {"type": "create_collection", "database": db, "name": name}
+        return dict(in_db, type="create_collection", name=name)
     if word == "insert":
-        return {"type": "insert_one", "database": db, "collection": name, "document": json.loads(body)}
-    kinds = {"find": "find", "count": "count", "delete": "delete_many"}
-    if word in kinds:
-        return {"type": kinds[word], "database": db, "collection": name, "filter": json.loads(body or "{}")}
-    return None
+        return dict(in_db, type="insert_one", collection=name, document=json.loads(body))
+    return dict(in_db, type=here[word], collection=name, filter=json.loads(body or "{}")) if word in here else None
 
 
 def main(folder: str) -> None:

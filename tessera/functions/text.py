@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SUFFIXES = ("ingly", "tion", "sion", "ment", "ness", "able", "ible", "ful", "less", "ous", "ive", "ing", "ies", "ied", "ly", "ed", "er", "es", "al", "en", "s")
+#: Longest first, which is all that their order decides.
+SUFFIXES = tuple(sorted("ed ied able ible ive ing al ful en sion tion er s es ies less ness ous ment ly ingly".split(), key=lambda x: (-len(x), x)))
 STOP_WORDS = tuple(
     sorted(
-        set(
-            "their them then there these they this to too up us very was we were what when where which while who whom why will with you your "
-            "me more my no not of on one or our out over own she so some than that the had has have he her his how i if in into is it its just "
-            "a an and are as at be but by for from".split()
-        )
+        (
+            "a i be he me we if of an in on no so to up or as is us at it by my had and she the one are own who too her for "
+            "our has was his its not but out you how why some were more have with will them whom from than then when into "
+            "over your this that what just they very while there where these which their"
+        ).split()
     )
 )
 NOT_WORD = r"[^\p{IsAlphabetic}\p{M}\p{N}]+"
