@@ -233,7 +233,12 @@ def example(r: random.Random) -> tuple[str, tuple[int, int, str] | None]:
             lambda: f"{d(4)} {d(4)}", lambda: f"20{d(2)} 20{d(2)} 20{d(2)}", lambda: f"000-{d(2)}-{d(4)}", lambda: f"9{d(2)}-00-{d(4)}", lambda: f"serial {caps(2)}{d(2)} {caps(4)} {d(4)} {caps(4)}", lambda: f"ratio={d(1)}.{d(2)}", lambda: f"{word()}: {word()}",
             lambda: f"https://{host()}/{word()}/{d(6)}", lambda: f"{d(6)}", lambda: f"part {d(4)}-{d(4)}-{d(4)}", lambda: f"{d(3)} {d(3)} {d(3)}",
         ))()
-    left = " ".join(word() for _ in range(r.randint(0, 8))) + r.choice((" ", " ", "\n", ", "))
+    # words of every context stand near good and bad spans alike, and some spans begin their text
+    stray = r.choice("hash order version page ref section card phone from account key total part".split())
+    near = [word() for _ in range(r.randint(0, 8))]
+    if near and r.random() < 0.25:
+        near[r.randrange(len(near))] = stray
+    left = " ".join(near) + r.choice((" ", " ", "\n", ", ")) if r.random() < 0.92 else ""
     right = r.choice((" ", " ", ". ", ", ", "\n")) + " ".join(word() for _ in range(r.randint(0, 6))) if r.random() < 0.9 else ""
     text = left + lead + s + tail + right
     at = len(left + lead)
