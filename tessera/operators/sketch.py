@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 class BloomFilter:
     """m = -n ln p / ln(2)^2 bits and k = m / n ln 2 double hashes; no false negatives.
 
-    Built from distinct bit numbers hashed in the JVM and merged as bitmaps, one a task.
+    Hashed and merged in the JVM.
     """
 
     def __init__(self, expected: int, rate: float = 0.01):
@@ -28,17 +26,12 @@ class BloomFilter:
         return F.array(*[F.pmod(F.shiftright(h1, 1) + F.shiftright(h2, 8) * i, F.lit(self.m)) for i in range(self.k)])
 
     def build(self, df: DataFrame, col: str) -> BloomFilter:
-        size = len(self.bits)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(size * 8, bool)
-            for b in batches:
-                bits[b.column(0).flatten().to_numpy()] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], names=["bits"])
-
-        rows = df.where(F.col(col).isNotNull()).select(self._positions(F.col(col)).alias("p")).mapInArrow(run, "bits binary")
-        for r in rows.toLocalIterator():
-            self.bits |= np.frombuffer(r[0], np.uint8)
+        """Bits are set in bitmap aggregates of 32,768 each, merged map-side; the driver gets each once."""
+        p = df.where(F.col(col).isNotNull()).select(F.explode(self._positions(F.col(col))).alias("p")).select((F.col("p") + 1).alias("p"))
+        maps = p.groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+        for r in maps.toLocalIterator():
+            at, part = (r["n"] - 1) * 4096, np.frombuffer(r["bits"], np.uint8)
+            self.bits[at : at + 4096] |= part[: len(self.bits) - at]
         return self
 
     def might_contain(self, df: DataFrame, col: str, out: str = "maybe") -> DataFrame:
@@ -48,6 +41,6 @@ class BloomFilter:
         @F.pandas_udf("boolean")
         def test(p: pd.Series) -> pd.Series:
             at = np.stack(p.to_numpy())
-            return pd.Series((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1))
+            return pd.Series((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1))
 
         return df.withColumn(out, F.col(col).isNotNull() & test(self._positions(F.col(col))))
