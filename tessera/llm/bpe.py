@@ -157,6 +157,12 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.get(vocabulary)
+        try:
+            yield from coded(codec, batches)
+        finally:
+            codec.clear()  # the worker lives on
+
+    def coded(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             every = whole.column(1).to_pylist()
             for lo, hi in _groups(every, BATCH_CHARS):

@@ -32,17 +32,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small, table, written
+from .common import map_arrow, small, table, trim, written
 
 NGRAM = 2
 THRESHOLD = Fraction(3, 4)
 #: Signatures that a worker gathers before it packs them, and that a bucket has on average.
-FLUSH_SIGNATURES = 3_000_000
+FLUSH_SIGNATURES = 1_500_000
 BUCKET_SIGNATURES = 5_000_000
 #: Distinct n-grams a byte of text, about; only sizes the buckets.
 GRAMS_A_BYTE = 0.14
 #: Pairs that a worker holds at once.
-PAIR_CHUNK = 1_000_000
+PAIR_CHUNK = 500_000
 #: Pairs verified in one group of documents.
 BLOCK_PAIRS = 100_000
 #: Part of its segments that a set leaves out.
@@ -362,30 +362,39 @@ def _match(plan: Plan):
                     yield from rows(u, s, np.full(len(u), -1), np.zeros(len(u)))
                     continue
                 # signature, deletion, set, prober: subsets come before deletions in a group
-                key = sig.astype(np.uint64) << U(32) | (who.astype(np.uint64) >> U(1) & U(1)) << U(31)
-                parts.append((key | (who & 1).astype(np.uint64), (who >> 2).astype(np.uint32) + np.uint32(base)))
+                key = sig.astype(np.uint64) << U(32)
+                key |= (who.astype(np.uint64) >> U(1) & U(1)) << U(31) | (who & 1)
+                key |= ((who >> 2).astype(np.uint64) + U(base)) << U(1)
+                parts.append(key)
                 units.append(u)
                 sizes.append(s)
                 base += len(u)
         if not parts:
             return
+        assert base < 1 << 30, "too few buckets"
+        key = np.concatenate(parts)
+        del parts, sig, who
+        trim()
         every, inverse = np.unique(np.concatenate(units), return_inverse=True)
         size = np.zeros(len(every), np.int64)
         size[inverse] = np.concatenate(sizes)
-        assert len(every) < 1 << 30, "too few buckets"
-        inverse = inverse.astype(np.uint64) << U(1)
-        for k, d in parts:
-            k |= inverse[d]
-        key = np.concatenate([k for k, _ in parts])
-        del parts, inverse, units, sizes
+        # sets are numbered by block so far; one that came in several blocks gets one number
+        mask = U((1 << 30) - 1)
+        to = inverse.astype(np.uint64) << U(1)
+        del units, sizes, inverse
+        for at in range(0, len(key), 1 << 20):
+            part = key[at : at + (1 << 20)]
+            part[:] = part & ~(mask << U(1)) | to[(part >> U(1) & mask).astype(np.int64)]
         key.sort()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
         sig = (key >> U(32)).astype(np.uint32)
         same = sig[1:] == sig[:-1]
         keep = np.zeros(len(key), bool)
         keep[1:] |= same
         keep[:-1] |= same
-        key, sig = key[keep], sig[keep]
+        key = key[keep]
+        if len(key):
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        sig = (key >> U(32)).astype(np.uint32)
         if not len(key):
             return
         head = np.nonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))[0]
@@ -395,8 +404,7 @@ def _match(plan: Plan):
         left = left[first]
         cum = np.cumsum(left)
         # so many passes, each over the pairs of one class, that the pairs of a pass fit in memory
-        classes = max(1, -(-int(cum[-1] if len(cum) else 0) // (16 * PAIR_CHUNK)))
-        mask = U((1 << 30) - 1)
+        classes = max(1, -(-int(cum[-1] if len(cum) else 0) // (32 * PAIR_CHUNK)))
         for c in range(classes):
             pairs, counts, at = np.empty(0, np.uint64), np.empty(0, np.int64), 0
             while at < len(first):
