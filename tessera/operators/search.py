@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ANALYZERS, edge_ngram
+from .spread import spread
 
 K1, B = 1.5, 0.75
 FIELD_GAP = 100
@@ -34,7 +35,8 @@ class TextIndex:
             toks = F.coalesce(analyze(F.col(f)), F.array().cast("array<string>"))
             parts.append(tagged(toks, base, i))
             base = base + F.size(toks) + FIELD_GAP
-        self.docs = df.select(F.col(id_col).alias("doc"), F.concat(*parts).alias("tokens"))
+        rows = spread(df.select(id_col, *[f for f in fields if f != id_col]))
+        self.docs = rows.select(F.col(id_col).alias("doc"), F.concat(*parts).alias("tokens"))
         self.tokens = self.docs.select("doc", F.inline("tokens"))
 
     def lengths(self) -> DataFrame:
