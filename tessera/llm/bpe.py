@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .common import TOKENIZERS, map_arrow, table
 from .token_counts import PATTERN
 
@@ -193,7 +194,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), pa.array(n, pa.int64(), mask=null), *lists, pa.array(same, mask=null)], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {kind}, n_tokens bigint, ids array<int>, steps array<smallint>, widths array<smallint>, round_trip boolean")
+    return map_arrow(spread(docs.select(F.col(id_col), F.col(text_col))), run, f"doc_id {kind}, n_tokens bigint, ids array<int>, steps array<smallint>, widths array<smallint>, round_trip boolean")
 
 
 def with_offsets(encoded: DataFrame) -> DataFrame:

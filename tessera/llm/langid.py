@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .common import TOKENIZERS, map_arrow, table
 
 VOCABULARY = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -307,7 +308,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([b.column(0), pred, post, margin, pa.array(n), ok], names=["doc_id", "lang_pred", "posterior", "margin", "n_words", "accepted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {kind}, {COLUMNS}")
+    return map_arrow(spread(docs.select(F.col(id_col), F.col(text_col))), run, f"doc_id {kind}, {COLUMNS}")
 
 
 def _decide(langs: list[str], score: np.ndarray, n: np.ndarray, least: float):
@@ -342,7 +343,7 @@ def accept(docs: DataFrame, model: Model, text_col: str = "text", min_posterior:
                 score, n = score_batch(m, b.column(where), cache, tab)
                 yield b.filter(_decide(m.langs, score, n, min_posterior)[3])
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(spread(docs), run, docs.schema)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

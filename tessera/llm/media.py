@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .common import map_arrow, table
 
 RATE, FRAME, HOP = 8000, 512, 256
@@ -103,7 +104,7 @@ def media_of_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str
                 wavs = [None if v is None else wav_bytes(tones(np.array([x or 0.0 for x in v], np.float64))) for v in s.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(wavs, pa.binary())], names=["media_id", "wav"])
 
-    return map_arrow(vectors.select(id_col, vec_col), run, f"media_id {vectors.schema[id_col].dataType.simpleString()}, wav binary")
+    return map_arrow(spread(vectors.select(id_col, vec_col)), run, f"media_id {vectors.schema[id_col].dataType.simpleString()}, wav binary")
 
 
 def fingerprints(media: DataFrame, id_col: str = "media_id", wav_col: str = "wav") -> DataFrame:

@@ -32,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .common import map_arrow, small, table, trim, written
 
 NGRAM = 2
@@ -453,7 +454,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def candidates(docs: DataFrame, plan: Plan, buckets: int, n: int = NGRAM) -> DataFrame:
     """(a, b, need, t) of every pair of units with enough matches, and (unit, id, -1, 0) of every document; written once."""
-    signed = map_arrow(docs, _sign(plan, buckets, n), "bucket int, block binary").repartitionById(buckets, "bucket")
+    signed = map_arrow(spread(docs), _sign(plan, buckets, n), "bucket int, block binary").repartitionById(buckets, "bucket")
     rows = map_arrow(signed, _match(plan), "a bigint, b bigint, need int, t int")
     return rows.groupBy("a", "b", "need").agg(F.sum("t").alias("t")).where("t >= need")
 

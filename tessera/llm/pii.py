@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .common import map_arrow, table
 
 KINDS = ("email", "ip", "phone", "card", "ssn", "iban", "secret")
@@ -334,7 +335,7 @@ def find_private(docs: DataFrame, model: Detector | None = None, id_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).rlike(TRIGGER))
-    return map_arrow(rows, run, f"doc_id {kind}, spans array<struct<start:int,end:int,kind:string,probability:double>>, redacted string")
+    return map_arrow(spread(rows), run, f"doc_id {kind}, spans array<struct<start:int,end:int,kind:string,probability:double>>, redacted string")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .common import TOKENIZERS, map_arrow, table
 
 #: Pre-token pattern of the vocabulary.
@@ -81,7 +82,7 @@ def token_counts(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {kind}, n_tokens bigint")
+    return map_arrow(spread(docs.select(F.col(id_col), F.col(text_col))), run, f"doc_id {kind}, n_tokens bigint")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .common import map_arrow, table
 
 SEGMENT_BYTES = 2048
@@ -185,7 +186,7 @@ def page_records(pages: DataFrame, segment: int = SEGMENT_BYTES, chunk: int = CH
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    return map_arrow(pages.select("page_id", "url", "html"), run, "record binary")
+    return map_arrow(spread(pages.select("page_id", "url", "html")), run, "record binary")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
