@@ -37,7 +37,8 @@ class TextIndex:
             base = base + F.size(toks) + FIELD_GAP
         rows = spread(df.select(id_col, *[f for f in fields if f != id_col]))
         self.docs = rows.select(F.col(id_col).alias("doc"), F.concat(*parts).alias("tokens"))
-        self.tokens = self.docs.select("doc", F.inline("tokens"))
+        # outer, as Spark would otherwise analyze each text once more to test for an empty array
+        self.tokens = self.docs.select("doc", F.inline_outer("tokens")).where(F.col("term").isNotNull())
 
     def lengths(self) -> DataFrame:
         return self.docs.select("doc", F.size("tokens").alias("dl"))
@@ -76,11 +77,12 @@ class TextIndex:
         if not terms:
             return self.docs.select("doc").where(F.lit(False))
 
-        def starts(i: int, term: str) -> Column:
-            return F.transform(F.filter("tokens", lambda x: x["term"] == term), lambda x: x["pos"] - i)
+        def starts(tokens: Column, i: int, term: str) -> Column:
+            return F.transform(F.filter(tokens, lambda x: x["term"] == term), lambda x: x["pos"] - i)
 
-        start = reduce(F.array_intersect, (starts(i, t) for i, t in enumerate(terms)))
-        return self.docs.where(F.size(start) > 0).select("doc")
+        # bound to a lambda's variable, so that a text is analyzed once and not once a term
+        hits = F.transform(F.array("tokens"), lambda tokens: F.size(reduce(F.array_intersect, (starts(tokens, i, t) for i, t in enumerate(terms)))))
+        return self.docs.where(F.element_at(hits, 1) > 0).select("doc")
 
     def scored(self, terms: list[str], among: DataFrame | None = None, score: str = "bm25") -> DataFrame:
         """(doc, score, matched_terms): a repeated query term counts again.
@@ -91,7 +93,7 @@ class TextIndex:
         """
         repeats = {t: terms.count(t) for t in terms}
         hits = F.filter("tokens", lambda x: x["term"].isin(list(repeats)) if repeats else F.lit(False))
-        found = self.docs.select("doc", F.size("tokens").alias("dl"), F.explode(hits).alias("t"))
+        found = self.docs.select("doc", F.size("tokens").alias("dl"), F.explode_outer(hits).alias("t")).where(F.col("t").isNotNull())
         posts = found.groupBy("doc", "dl", F.col("t.term").alias("term")).agg(F.sum(self._weight(F.col("t.field"))).alias("wtf"))
         df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         if among is not None:
