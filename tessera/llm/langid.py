@@ -32,6 +32,8 @@ SPACE = "▁"
 #: Words scored together; words longer than this many characters are scored one by one, with rescaling.
 LONG_WORD = 48
 CACHE_WORDS = 300_000
+#: Forward sums below this have left, or may have left, a double's range on the way; they are summed again in logarithms.
+TINY = 1e-280
 
 #: ASCII letters stay (lower-cased before), other ASCII becomes white space; bytes from 128 on are parts of letters.
 _KEEP = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -149,7 +151,10 @@ class Model:
                     miss[hit] = False
                     for k in np.nonzero(miss)[0]:
                         alpha[i + 1, k] += a[k] * np.prod(self.probs[[self.of_byte[b] for b in texts[k][i].encode()]], axis=0)
-        out[short] = np.log(alpha[lens, np.arange(len(texts))])
+        sums = alpha[lens, np.arange(len(texts))]
+        out[short] = np.log(np.maximum(sums, TINY))
+        for k in np.nonzero((sums < TINY).any(axis=1))[0]:
+            out[short[k]] = self.log_score(words[short[k]])
         return out
 
 
@@ -219,9 +224,10 @@ def _arcs(model: Model, words: list[str]):
 
 
 def _expected(arcs, many: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece, by the forward and backward sums of every word; words too long for a double's range are passed over."""
+    """Expected uses of each piece, by the forward and backward sums of every word."""
     nodes, first, last, word, source, target, order, edge, piece, at, per = arcs
-    q = np.exp(np.add.reduceat(np.log(p)[piece], at))
+    log_q = np.add.reduceat(np.log(p)[piece], at)
+    q = np.exp(log_q)
     fwd, bwd = np.zeros(nodes), np.zeros(nodes)
     fwd[first] = bwd[last] = 1
     steps = [order[a:z] for a, z in zip(edge, edge[1:])]
@@ -230,8 +236,18 @@ def _expected(arcs, many: np.ndarray, p: np.ndarray) -> np.ndarray:
     for e in reversed(steps):
         np.add.at(bwd, source[e], bwd[target[e]] * q[e])
     z = fwd[last]
-    unit = np.divide(many, z, out=np.zeros_like(many), where=z > 0)
+    unit = np.divide(many, z, out=np.zeros_like(many), where=z >= TINY)
     use = fwd[source] * q * bwd[target] * unit[word]
+    if (z < TINY).any():
+        far = (z < TINY)[word]
+        steps = [e[far[e]] for e in steps]
+        fwd, bwd = np.full(nodes, -np.inf), np.full(nodes, -np.inf)
+        fwd[first] = bwd[last] = 0
+        for e in steps:
+            np.logaddexp.at(fwd, target[e], fwd[source[e]] + log_q[e])
+        for e in reversed(steps):
+            np.logaddexp.at(bwd, source[e], bwd[target[e]] + log_q[e])
+        use[far] = many[word[far]] * np.exp(fwd[source[far]] + log_q[far] + bwd[target[far]] - fwd[last[word[far]]])
     return np.bincount(piece, weights=np.repeat(use, per), minlength=len(p))
 
 

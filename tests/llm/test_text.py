@@ -51,6 +51,27 @@ def test_batch_scores_equal_single_ones(model):
     assert np.allclose(batch, np.stack([model.log_score(w) for w in ws]))
 
 
+@pytest.mark.parametrize("char", ["\U0001F9A3", "㳗", "ᎁ"])
+def test_words_outside_the_vocabulary_do_not_underflow(model, char):
+    ws = [char * n for n in range(12, langid.LONG_WORD + 1)] + ["haus" + char * 20 + "haus"]
+    batch = model.log_scores(ws)
+    assert np.isfinite(batch).all()
+    assert np.allclose(batch, np.stack([model.log_score(w) for w in ws]))
+    text = "the house and the garden of the old town " * 20
+    score, n = langid.score_batch(model, pa.array([text, text + char * 30]), {}, [np.empty((0, len(model.langs)))])
+    pred, post, margin, ok = langid._decide(model.langs, score, n, langid.MIN_POSTERIOR)
+    assert np.isfinite(post.to_pylist()).all() and np.isfinite(margin.to_pylist()).all()
+
+
+@pytest.mark.parametrize("n", [12, 16, 17, 18, 40])
+def test_training_words_outside_the_vocabulary_are_counted(n):
+    rare = "\U0001F9A3"
+    m = langid.fit({"en": Counter({"the": 50, "house": 20, rare * n: 5}), "de": Counter({"das": 50, "haus": 20})})
+    assert np.isfinite(m.probs).all() and np.allclose(m.probs.sum(axis=0), 1)
+    spelled = [m.of_byte[b] for b in rare.encode()]
+    assert m.langs == ["de", "en"] and (m.probs[spelled, 0] < 0.01).all() and (m.probs[spelled, 1] > 0.01).all()
+
+
 def test_piece_probabilities_are_a_distribution(model):
     assert np.allclose(model.probs.sum(axis=0), 1) and (model.probs > 0).all()
 
