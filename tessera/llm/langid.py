@@ -252,8 +252,11 @@ def _expected(arcs, many: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def training_counts(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Counter]:
-    """Word counts of at most ``per_lang`` labelled texts a language, chosen by the hash of their ids."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL").withColumn("h", F.xxhash64("id", F.lit(17)))
+    """Word counts of at most ``per_lang`` labelled texts a language, chosen by the hash of their ids.
+
+    A repeated id counts once a language, with its least text.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL").distinct().withColumn("h", F.xxhash64("id", F.lit(17)))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
@@ -265,10 +268,12 @@ def training_counts(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, id_col: st
     near = rows.where(F.col("h").bitwiseAND(F.lit(span - 1)) <= limit)
     order = F.transform(F.array_sort(F.collect_list(F.struct("h", "id"))), lambda x: x["id"])
     best = near.groupBy("lang").agg(F.slice(order, 1, per_lang).alias("ids"))
-    picked = [(i, r["lang"]) for r in best.collect() for i in r["ids"]]
-    texts = docs.where(F.col(id_col).isin([i for i, _ in picked]) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col), F.col(lang_col), F.col(text_col))
+    picked = {(i, r["lang"]) for r in best.collect() for i in r["ids"]}
+    texts = docs.where(F.col(id_col).isin(list({i for i, _ in picked})) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).groupBy(F.col(id_col), F.col(lang_col)).agg(F.min(text_col))
     counts: dict[str, Counter] = {lang: Counter() for lang in sizes}
-    for _, lang, text in sorted(texts.limit(len(picked) * 2).toLocalIterator(), key=lambda r: (str(r[0]), r[1])):
+    for i, lang, text in texts.toLocalIterator():
+        if (i, lang) not in picked:
+            continue
         counts[lang].update(w.decode("utf-8", "replace") for w in words_of(text.lower().encode()) if len(w) <= 4 * LONG_WORD)
     return counts
 

@@ -101,6 +101,15 @@ def test_no_labels_no_language(nasty, spark, empty):
     assert langid.accept(nasty, none).count() == 0 and langid.training_counts(empty) == {}
 
 
+def test_repeated_ids_do_not_use_up_the_sample(spark):
+    rows = [(1, f"alpha{i % 7}", "aa") for i in range(3000)] + [(i, "beta", "bb") for i in range(2, 9)]
+    rows += [(i, "gamma", "aa") for i in range(10, 13)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3, "text")
+    got = langid.training_counts(docs, 4)
+    assert sum(got["aa"].values()) == 4 and got["aa"]["gamma"] == 3 and sum(got["bb"].values()) == 4
+    assert got == langid.training_counts(docs.repartition(5), 4) == langid.training_counts(docs.dropDuplicates(), 4)
+
+
 def test_scoring_does_not_depend_on_the_cache(model, monkeypatch, sf, spark):
     texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()]
     new = lambda: ({}, [np.empty((0, len(model.langs)))])
