@@ -362,7 +362,15 @@ add("shard_route", lambda s, d: routing.route(table(s, d, "customer").select("c_
 add("shard_range", lambda s, d: table(s, d, "orders").where(routing.in_range(F.col("o_custkey"), 100, 200)).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_custkey >= 100 AND o_custkey < 200")
 add("index_unique", lambda s, d: routing.unique_violations(table(s, d, "orders"), ["o_custkey", "o_orderstatus"]), "SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
 add("index_range", lambda s, d: table(s, d, "orders").where(F.col("o_totalprice").between(1000.0, 50000.0)).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000")
-add("bloom", lambda s, d: sketch.BloomFilter(20000).build(table(s, d, "orders"), "o_custkey").might_contain(table(s, d, "customer").select("c_custkey"), "c_custkey"))
+
+
+def _bloom(s: SparkSession, d: str) -> DataFrame:
+    keys = table(s, d, "orders").select("o_custkey")
+    n = keys.agg(F.approx_count_distinct("o_custkey", 0.01)).first()[0]
+    return sketch.BloomFilter(max(1, n)).build(keys, "o_custkey").might_contain(table(s, d, "customer").select("c_custkey"), "c_custkey")
+
+
+add("bloom", _bloom)
 add("sha256", lambda s, d: table(s, d, "customer").select("c_custkey", values.sha256_hex(F.col("c_name")).alias("h")), "SELECT c_custkey, sha256(c_name) AS h FROM customer")
 add("hex_encode", lambda s, d: table(s, d, "nation").select(values.hex_encode(F.col("n_name")).alias("h")), "SELECT lower(hex(n_name)) AS h FROM nation")
 _U = "CASE WHEN n >= 1099511627776 THEN printf('%.2f TB', n / 1099511627776.0::DOUBLE) WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.2f KB', n / 1024.0::DOUBLE) ELSE n || ' B' END"

@@ -110,6 +110,16 @@ def test_ring_moves_only_what_it_must(spark):
     assert j.where("x <> y AND y <> 'e'").count() == 0 and 0 < j.where("y = 'e'").count() < 1000
 
 
+def test_bloom_query_is_sized_by_its_table(spark, tmp_path):
+    from tessera.queries import QUERIES
+
+    spark.range(100_000).toDF("o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(90_000, 110_000).toDF("c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = QUERIES["bloom"](spark, str(tmp_path)).where("maybe")
+    assert got.where("c_custkey < 100000").count() == 10_000
+    assert got.where("c_custkey >= 100000").count() < 300
+
+
 def test_bloom(spark):
     b = sketch.BloomFilter(1000, 0.01).build(spark.range(1000), "id")
     assert b.might_contain(spark.range(1000), "id").where("NOT maybe").count() == 0
