@@ -24,7 +24,7 @@ from .common import map_arrow, table
 
 KINDS = ("email", "ip", "phone", "card", "ssn", "iban", "secret")
 #: No generator matches a text without one of these.
-TRIGGER = "[0-9@=:]|A[KS]IA|AIza|gh[pousr]_|sk[-_]|pk_|xox|glpat-|eyJ"
+TRIGGER = r"[\p{Nd}@=:]|A[KS]IA|AIza|gh[pousr]_|sk[-_]|pk_|xox|glpat-|eyJ"
 PRECISION = 0.98
 EXAMPLES, ROUNDS, DEPTH, RATE = 9000, 60, 3, 0.3
 

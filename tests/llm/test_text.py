@@ -101,6 +101,12 @@ def test_no_labels_no_language(nasty, spark, empty):
     assert langid.accept(nasty, none).count() == 0 and langid.training_counts(empty) == {}
 
 
+@pytest.mark.parametrize("text", ["call １３８ ００１３ ８０００ now", "call ١٣٨ ٠٠١٣ ٨٠٠٠ now"])
+def test_every_digit_that_is_proposed_passes_the_prefilter(spark, text):
+    assert any(kind == "phone" for *_, kind in pii.propose(text))
+    assert spark.createDataFrame([(text,)], "text string").where(F.col("text").rlike(pii.TRIGGER)).count() == 1
+
+
 def test_repeated_ids_do_not_use_up_the_sample(spark):
     rows = [(1, f"alpha{i % 7}", "aa") for i in range(3000)] + [(i, "beta", "bb") for i in range(2, 9)]
     rows += [(i, "gamma", "aa") for i in range(10, 13)]
