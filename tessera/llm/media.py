@@ -51,9 +51,8 @@ def read_wav(data: bytes | None) -> tuple[int, np.ndarray] | None:
 
 
 def spectrogram(x: np.ndarray, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
-    """Magnitudes, frames by frequency bins, under a Hann window; a signal under one frame is padded with zeros."""
-    if len(x) < frame:
-        x = np.pad(x, (0, frame - len(x)))
+    """Magnitudes, frames by frequency bins, under a Hann window; a signal is padded with zeros to one frame or more and whole hops."""
+    x = np.pad(x, (0, frame - len(x) if len(x) < frame else -(len(x) - frame) % hop))
     n = 1 + (len(x) - frame) // hop
     frames = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop][:n]
     return np.abs(np.fft.rfft(frames * np.hanning(frame), axis=1))

@@ -73,6 +73,14 @@ def wav(x, width, channels=1, rate=8000):
     return buf.getvalue()
 
 
+@pytest.mark.parametrize(("n", "frames"), [(0, 1), (511, 1), (512, 1), (513, 2), (767, 2), (768, 2), (8000, 31)])
+def test_every_sample_is_in_a_frame(n, frames):
+    x = np.zeros(n)
+    x[-20:] = 1.0
+    m = media.spectrogram(x)
+    assert len(m) == frames and (n == 0 or m[-1].max() > 0)
+
+
 @pytest.mark.parametrize("width", [1, 2, 3, 4])
 def test_reading_wav(width):
     x = np.sin(np.arange(800) / 9) * 0.8
