@@ -16,14 +16,17 @@ pair needs; pairs with fewer are dropped where they are found. Where a single se
 a bucket it is split by signature, and the parts' matches are summed.
 
 Signatures travel in packed binary blocks, one a batch and bucket, so that the shuffle carries
-under five bytes a signature and no row a signature. A 64-bit sum of hashes stands for a set and
-48 bits for an n-gram when verifying; a clash of either has a chance below 1e-8 a pair.
+under five bytes a signature and no row a signature. When verifying, 64 bits stand for an n-gram
+and two independent 64-bit sums for a set: two sets of 20,000 n-grams have a clash between them
+with a chance of 2e-11, and among 10^10 different sets two are taken for one with a chance of
+2e-19. Candidates go by the first sum alone; where two sets share that, each is verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.spread import spread
 from .common import map_arrow, small, table, trim, written
@@ -48,6 +52,8 @@ PAIR_CHUNK = 500_000
 BLOCK_PAIRS = 100_000
 #: Part of its segments that a set leaves out.
 SKIP = 0.08
+#: Signatures that a worker matches at once; a bucket of more is matched in parts, by signature.
+MATCH_SIGNATURES = 20_000_000
 
 U = np.uint64
 _WORD = np.array([1 if c >= 128 or chr(c).isalnum() else 0 for c in range(256)], np.int8)
@@ -108,15 +114,18 @@ def gram_sets(texts: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), per
 
 
-def unit_ids(grams: np.ndarray, per: np.ndarray) -> np.ndarray:
-    """A number for each set; empty sets have 0."""
+def unit_ids(grams: np.ndarray, per: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A number for each set, independent for each seed; empty sets have 0."""
     out = np.zeros(len(per), np.uint64)
     has = np.nonzero(per)[0]
     if len(has):
-        out[has] = mix(np.add.reduceat(mix(grams), (np.cumsum(per) - per)[has]))
+        out[has] = mix(np.add.reduceat(mix(grams ^ U(seed)), (np.cumsum(per) - per)[has]))
     return out
 
 
+CHECK = 0xA0761D6478BD642F
+
+
 class Plan:
     """Bands of set sizes and each band's segments, for a threshold and a number of documents."""
 
@@ -271,12 +280,12 @@ def pack(sig: np.ndarray, who: np.ndarray, units: np.ndarray, sizes: np.ndarray)
     return zstandard.compress(b"".join([head.tobytes(), *(x.tobytes() for x in parts)]), 1)
 
 
-def pack_members(units: np.ndarray, ids: np.ndarray) -> bytes:
-    return zstandard.compress(np.array([(1, len(units), 0, 0)], _HEAD).tobytes() + units.astype("<u8").tobytes() + ids.astype("<i8").tobytes(), 1)
+def pack_members(units: np.ndarray, ids: np.ndarray, checks: np.ndarray) -> bytes:
+    return zstandard.compress(np.array([(1, len(units), 0, 0)], _HEAD).tobytes() + units.astype("<u8").tobytes() + ids.astype("<i8").tobytes() + checks.astype("<u8").tobytes(), 1)
 
 
 def unpack(blob: bytes):
-    """(kind, units, sizes or ids, signatures, local set and flags)."""
+    """(kind, units, sizes, signatures, local set and flags), or (1, units, ids, checks, None)."""
     blob = zstandard.decompress(blob)
     kind, docs, n, jumps = (int(x) for x in np.frombuffer(blob, _HEAD, 1)[0])
     at = _HEAD.itemsize
@@ -289,7 +298,7 @@ def unpack(blob: bytes):
 
     units = take("<u8", docs)
     if kind == 1:
-        return kind, units, take("<i8", docs), None, None
+        return kind, units, take("<i8", docs), take("<u8", docs), None
     sizes, big, step = take("<u4", docs), take("<u4", jumps), take("u1", n).astype(np.uint32)
     step[step == 255] = big
     return kind, units, sizes, np.cumsum(step, dtype=np.uint32) << np.uint32(16) | take("<u2", n), take("<u2", n)
@@ -300,7 +309,7 @@ def _sign(plan: Plan, buckets: int, n: int):
 
     def flush(got: list[tuple]) -> Iterator[pa.RecordBatch]:
         grams, per, ids = (np.concatenate(x) for x in zip(*got))
-        units = unit_ids(grams, per)
+        units, checks = unit_ids(grams, per), unit_ids(grams, per, CHECK)
         # sets that occur twice in the batch are signed once
         _, first = np.unique(units, return_index=True)
         once = np.zeros(len(units), bool)
@@ -322,7 +331,8 @@ def _sign(plan: Plan, buckets: int, n: int):
         named = per > 0
         home = (units[named] >> U(32)) * U(buckets) >> U(32)
         for i in np.unique(home):
-            rows.append((int(i), pack_members(units[named][home == i], ids[named][home == i])))
+            mine = np.nonzero(named)[0][home == i]
+            rows.append((int(i), pack_members(units[mine], ids[mine], checks[mine])))
         for at in range(0, len(rows), 16):
             b, data = zip(*rows[at : at + 16])
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "block"])
@@ -346,43 +356,62 @@ def _sign(plan: Plan, buckets: int, n: int):
 
 
 def _match(plan: Plan):
-    """Blocks of a bucket to (a, b, need, t): matches of unit a with unit b; members come as (unit, id, -1, 0)."""
+    """Blocks of a bucket to (a, b, need, t): matches of unit a with unit b; members come as (unit, id, -1, check)."""
 
     def rows(a, b, need, t):
-        cols = [pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(need.astype(np.int32)), pa.array(t.astype(np.int32))]
+        cols = [pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(need.astype(np.int32)), pa.array(t.astype(np.int64))]
         whole = pa.RecordBatch.from_arrays(cols, names=["a", "b", "need", "t"])
         for at in range(0, whole.num_rows, 1 << 18):
             yield whole.slice(at, 1 << 18)
 
+    def gathered(blobs: list[bytes], part: int, parts: int):
+        """(keys, units, sizes): the signatures of one part of their range, with their sets numbered."""
+        keys, units, sizes, base = [], [], [], 0
+        for i, blob in enumerate(blobs):
+            if part + 1 == parts:
+                blobs[i] = b""
+            _, u, s, sig, who = unpack(blob)
+            if parts > 1:
+                mine = (sig.astype(np.uint64) * U(parts) >> U(32)).astype(np.int64) == part
+                sig, (ids, local), flags = sig[mine], np.unique(who[mine] >> 2, return_inverse=True), who[mine] & 3
+                u, s, who = u[ids], s[ids], local.astype(np.uint64) << U(2) | flags
+            # signature, deletion, set, prober: subsets come before deletions in a group
+            key = sig.astype(np.uint64) << U(32)
+            key |= (who.astype(np.uint64) >> U(1) & U(1)) << U(31) | (who & 1)
+            key |= ((who >> 2).astype(np.uint64) + U(base)) << U(1)
+            keys.append(key)
+            units.append(u)
+            sizes.append(s)
+            base += len(u)
+        return np.concatenate(keys), np.concatenate(units), np.concatenate(sizes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, units, sizes, base = [], [], [], 0
+        blobs, entries, sets = [], 0, 0
         for batch in batches:
             for blob in batch.column(1):
-                kind, u, s, sig, who = unpack(blob.as_buffer())
+                data = blob.as_buffer()
+                kind, docs, n, _ = (int(x) for x in np.frombuffer(zstandard.ZstdDecompressor().stream_reader(data).read(_HEAD.itemsize), _HEAD, 1)[0])
                 if kind == 1:
-                    yield from rows(u, s, np.full(len(u), -1), np.zeros(len(u)))
+                    _, u, ids, checks, _ = unpack(data)
+                    yield from rows(u, ids, np.full(len(u), -1), checks)
                     continue
-                # signature, deletion, set, prober: subsets come before deletions in a group
-                key = sig.astype(np.uint64) << U(32)
-                key |= (who.astype(np.uint64) >> U(1) & U(1)) << U(31) | (who & 1)
-                key |= ((who >> 2).astype(np.uint64) + U(base)) << U(1)
-                parts.append(key)
-                units.append(u)
-                sizes.append(s)
-                base += len(u)
-        if not parts:
-            return
-        assert base < 1 << 30, "too few buckets"
-        key = np.concatenate(parts)
-        del parts, sig, who
-        trim()
-        every, inverse = np.unique(np.concatenate(units), return_inverse=True)
+                blobs.append(data.to_pybytes())
+                entries, sets = entries + n, sets + docs
+        parts = max(1, -(-entries // MATCH_SIGNATURES))
+        while blobs and sets > parts * (1 << 29) and parts < 1 << 16:
+            parts *= 2
+        for part in range(parts if blobs else 0):
+            yield from matched(*gathered(blobs, part, parts), parts)
+
+    def matched(key: np.ndarray, units: np.ndarray, sizes: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+        every, inverse = np.unique(units, return_inverse=True)
         size = np.zeros(len(every), np.int64)
-        size[inverse] = np.concatenate(sizes)
+        size[inverse] = sizes
         # sets are numbered by block so far; one that came in several blocks gets one number
         mask = U((1 << 30) - 1)
         to = inverse.astype(np.uint64) << U(1)
         del units, sizes, inverse
+        trim()
         for at in range(0, len(key), 1 << 20):
             part = key[at : at + (1 << 20)]
             part[:] = part & ~(mask << U(1)) | to[(part >> U(1) & mask).astype(np.int64)]
@@ -431,10 +460,12 @@ def _match(plan: Plan):
                     counts = np.bincount(back, weights=counts, minlength=len(pairs)).astype(np.int64)
             p, q, t = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64), counts
             need = plan.needed(size[p], size[q])
-            # the part of it that some bucket has; where that is 1, all matches are passed on and summed
-            part = -(-need // plan.dealt[plan.band(np.minimum(size[p], size[q]))])
-            ok = t >= part
-            p, q, t, need = p[ok], q[ok], t[ok], np.where(part > 1, 1, need)[ok]
+            # the part of it that some bucket has, and some part of that bucket; where the latter
+            # is 1, all matches are passed on and summed, to the bucket's part at least
+            some = -(-need // plan.dealt[plan.band(np.minimum(size[p], size[q]))])
+            least = -(-some // parts)
+            ok = t >= least
+            p, q, t, need = p[ok], q[ok], t[ok], np.where(least > 1, 1, np.where(some > 1, np.where(parts > 1, some, 1), need))[ok]
             a, b = every[p].astype(np.int64), every[q].astype(np.int64)
             yield from rows(np.minimum(a, b), np.maximum(a, b), need, t)
 
@@ -449,74 +480,72 @@ def self_ok(plan: Plan, size: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.nd
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    i = F.col(f"`{id_col}`")
+    i = i.try_cast("bigint") if isinstance(docs.schema[id_col].dataType, T.StringType) else i.cast("bigint")
+    return docs.select(i.alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
 
 def candidates(docs: DataFrame, plan: Plan, buckets: int, n: int = NGRAM) -> DataFrame:
-    """(a, b, need, t) of every pair of units with enough matches, and (unit, id, -1, 0) of every document; written once."""
+    """(a, b, need, t) of every pair of units with enough matches, and (unit, id, -1, check) of every document; written once."""
     signed = map_arrow(spread(docs), _sign(plan, buckets, n), "bucket int, block binary").repartitionById(buckets, "bucket")
-    rows = map_arrow(signed, _match(plan), "a bigint, b bigint, need int, t int")
-    return rows.groupBy("a", "b", "need").agg(F.sum("t").alias("t")).where("t >= need")
+    rows = map_arrow(signed, _match(plan), "a bigint, b bigint, need int, t bigint")
+    total = F.coalesce(F.sum(F.when(F.col("need") >= 0, F.col("t"))), F.max(F.when(F.col("need") < 0, F.col("t"))))
+    return rows.groupBy("a", "b", "need").agg(total.alias("t")).where("need < 0 OR t >= need")
 
 
 def _packed_sets(n: int):
-    """(id, text, blocks) to (block, unit, grams) rows, 6 bytes an n-gram."""
+    """(id, text, blocks) to (block, unit, check, grams) rows, 8 bytes an n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 grams, per = gram_sets(b.column(1), n)
-                units = unit_ids(grams, per).astype(np.int64)
+                units, checks = unit_ids(grams, per).astype(np.int64), unit_ids(grams, per, CHECK).astype(np.int64)
                 edge = np.concatenate([[0], np.cumsum(per)])
                 out = []
                 for i, wanted in enumerate(b.column(2).to_pylist()):
-                    mine = [w["block"] for w in wanted if w["unit"] == units[i]]
+                    mine = [w["block"] for w in wanted if w["unit"] == units[i] and w["check"] == checks[i]]
                     if mine:
-                        s = (grams[edge[i] : edge[i + 1]] >> U(16)).astype("<u8")
-                        data = s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                        out += [(x, int(units[i]), data) for x in mine]
+                        data = grams[edge[i] : edge[i + 1]].astype("<u8").tobytes()
+                        out += [(x, int(units[i]), None, int(checks[i]), data) for x in mine]
                 if out:
-                    x, u, d = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(u, pa.int64()), pa.array([None] * len(x), pa.int64()), pa.array(d, pa.binary())], names=["block", "a", "b", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (*[pa.int64()] * 4, pa.binary()))], names=["block", "a", "b", "check", "grams"])
 
     return run
 
 
 def _verify(threshold: Fraction):
-    """Rows sorted by block, sets first, to (a, b, jaccard) of the pairs that reach the threshold."""
-
-    def read(data: bytes) -> np.ndarray:
-        s = np.zeros((len(data) // 6, 8), np.uint8)
-        s[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-        return s.reshape(-1).view("<u8")
+    """Rows sorted by block, sets first, to (a, a_check, b, b_check, jaccard) of the pairs that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sets, last = None, {}, None
+        block, sets = None, {}
         for b in batches:
             out = []
-            for x, a, c, data in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
+            for x, a, c, check, data in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4)):
                 if x != block:
                     block, sets = x, {}
                 if c is None:
-                    sets[a] = read(data.as_py())
+                    sets.setdefault(a, {})[check] = np.frombuffer(data.as_py(), "<u8")
                     continue
-                s, t = sets[a], sets[c]
-                both = np.concatenate([s, t])
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                union = len(s) + len(t) - inter
-                if inter * threshold.denominator >= union * threshold.numerator:
-                    out.append((a, c, inter / union))
+                for (ac, s), (bc, t) in product(sets[a].items(), sets[c].items()):
+                    both = np.concatenate([s, t])
+                    both.sort()
+                    inter = int((both[1:] == both[:-1]).sum())
+                    union = len(s) + len(t) - inter
+                    if inter * threshold.denominator >= union * threshold.numerator:
+                        out.append((a, ac, c, bc, inter / union))
             if out:
-                p, q, j = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (*[pa.int64()] * 4, pa.float64()))], names=["a", "a_check", "b", "b_check", "jaccard"])
 
     return run
 
 
 def unit_pairs(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b, jaccard) of units, members (unit, id)); both written in the shared folder."""
+    """(pairs (a, a_check, b, b_check, jaccard) of sets, members (unit, check, id)); both written in the shared folder.
+
+    A set goes by its two sums; every (unit, check, id) is there once.
+    """
     d = _documents(docs, id_col, text_col)
     by = d.select(F.octet_length("text").alias("n")).groupBy(F.floor(F.log2(F.col("n") + 1) * 4).alias("g"))
     lengths = [(r["mean"], r["docs"]) for r in by.agg(F.avg("n").alias("mean"), F.count(F.lit(1)).alias("docs")).collect()]
@@ -524,47 +553,91 @@ def unit_pairs(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD,
     buckets = plan.lay_out(lengths)
     found, _ = written(candidates(d, plan, buckets, n), "candidates")
     pairs = found.where("need >= 0").select("a", "b")
-    members = found.where("need < 0").select(F.col("a").alias("unit"), F.col("b").alias("id"))
+    members = found.where("need < 0").select(F.col("a").alias("unit"), F.col("t").alias("check"), F.col("b").alias("id"))
 
     # A pair is verified in the block of its first unit's least neighbour, so that sets of a
     # cluster travel once; a block of many pairs is cut by the first unit.
     ends = pairs.union(pairs.select("b", "a")).toDF("v", "w")
     hubs = ends.groupBy("v").agg(F.least(F.min("v"), F.min("w")).alias("hub"))
-    placed = pairs.join(hubs, pairs["a"] == hubs["v"]).select("a", "b", "hub")
+    placed = pairs.distinct().join(hubs, pairs["a"] == hubs["v"]).select("a", "b", "hub")
     cuts = placed.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_PAIRS)).cast("bigint").alias("cuts"))
     placed = placed.join(cuts, "hub").select("a", "b", F.xxhash64("hub", F.pmod(F.xxhash64("a"), F.col("cuts"))).alias("block"))
     placed, _ = written(placed, "placed")
     wanted = placed.select("block", F.col("a").alias("unit")).union(placed.select("block", F.col("b").alias("unit"))).distinct()
-    one = members.groupBy("unit").agg(F.min("id").alias("id"))
-    wanted = wanted.join(one, "unit").groupBy("id").agg(F.collect_list(F.struct("block", "unit")).alias("blocks"))
+    one = members.groupBy("unit", "check").agg(F.min("id").alias("id"))
+    wanted = wanted.join(one, "unit").groupBy("id").agg(F.collect_list(F.struct("block", "unit", "check")).alias("blocks"))
     wanted, wanted_size = written(wanted, "wanted")
     texts = d.join(small(wanted, wanted_size), "id").select("id", "text", "blocks")
-    sets = map_arrow(texts, _packed_sets(n), "block bigint, a bigint, b bigint, grams binary")
-    rows = sets.union(placed.select("block", "a", "b", F.lit(None).cast("binary").alias("grams")))
+    sets = map_arrow(texts, _packed_sets(n), "block bigint, a bigint, b bigint, check bigint, grams binary")
+    none = F.lit(None).cast("bigint")
+    rows = sets.union(placed.select("block", "a", "b", none.alias("check"), F.lit(None).cast("binary").alias("grams")))
     rows = rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first())
-    done, _ = written(map_arrow(rows, _verify(Fraction(threshold)), "a bigint, b bigint, jaccard double"), "pairs")
+    done, _ = written(map_arrow(rows, _verify(Fraction(threshold)), "a bigint, a_check bigint, b bigint, b_check bigint, jaccard double"), "pairs")
     return done, members
 
 
+def _side(sets: DataFrame, of: str, *cols: str) -> DataFrame:
+    """``sets`` with keys and columns named after one side of a pair."""
+    return sets.select(F.col("unit").alias(of), F.col("check").alias(f"{of}_check"), *[F.col(c).alias(f"{of}_{c}") for c in cols])
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(left_ids, right_ids, jaccard): every pair of documents of Jaccard similarity ``threshold`` or more, in product form.
 
     Each row stands for all pairs of a left with a right id. Documents of one n-gram set are
     listed together, so k copies cost k ids a row and not k * k pairs; such a list is given
     once against itself, its least id on the left, at 1.0, and its members are as similar to
-    each other. No pair is missed and none is capped. Ids are whole numbers; rows of a null id
-    or a null text, and texts without words, are in no pair. A repeated row counts once; two
-    texts of one id may be a pair. Lists are sorted; other columns are ignored.
+    each other. No pair is missed and none is capped. Ids are whole numbers, or their text;
+    rows of any other id or a null text, and texts without words, are in no pair. A repeated row
+    counts once; two texts of one id may be a pair. Lists are sorted; other columns are
+    ignored; an empty table gives no rows; a text of any length is read whole.
     """
     pairs, members = unit_pairs(docs, n, threshold, id_col, text_col)
-    lists = members.groupBy("unit").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    a, b = lists.toDF("a", "a_ids"), lists.toDF("b", "b_ids")
+    lists = members.groupBy("unit", "check").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     first = F.col("a_ids")[0] < F.col("b_ids")[0]
-    across = pairs.join(a, "a").join(b, "b").select(F.when(first, F.col("a_ids")).otherwise(F.col("b_ids")).alias("left_ids"), F.when(first, F.col("b_ids")).otherwise(F.col("a_ids")).alias("right_ids"), "jaccard")
+    across = pairs.join(_side(lists, "a", "ids"), ["a", "a_check"]).join(_side(lists, "b", "ids"), ["b", "b_check"])
+    across = across.select(F.when(first, F.col("a_ids")).otherwise(F.col("b_ids")).alias("left_ids"), F.when(first, F.col("b_ids")).otherwise(F.col("a_ids")).alias("right_ids"), "jaccard")
     within = lists.where(F.size("ids") > 1).select(F.slice("ids", 1, 1).alias("left_ids"), F.expr("slice(ids, 2, size(ids) - 1)").alias("right_ids"), F.lit(1.0).alias("jaccard"))
     return across.unionByName(within)
 
 
+def _grouped(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets (unit, check, low, n), labels (v, root)): each set's least id and number of ids, and the group of each least id.
+
+    Groups are found among sets, of which each goes by its least id, so that copies add no
+    edges. Sets that share an id belong together, as the id is one document.
+    """
+    sets, _ = written(members.groupBy("unit", "check").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "sets")
+    near = pairs.join(_side(sets, "a", "low"), ["a", "a_check"]).join(_side(sets, "b", "low"), ["b", "b_check"]).select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))
+    # an id of several texts is in several sets; most tables have none
+    several = members.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
+    shared = members.join(several, "id").join(sets, ["unit", "check"]).select("id", "low")
+    star = shared.select(F.col("id").alias("a"), F.col("low").alias("b"))
+    return sets, components(near.union(star).where("a <> b"))
+
+
+def near_duplicate_classes(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links) of each document that is similar to another by ``ngram_jaccard_join``.
+
+    ``class_id`` is the least id of the group that links connect, and ``n_links`` the number of
+    documents that reach the threshold with this one, copies included; copies are counted and
+    not expanded, so a document is one row whatever its number of links. A repeated row counts
+    once. An id of several texts has the links of them all, summed, and groups them. Ids that
+    aren't whole numbers, null texts and texts without words are in no row; an empty table gives
+    none; other columns are ignored.
+    """
+    pairs, members = unit_pairs(docs, n, threshold, id_col, text_col)
+    sets, labels = _grouped(pairs, members)
+    flipped = pairs.select(F.col("b").alias("a"), F.col("b_check").alias("a_check"), F.col("a").alias("b"), F.col("a_check").alias("b_check"))
+    both = pairs.drop("jaccard").unionByName(flipped)
+    links = both.join(_side(sets, "b", "n"), ["b", "b_check"]).groupBy(F.col("a").alias("unit"), F.col("a_check").alias("check")).agg(F.sum("b_n").alias("links"))
+    per = sets.join(links, ["unit", "check"], "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("n") - 1).where("links > 0")
+    per = per.join(labels, per["low"] == labels["v"], "left").select("unit", "check", F.coalesce("root", "low").alias("class_id"), "links")
+    per, size = written(per, "linked")
+    rows = members.join(small(per, size), ["unit", "check"])
+    return rows.groupBy(F.col("id").alias("doc_id")).agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): the least number of each vertex's connected component in ``edges`` (a, b).
 
@@ -588,31 +661,36 @@ def drop_near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: Fraction =
     """``docs`` less all but one document of each group connected by pairs of ``ngram_jaccard_join``.
 
     The least id of a group stays. Rows of one id are one document and stay or go together;
-    rows of a null id, a null text or a text without words stay. All columns are kept.
+    rows without a whole-number id, of a null text or of a text without words stay. All columns
+    are kept, whatever their names; an empty table stays empty.
     """
     pairs, members = unit_pairs(docs, n, threshold, id_col, text_col)
-    first = members.groupBy("unit").agg(F.min("id").alias("id"))
-    star = members.join(first.toDF("unit", "low"), "unit").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    edges = pairs.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    losers, size = written(components(star.union(edges)).where("v <> root").select(F.col("v").alias("_tsr_near_id")), "losers")
-    return docs.join(small(losers, size), F.col(f"`{id_col}`") == F.col("_tsr_near_id"), "left_anti")
+    sets, labels = _grouped(pairs, members)
+    roots = sets.join(labels, sets["low"] == labels["v"], "left").select("unit", "check", F.coalesce("root", "low").alias("root"), "n", "low")
+    # only sets of copies, and sets whose group has a lesser id, have anything to drop
+    roots, size = written(roots.where("n > 1 OR root <> low"), "roots")
+    losers = members.join(small(roots, size), ["unit", "check"]).where("id <> root").select(F.col("id").alias("_tsr_near_id"))
+    losers, size = written(losers.distinct(), "losers")
+    i = F.col(f"`{id_col}`")
+    i = i.try_cast("bigint") if isinstance(docs.schema[id_col].dataType, T.StringType) else i.cast("bigint")
+    return docs.join(small(losers, size), i == F.col("_tsr_near_id"), "left_anti")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
-GRAMS_SQL = r"""
-nw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM {docs} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+OP1_SQL = r"""
+WITH RECURSIVE nw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 ng AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS g FROM nw WHERE len(w) > 0),
-nu AS (SELECT g, list_sort(list_distinct(list(doc_id))) AS ids, min(doc_id) AS u, len(g) AS n FROM ng GROUP BY g),
-nt AS (SELECT row_number() OVER () AS k, ids, n, g FROM nu),
+nt AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(doc_id), g) AS k, list_sort(list_distinct(list(doc_id))) AS ids, len(g) AS n, g FROM ng GROUP BY g),
 ne AS (SELECT k, n, unnest(g) AS t FROM nt),
 np AS (SELECT a.k AS ak, b.k AS bk, a.n AS an, b.n AS bn, count(*) AS c FROM ne a JOIN ne b ON a.t = b.t AND a.k < b.k AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY ALL),
-nj AS (SELECT ak, bk, CAST(c AS DOUBLE) / CAST(an + bn - c AS DOUBLE) AS jaccard FROM np WHERE 4 * c >= 3 * (an + bn - c))
-"""
-OP1_SQL = "WITH " + GRAMS_SQL.format(docs="documents") + """
-SELECT CASE WHEN a.ids[1] < b.ids[1] THEN a.ids ELSE b.ids END AS left_ids, CASE WHEN a.ids[1] < b.ids[1] THEN b.ids ELSE a.ids END AS right_ids, jaccard
-FROM nj JOIN nt a ON a.k = ak JOIN nt b ON b.k = bk
-UNION ALL SELECT ids[1:1], ids[2:], 1.0::DOUBLE FROM nt WHERE len(ids) > 1
+nj AS MATERIALIZED (SELECT ak, bk FROM np WHERE 4 * c >= 3 * (an + bn - c)),
+nb AS MATERIALIZED (SELECT ak AS x, bk AS y FROM nj UNION ALL SELECT bk, ak FROM nj),
+per AS MATERIALIZED (SELECT unnest(ids) AS doc_id, k, len(ids) - 1 + coalesce(l, 0) AS l FROM nt LEFT JOIN (SELECT x, sum(len(ids)) AS l FROM nb JOIN nt ON k = y GROUP BY x) ON x = k),
+edges AS MATERIALIZED (SELECT x, y FROM nb UNION SELECT p.k, q.k FROM per p JOIN per q USING (doc_id)),
+reach AS (SELECT k AS x, k AS y FROM nt UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+low AS (SELECT x, min(ids[1]) AS class_id FROM reach JOIN nt ON k = y GROUP BY x)
+SELECT doc_id, min(class_id) AS class_id, CAST(sum(l) AS BIGINT) AS n_links FROM per JOIN low ON x = k GROUP BY doc_id HAVING sum(l) > 0
 """

@@ -113,7 +113,73 @@ def corpus(seed, docs=160, common=0.4):
     return [(i, " ".join(w)) for i, w in enumerate(out)]
 
 
-@pytest.mark.parametrize(("seed", "threshold", "n"), [(1, Fraction(3, 4), 2), (2, Fraction(4, 5), 2), (3, Fraction(1, 2), 1), (4, Fraction(9, 10), 3)])
+def brute_classes(rows, n=2, threshold=Fraction(3, 4)):
+    """(id, least id of its group, links), by sets of n-grams: an id's links are those of all its texts."""
+    texts = {(i, grams(t, n)) for i, t in rows if i is not None and t}
+    ids, of = defaultdict(set), defaultdict(set)
+    for i, g in texts:
+        if g:
+            ids[g].add(i)
+            of[i].add(g)
+    near = defaultdict(set)
+    for x, y in combinations(ids, 2):
+        if len(x & y) * threshold.denominator >= len(x | y) * threshold.numerator:
+            near[x].add(y)
+            near[y].add(x)
+    out = {}
+    for i in of:
+        links = sum(len(ids[g]) - 1 + sum(len(ids[h]) for h in near[g]) for g in of[i])
+        group, todo = {i}, [i]
+        while todo:
+            for g in of[todo.pop()]:
+                new = {j for h in (g, *near[g]) for j in ids[h]} - group
+                group |= new
+                todo += new
+        if links:
+            out[i] = (min(group), links)
+    return out
+
+
+def test_classes_on_nasty_rows(nasty, nasty_rows, empty):
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicate_classes(nasty).collect()}
+    assert got == brute_classes([(r[0], r[1]) for r in nasty_rows])
+    assert ngram_join.near_duplicate_classes(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_classes_against_brute_force(spark, seed):
+    rows = corpus(seed)
+    out = ngram_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in out}
+    assert got == brute_classes(rows) and len(got) == len(out) > 50
+
+
+def test_ids_that_are_not_numbers_have_no_pair(spark):
+    t = "the quick brown fox jumps over the lazy dog"
+    df = spark.createDataFrame([("1", t), ("2", t), ("x3", t), (None, t)], "doc_id string, text string")
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.near_duplicate_classes(df).collect()} == {(1, 1, 1), (2, 1, 1)}
+    assert {r["doc_id"] for r in ngram_join.drop_near_duplicates(df).collect()} == {"1", "x3", None}
+
+
+def test_clashing_names_do_not_matter(spark):
+    t = "the quick brown fox jumps over the lazy dog"
+    df = spark.createDataFrame([(1, t, *[0] * 9), (2, t, *[0] * 9)], "doc_id int, text string, left_ids int, right_ids int, unit int, check int, root int, v int, n int, class_id int, n_links int")
+    assert ngram_join.near_duplicate_classes(df).count() == 2 and ngram_join.ngram_jaccard_join(df).count() == 1
+    kept = ngram_join.drop_near_duplicates(df)
+    assert kept.columns == df.columns and kept.first()["doc_id"] == 1
+
+
+def test_sets_of_one_sum_are_told_apart(spark, monkeypatch):
+    """With sums that clash, pairs are still those of the sets themselves."""
+    real = ngram_join.unit_ids
+    monkeypatch.setattr(ngram_join, "unit_ids", lambda g, per, seed=0: real(g, per, seed) if seed else np.where(per > 0, np.uint64(7) + (real(g, per) >> np.uint64(63)), np.uint64(0)))
+    a, b = "one two three four five six seven eight nine ten", "red green blue white black pink brown grey gold tan"
+    rows = [(1, a), (2, a), (3, b), (4, b)]
+    got = ngram_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1)}
+
+
+@pytest.mark.parametrize(("seed", "threshold", "n"), [(1, Fraction(3, 4), 2), (2, Fraction(4, 5), 2), (3, Fraction(1, 2), 1), (4, Fraction(9, 10), 3), (5, Fraction(3, 4), 2)])
 def test_join_finds_every_pair(spark, seed, threshold, n, monkeypatch):
     rows = corpus(seed)
     if seed == 1:  # many buckets, split segments, several packs
@@ -122,6 +188,8 @@ def test_join_finds_every_pair(spark, seed, threshold, n, monkeypatch):
         monkeypatch.setattr(ngram_join.Plan.lay_out, "__defaults__", (300,))
         monkeypatch.setattr(ngram_join, "PAIR_CHUNK", 500)
         monkeypatch.setattr(ngram_join, "BLOCK_PAIRS", 10)
+    if seed == 5:  # buckets matched in parts
+        monkeypatch.setattr(ngram_join, "MATCH_SIGNATURES", 900)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     out = ngram_join.ngram_jaccard_join(df, n, threshold).collect()
     sets = {i: grams(t, n) for i, t in rows}
