@@ -1,4 +1,4 @@
-"""Token counts: Arrow batches in, lengths only out; no token ids leave the worker's inner loop."""
+"""Token counts: batches balanced by bytes go to one batch-encoding call each; lengths only come out."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from .common import TOKENIZERS, map_arrow, table
 
 #: Pre-token pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters that one call to the encoder gets at most, but for a text without a safe boundary.
-BATCH_CHARS = 1 << 20
+#: UTF-8 bytes that one call to the encoder gets at most, but for a text without a safe boundary.
+BATCH_BYTES = 1 << 20
 
 _encoders: dict = {}
 
@@ -31,8 +31,8 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def safe_pieces(text: str, limit: int = BATCH_CHARS) -> list[str]:
-    """Cut a text into pieces of about ``limit`` characters where no token can span.
+def safe_pieces(text: str, limit: int = BATCH_BYTES) -> list[str]:
+    """Cut a text into pieces of ``limit`` characters or a little more where no token can span.
 
     A cut goes before a single space between two characters that aren't white space: by the
     pattern a pre-token starts there in any case. A stretch without such a place stays whole.
@@ -50,25 +50,37 @@ def safe_pieces(text: str, limit: int = BATCH_CHARS) -> list[str]:
     return out
 
 
-def balanced(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """(row, piece) batches of about ``limit`` characters each; nulls are left out."""
-    batch, size = [], 0
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def balanced(texts: list[str | None], limit: int = BATCH_BYTES) -> Iterator[tuple[list[int], list[str]]]:
+    """(rows, pieces) batches of at most ``limit`` UTF-8 bytes each, but for single larger pieces; nulls and empty texts are left out."""
+    rows, pieces, size = [], [], 0
     for i, t in enumerate(texts):
-        for piece in safe_pieces(t, limit) if t else ():
-            if batch and size + len(piece) > limit:
-                yield batch
-                batch, size = [], 0
-            batch.append((i, piece))
-            size += len(piece)
-    if batch:
-        yield batch
+        if not t:
+            continue
+        # a piece of limit * characters / bytes characters has about limit bytes
+        whole = n_bytes(t)
+        for piece in [t] if whole <= limit else safe_pieces(t, max(1, limit * len(t) // whole)):
+            n = whole if piece is t else n_bytes(piece)
+            if pieces and size + n > limit:
+                yield rows, pieces
+                rows, pieces, size = [], [], 0
+            rows.append(i)
+            pieces.append(piece)
+            size += n
+    if pieces:
+        yield rows, pieces
 
 
 def token_counts(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) for every row: null for a null text, 0 for an empty one.
 
-    Special tokens' strings are ordinary text. Repeated rows stay; other columns are ignored.
-    No shuffle; memory is one Arrow batch.
+    Special tokens' strings are ordinary text. A long text is cut at safe boundaries and its
+    pieces' counts are summed, so it counts whole. Repeated rows and null ids stay; an empty
+    table gives no rows; other columns are ignored. No shuffle; memory is one Arrow batch and
+    the ids of one encoded batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,13 +88,13 @@ def token_counts(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.
         for b in batches:
             texts = b.column(1).to_pylist()
             counts = [None if t is None else 0 for t in texts]
-            for batch in balanced(texts):
-                for i, piece in batch:
-                    counts[i] += len(enc.encode_ordinary(piece))
+            for rows, pieces in balanced(texts):
+                for i, ids in zip(rows, enc.encode_ordinary_batch(pieces, num_threads=1)):
+                    counts[i] += len(ids)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(spread(docs.select(F.col(id_col), F.col(text_col))), run, f"doc_id {kind}, n_tokens bigint")
+    return map_arrow(spread(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))), run, f"doc_id {kind}, n_tokens bigint")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
