@@ -5,44 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, small, table, written
+from .common import small, table, written
 
 PREFIX_CHARS = 64
 _P = "_tsr_dup_"
 
 
-def _full_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, full) for every row whose (length, prefix) another row shares; written once.
+def _text(text_col: str):
+    return F.col(f"`{text_col}`")
 
-    The first scan keeps an id, a length and a prefix hash a row; groups of one are dropped by
-    length and then by prefix on that narrow table. The second scan takes the SHA-256 of the
-    texts of surviving groups. The surviving keys are broadcast if their size allows; beyond
-    that every text is hashed and the groups are narrowed afterwards, so that text is never
-    shuffled.
+
+def _prefix(text_col: str):
+    return F.xxhash64(F.substring(_text(text_col), 1, PREFIX_CHARS))
+
+
+def _among(df: DataFrame, keys: DataFrame, size: int, on: list[str], later: dict) -> DataFrame:
+    """``df`` with the columns of ``later``, where another row shares the columns ``on``.
+
+    If ``keys`` can be broadcast, only rows that pass have ``later`` worked out. Beyond that it is
+    worked out for all rows and these are narrowed afterwards, so that no text is shuffled.
     """
-    t = F.col(text_col)
-    length, prefix = F.octet_length(t), F.xxhash64(F.octet_length(t), F.substring(t, 1, PREFIX_CHARS))
-    keys = docs.where(t.isNotNull()).select(length.alias("len"), prefix.alias("pre"))
-    keys, _ = written(keys.groupBy("len", "pre").agg(F.count(F.lit(1)).alias("n")), "keys")
-    lens = keys.groupBy("len").agg(F.sum("n").alias("m")).where("m > 1")
-    groups, size = written(keys.join(lens, "len").where("n > 1").select("pre"), "survivors")
-    rows = docs.where(t.isNotNull()).select(F.col(id_col).alias("id"), prefix.alias("pre"), t.alias("t"))
-    full = F.unhex(F.sha2(F.col("t"), 256)).alias("full")
-    if size <= BROADCAST_BYTES:
-        out = rows.join(F.broadcast(groups), "pre", "left_semi").select("id", full)
-    else:
-        out = rows.select("id", "pre", full).join(groups, "pre", "left_semi").select("id", "full")
-    return written(out, "full")[0]
+    passed = small(keys, size)
+    if passed is not keys:
+        return df.join(passed, on, "left_semi").withColumns(later).drop(_P + "text")
+    return df.withColumns(later).drop(_P + "text").join(keys, on, "left_semi")
+
+
+def shared_lengths(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
+    """(len, n) of the byte lengths of more than one text, and their size; written once."""
+    t = _text(text_col)
+    return written(docs.where(t.isNotNull()).groupBy(F.octet_length(t).alias("len")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lengths")
+
+
+def shared_prefixes(docs: DataFrame, lengths: tuple[DataFrame, int], text_col: str = "text") -> tuple[DataFrame, int]:
+    """(len, pre, n) of the length and prefix hash of more than one text among those of shared lengths; written once."""
+    t = _text(text_col)
+    rows = docs.where(t.isNotNull()).select(F.octet_length(t).alias("len"), t.alias(_P + "text"))
+    rows = _among(rows, lengths[0].select("len"), lengths[1], ["len"], {"pre": _prefix(_P + "text")})
+    return written(rows.groupBy("len", "pre").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "prefixes")
+
+
+def full_hashes(docs: DataFrame, prefixes: tuple[DataFrame, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, full, x) of each row of a shared length and prefix: its text's SHA-256 and a short hash; written once."""
+    t = _text(text_col)
+    rows = docs.where(t.isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.octet_length(t).alias("len"), _prefix(text_col).alias("pre"), t.alias(_P + "text"))
+    out = _among(rows, prefixes[0].select("len", "pre"), prefixes[1], ["len", "pre"], {"full": F.unhex(F.sha2(_text(_P + "text"), 256)), "x": F.xxhash64(_text(_P + "text"))})
+    return written(out.select("id", "full", "x"), "full")[0]
+
+
+def _refined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``full_hashes`` by way of lengths and prefixes; each stage looks only at what the one before left."""
+    return full_hashes(docs, shared_prefixes(docs, shared_lengths(docs, text_col), text_col), id_col, text_col)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id): each document whose text equals that of ``keep_id``, the smallest id with it.
 
-    Null texts equal nothing; empty texts equal each other. Rows without an id can't be named
-    and are left out; a repeated id with one text is one document. Groups of any size pass
-    through partial aggregation and a join on the hash, never through one task's memory.
+    Null texts equal nothing; empty texts equal each other; texts of any length are compared
+    whole. Rows without an id can't be named and are left out; a repeated id with one text is
+    one document. An empty table gives no rows; other columns are ignored. Groups of any size
+    pass through partial aggregation and a join on the hash, never through one task's memory.
     """
-    full = _full_hashes(docs, id_col, text_col).where("id IS NOT NULL").distinct()
+    full = _refined(docs, id_col, text_col).where("id IS NOT NULL").select("id", "full").distinct()
     keep = full.groupBy("full").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return full.join(keep, "full").where("id <> keep_id").select(F.col("id").alias("doc_id"), "keep_id").distinct()
 
@@ -51,30 +75,23 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each text: that of the smallest id (ids before null).
 
     Rows with a null text all stay. Repeated rows of the kept id are cut to the first in order
-    of all columns' hash. Text is not shuffled where the list of losers can be broadcast.
+    of all columns' hash. All columns are kept, whatever their names; an empty table stays empty.
+    A row to drop is found again by its id and its text's 64-bit hash, in one anti-join; texts
+    are not shuffled where the list of losers can be broadcast.
     """
-    full = _full_hashes(docs, id_col, text_col)
+    full = _refined(docs, id_col, text_col)
     n = full.groupBy("full").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    each = full.groupBy("full", "id").agg(F.count(F.lit(1)).alias("same"))
-    marked = each.join(n.drop("n"), "full").select(F.col("id").alias(_P + "id"), "full", F.col("id").eqNullSafe(F.col("keep")).alias("keeps"), "same")
-    # (prefix key, id) finds a loser's row again without hashing every text once more in full
-    losers = marked.where("NOT keeps OR same > 1").select(_P + "id", F.col("full").alias(_P + "full"), (F.col("keeps") & (F.col("same") > 1)).alias(_P + "again"))
-    losers, size = written(losers, "losers")
-    mine = F.when(F.col(text_col).isNotNull(), F.unhex(F.sha2(F.col(text_col), 256)))
-    cols = [F.col(f"`{x}`") for x in docs.columns]
-    hit = F.col(f"`{id_col}`").eqNullSafe(F.col(_P + "id"))
-    ids = losers.select(_P + "id").distinct()
-    flagged = docs.join(small(ids.withColumn(_P + "hit", F.lit(True)), size), hit, "left").drop(_P + "id")
-    # only rows whose id is on the list are hashed
-    keyed = flagged.withColumn(_P + "mine", F.when(F.col(_P + "hit"), mine)).drop(_P + "hit")
-    left = keyed.join(small(losers, size), hit & (F.col(_P + "mine") == F.col(_P + "full")), "left_anti").select(*cols)
-    if losers.where(_P + "again").limit(1).count():
-        twice = losers.where(_P + "again").drop(_P + "again")
-        rows = keyed.join(small(twice, size), hit & (F.col(_P + "mine") == F.col(_P + "full")))
-        from pyspark.sql import Window
-
-        rank = F.row_number().over(Window.partitionBy(_P + "full").orderBy(F.xxhash64(*cols)))
-        left = left.unionByName(rows.withColumn(_P + "rank", rank).where(F.col(_P + "rank") == 1).select(*cols))
+    each = full.groupBy("full", "id", "x").agg(F.count(F.lit(1)).alias("same"))
+    marked = each.join(n.drop("n"), "full").select(F.col("id").alias(_P + "id"), F.col("x").alias(_P + "x"), F.col("id").eqNullSafe(F.col("keep")).alias(_P + "again"), "same")
+    losers, size = written(marked.where(f"NOT {_P}again OR same > 1").drop("same"), "losers")
+    hit = F.col(f"`{id_col}`").eqNullSafe(F.col(_P + "id")) & (F.xxhash64(_text(text_col)) == F.col(_P + "x"))
+    left = docs.join(small(losers, size), hit & _text(text_col).isNotNull(), "left_anti")
+    twice = losers.where(_P + "again").drop(_P + "again")
+    if twice.limit(1).count():
+        cols = [F.col(f"`{c}`") for c in docs.columns]
+        row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)])
+        rows = docs.where(_text(text_col).isNotNull()).join(small(twice, size), hit).groupBy(_P + "id", _P + "x").agg(F.min_by(row, F.xxhash64(*cols)).alias("r"))
+        left = left.unionByName(rows.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
     return left
 
 

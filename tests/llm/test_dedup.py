@@ -51,12 +51,24 @@ def test_exact_duplicates(nasty, nasty_rows, empty):
 
 def test_exact_duplicates_beyond_the_broadcast_limit(nasty, monkeypatch):
     want = set(exact_dedup.exact_duplicates(nasty).collect())
-    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(exact_dedup, "small", lambda df, size: df)
     assert set(exact_dedup.exact_duplicates(nasty).collect()) == want
     assert exact_dedup.drop_exact_duplicates(nasty).count() == len({r["text"] for r in nasty.collect()} - {None}) + nasty.where("text IS NULL").count()
 
 
+def test_each_stage_sees_only_what_the_one_before_left(spark):
+    pre = "p" * exact_dedup.PREFIX_CHARS
+    texts = [pre + "same!", pre + "same!", pre + "other", "q" * len(pre + "same!"), "alone", None, "", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    lengths = exact_dedup.shared_lengths(df)
+    prefixes = exact_dedup.shared_prefixes(df, lengths)
+    full = exact_dedup.full_hashes(df, prefixes)
+    assert {(r["len"], r["n"]) for r in lengths[0].collect()} == {(69, 4), (0, 2)}
+    assert {(r["len"], r["n"]) for r in prefixes[0].collect()} == {(69, 3), (0, 2)}
+    assert {r["id"] for r in full.collect()} == {0, 1, 2, 6, 7}
+    assert {tuple(r) for r in exact_dedup.exact_duplicates(df).collect()} == {(1, 0), (7, 6)}
+
+
 def test_dropping_exact_duplicates_leaves_one_row_a_text(nasty, nasty_rows, empty):
     kept = exact_dedup.drop_exact_duplicates(nasty)
     assert kept.columns == nasty.columns
