@@ -27,7 +27,7 @@ def slot_sizes(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text
     most ``slots`` rows a task, so the shuffle is bounded whatever the input.
     """
     used = (
-        docs.select(slot_of(F.col(id_col), slots).alias("slot"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("b"))
+        docs.select(slot_of(F.col(f"`{id_col}`"), slots).alias("slot"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("bigint").alias("b"))
         .groupBy("slot")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("b").alias("n_bytes"))
     )
@@ -86,22 +86,38 @@ class SlotMapStore:
     def get(self, version: int) -> DataFrame:
         return self.all().where(F.col("version") == version)
 
+    def version(self) -> int:
+        """The newest version, 0 of an empty store."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return 0
+        return self.all().agg(F.max("version")).first()[0] or 0
+
     def latest(self) -> DataFrame:
-        v = self.all().agg(F.max("version")).first()[0]
-        return self.get(v)
+        return self.get(self.version())
 
 
 def shard_documents(docs: DataFrame, shards: int = 12, grown: int = 16, slots: int = SLOTS, store: SlotMapStore | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, slot, shard_v1, shard_v2) for every row: before and after growing ``shards`` to ``grown``.
+    """(doc_id, slot, shard_v1, shard_v2) for every row: before and after rebalancing to ``grown`` shards.
+
+    The newest map of ``store`` is edited and the result appended as its next version; an empty
+    store, or none, starts with equal runs of slots over ``shards`` shards. A store's maps all
+    have its first map's slots, so ``slots`` must be as many.
 
-    Null ids share the slot of ''; repeated rows stay repeated; an empty table gives no rows;
-    other columns are ignored. Only the slot map, of fixed size, is broadcast.
+    Null ids share the slot of '', null texts count no bytes, texts of any length count whole;
+    repeated rows stay repeated; an empty table gives no rows; other columns are ignored, and
+    documents of equal ids share a slot. Only the slot map, of fixed size, is broadcast.
     """
     store = store or SlotMapStore(docs.sparkSession)
-    store.append(initial_map(docs.sparkSession, shards, slots))
-    store.append(rebalanced_map(store.get(1), slot_sizes(docs, slots, id_col, text_col), grown))
-    both = store.all().groupBy("slot").agg(F.max(F.when(F.col("version") == 1, F.col("shard"))).alias("shard_v1"), F.max(F.when(F.col("version") == 2, F.col("shard"))).alias("shard_v2"))
-    return docs.select(F.col(id_col).alias("doc_id"), slot_of(F.col(id_col), slots).alias("slot")).join(F.broadcast(both), "slot").select("doc_id", "slot", "shard_v1", "shard_v2")
+    if not store.version():
+        store.append(initial_map(docs.sparkSession, shards, slots))
+    now = store.version()
+    if store.get(now).count() != slots:
+        raise ValueError(f"the store's map doesn't have {slots} slots")
+    store.append(rebalanced_map(store.get(now), slot_sizes(docs, slots, id_col, text_col), grown))
+    both = store.all().groupBy("slot").agg(F.max(F.when(F.col("version") == now, F.col("shard"))).alias("shard_v1"), F.max(F.when(F.col("version") == now + 1, F.col("shard"))).alias("shard_v2"))
+    i = F.col(f"`{id_col}`")
+    return docs.select(i.alias("doc_id"), slot_of(i, slots).alias("slot")).join(F.broadcast(both), "slot").select("doc_id", "slot", "shard_v1", "shard_v2")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
