@@ -15,7 +15,8 @@ from .common import map_arrow, table
 
 SEGMENT_BYTES = 2048
 CHUNK_BYTES = 1000
-PARSED = "origin string, uri string, segment int, total bigint, block binary"
+#: Segment numbers and lengths that fit their columns; a record of any other number isn't a segment.
+MOST_SEGMENT, MOST_LENGTH = (1 << 31) - 1, (1 << 63) - 1
 
 
 def chunked(body: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -24,7 +25,10 @@ def chunked(body: bytes, size: int = CHUNK_BYTES) -> bytes:
 
 
 def dechunk(data: bytes) -> bytes | None:
-    """The body of a chunked message; None where the framing is broken or cut off. Chunk extensions and trailers are skipped."""
+    """The body of a chunked message; None where the framing is broken or cut off. Chunk extensions and trailers are skipped.
+
+    A size of more hexadecimal digits than any body's is broken framing as well.
+    """
     out, at = [], 0
     while True:
         end = data.find(b"\r\n", at)
@@ -33,6 +37,8 @@ def dechunk(data: bytes) -> bytes | None:
         word = data[at:end].split(b";", 1)[0].strip()
         if not re.fullmatch(rb"[0-9A-Fa-f]+", word):
             return None
+        if len(word.lstrip(b"0")) > 16:
+            return None
         n, at = int(word, 16), end + 2
         if n == 0:
             return b"".join(out)
@@ -74,40 +80,57 @@ def parse(raw: bytes) -> tuple[dict, bytes] | None:
         k, sep, v = line.partition(b":")
         if sep:
             head[k.strip().lower().decode("ascii", "replace")] = v.strip().decode("utf-8", "replace")
-    try:
-        n = int(head.get("content-length", ""))
-    except ValueError:
+    n = _whole(head.get("content-length"))
+    if n is None:
         return None
     block = raw[end + 4 : end + 4 + n]
     return (head, block) if len(block) == n else None
 
 
-def _whole(text: str | None) -> int | None:
-    return int(text) if text and text.isascii() and text.isdigit() else None
+def _whole(text: str | None, most: int = MOST_LENGTH) -> int | None:
+    """A number of ASCII digits from 0 to ``most``, in at most 19 digits after leading zeros; else None."""
+    if not text or not text.isascii() or not text.isdigit():
+        return None
+    text = text.lstrip("0") or "0"
+    return n if len(text) < 20 and (n := int(text)) <= most else None
+
+
+def _signed(text: str | None) -> int | None:
+    if text and text[0] == "-":
+        n = _whole(text[1:], MOST_LENGTH + 1)
+        return None if n is None else -n
+    return _whole(text)
 
 
 def parsed(records: DataFrame, raw_col: str = "record") -> DataFrame:
-    """(origin, page, uri, segment, total, block) of each segment; what isn't a response or continuation is left out."""
+    """(origin, page, uri, segment, total, block) of each segment of a record of any type.
+
+    A continuation belongs to the record of its origin identifier; any other record begins its
+    own. Left out, as they belong to no origin, are null and empty bytes, what isn't a whole WARC
+    record, a record without an identifier, and a segment whose number is missing or isn't a
+    whole number from 1 to 2^31 - 1. A length beyond 2^63 - 1 counts as none. Repeated records
+    stay; other columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for raw in b.column(0).to_pylist():
                 p = parse(raw) if raw is not None else None
-                if p is None or p[0].get("warc-type") not in ("response", "continuation"):
+                if p is None:
                     continue
                 h, block = p
-                first = h["warc-type"] == "response"
-                seg = _whole(h.get("warc-segment-number", "1" if first else None))
+                first = h.get("warc-type", "").lower() != "continuation"
+                seg = _whole(h.get("warc-segment-number", "1" if first else None), MOST_SEGMENT)
                 origin = h.get("warc-record-id") if first else h.get("warc-segment-origin-id")
-                if origin is None or seg is None:
+                if not origin or not seg:
                     continue
                 total = len(block) if first and "warc-segment-number" not in h else _whole(h.get("warc-segment-total-length"))
-                rows.append((origin, _whole(h.get("x-page-id")), h.get("warc-target-uri"), seg, total, block))
+                rows.append((origin, _signed(h.get("x-page-id")), h.get("warc-target-uri"), seg, total, block))
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["origin", "page", "uri", "segment", "total", "block"])
 
-    return map_arrow(records.select(raw_col), run, "origin string, page bigint, uri string, segment int, total bigint, block binary")
+    return map_arrow(records.select(F.col(f"`{raw_col}`")), run, "origin string, page bigint, uri string, segment int, total bigint, block binary")
 
 
 def reassemble(segments: DataFrame) -> DataFrame:
@@ -116,7 +139,8 @@ def reassemble(segments: DataFrame) -> DataFrame:
     Segments are shuffled once by origin and come sorted by number, so that a worker holds one
     origin at a time. Repeated segments of one number count once (the first by content). ok needs
     numbers 1..n without a gap, a total length, and exactly that many bytes; otherwise body is
-    null. A chunked HTTP message loses its framing; one with broken framing isn't ok.
+    null. A chunked HTTP message loses its framing; one with broken framing isn't ok. A block
+    that is no HTTP message is its own body. An empty table gives no rows.
     """
 
     def finish(o) -> tuple:
@@ -172,7 +196,12 @@ def reassemble(segments: DataFrame) -> DataFrame:
 
 
 def page_records(pages: DataFrame, segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """``record``: the WARC records of (page_id, url, html). Rows with a null html have none; equal rows give equal records."""
+    """``record``: the WARC records of (page_id, url, html), of any length.
+
+    Rows with a null html have none, and an empty one has a record; a null page_id or url leaves
+    its header out; equal rows give equal records; other columns are ignored; an empty table
+    gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
