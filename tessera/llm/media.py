@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import math
+import struct
 import wave
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,8 @@ from .common import map_arrow, table
 RATE, FRAME, HOP = 8000, 512, 256
 #: A peak is paired with the FAN next peaks at most SPAN frames later.
 FAN, SPAN, NEAR = 5, 32, 3
+#: Frames whose magnitudes a worker holds at once.
+CHUNK_FRAMES = 2048
 
 
 def wav_bytes(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -30,16 +35,8 @@ def wav_bytes(samples: np.ndarray, rate: int = RATE) -> bytes:
     return buf.getvalue()
 
 
-def read_wav(data: bytes | None) -> tuple[int, np.ndarray] | None:
-    """(rate, mono samples in [-1, 1]) of 8-, 16-, 24- or 32-bit PCM; None for anything else."""
-    if not data:
-        return None
-    try:
-        with wave.open(io.BytesIO(data)) as w:
-            rate, width, ch, raw = w.getframerate(), w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
-    except (wave.Error, EOFError):
-        return None
-    raw = raw[: len(raw) // (width * ch) * width * ch]
+def _mono(raw: bytes, width: int, channels: int) -> np.ndarray:
+    raw = raw[: len(raw) // (width * channels) * width * channels]
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
     elif width == 3:
@@ -47,33 +44,94 @@ def read_wav(data: bytes | None) -> tuple[int, np.ndarray] | None:
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / float(1 << 23)
     else:
         x = np.frombuffer(raw, f"<i{width}") / float(1 << (8 * width - 1))
-    return rate, x.reshape(-1, ch).mean(axis=1) if len(x) else x
+    return x.reshape(-1, channels).mean(axis=1) if len(x) and channels > 1 else x
+
+
+def wav_samples(data: bytes | None, at_once: int) -> tuple[int, Iterator[np.ndarray]] | None:
+    """(rate, mono samples in [-1, 1] by parts of ``at_once``) of 8-, 16-, 24- or 32-bit PCM; None for anything else."""
+    if not data:
+        return None
+    try:
+        w = wave.open(io.BytesIO(data))
+        rate, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
+    except (wave.Error, EOFError, struct.error):
+        return None
+    if width not in (1, 2, 3, 4) or channels < 1:
+        return None
+    return rate, (_mono(raw, width, channels) for raw in iter(lambda: w.readframes(at_once), b""))
+
+
+def read_wav(data: bytes | None) -> tuple[int, np.ndarray] | None:
+    """(rate, all samples) of ``wav_samples``."""
+    got = wav_samples(data, 1 << 20)
+    return None if got is None else (got[0], np.concatenate([np.empty(0), *got[1]]))
+
+
+def spectra(samples: Iterator[np.ndarray], frame: int = FRAME, hop: int = HOP, chunk: int = CHUNK_FRAMES) -> Iterator[np.ndarray]:
+    """Magnitudes by parts of ``chunk`` frames, under a Hann window; a signal is padded with zeros to one frame or more and whole hops."""
+    window, held = np.hanning(frame), np.empty(0)
+
+    def magnitudes(x: np.ndarray, n: int) -> np.ndarray:
+        return np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, frame)[::hop][:n] * window, axis=1))
+
+    for x in samples:
+        held = np.concatenate([held, x])
+        while len(held) > frame + (chunk - 1) * hop:
+            yield magnitudes(held, chunk)
+            held = held[chunk * hop :]
+    held = np.pad(held, (0, frame - len(held) if len(held) < frame else -(len(held) - frame) % hop))
+    yield magnitudes(held, 1 + (len(held) - frame) // hop)
 
 
 def spectrogram(x: np.ndarray, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
-    """Magnitudes, frames by frequency bins, under a Hann window; a signal is padded with zeros to one frame or more and whole hops."""
-    x = np.pad(x, (0, frame - len(x) if len(x) < frame else -(len(x) - frame) % hop))
-    n = 1 + (len(x) - frame) // hop
-    frames = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop][:n]
-    return np.abs(np.fft.rfft(frames * np.hanning(frame), axis=1))
+    """Magnitudes of a whole signal, frames by frequency bins."""
+    return np.concatenate(list(spectra(iter([x]), frame, hop)))
 
 
-def peaks(mag: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """(frame, bin) of local maxima over ``near`` frames and bins around that exceed the mean by three times; the first of equal neighbours wins."""
-    t, f = mag.shape
-    pad = np.pad(mag, near, constant_values=-1.0)
-    top = mag > 3 * mag.mean()
-    for dt in range(-near, near + 1):
-        for df in range(-near, near + 1):
-            if dt or df:
-                other = pad[near + dt : near + dt + t, near + df : near + df + f]
-                top &= (mag > other) if (dt, df) < (0, 0) else (mag >= other)
-    return np.nonzero(top)
+def _window_max(x: np.ndarray, near: int, axis: int) -> np.ndarray:
+    """Maxima over ``near`` neighbours on both sides along an axis."""
+    x = np.moveaxis(x, axis, 0)
+    out = x.copy()
+    for d in range(1, near + 1):
+        np.maximum(out[d:], x[:-d], out=out[d:])
+        np.maximum(out[:-d], x[d:], out=out[:-d])
+    return np.moveaxis(out, 0, axis)
 
 
-def fingerprint(mag: np.ndarray) -> np.ndarray:
+def peaks(mag: np.ndarray, near: int = NEAR, mean: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(frame, bin) of local maxima over ``near`` frames and bins around that exceed the mean by three times; the first of equal neighbours wins."""
+    top = mag > 3 * (mag.mean() if mean is None else mean)
+    top &= mag == _window_max(_window_max(mag, near, 0), near, 1)
+    t, f = np.nonzero(top)
+    ok = np.ones(len(t), bool)
+    for dt in range(-near, 1):
+        for df in range(-near, near + 1):
+            if (dt, df) < (0, 0):
+                a, b = t + dt, f + df
+                inside = np.nonzero((a >= 0) & (b >= 0) & (b < mag.shape[1]))[0]
+                ok[inside] &= mag[a[inside], b[inside]] != mag[t[inside], f[inside]]
+    return t[ok], f[ok]
+
+
+def streamed_peaks(parts: Iterator[np.ndarray], mean: float, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """``peaks`` of magnitudes that come in parts: a frame is judged once the ``near`` frames after it are there."""
+    held, start, done, found = None, 0, 0, []
+    for part in chain(parts, [None]):
+        if part is not None:
+            held = part if held is None else np.concatenate([held, part])
+        upto = start + len(held) - (near if part is not None else 0)
+        if upto > done:
+            t, f = peaks(held, near, mean)
+            mine = (t + start >= done) & (t + start < upto)
+            found.append((t[mine] + start, f[mine]))
+            done = upto
+            drop = max(0, done - near - start)
+            held, start = held[drop:], start + drop
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def pairs(ts: np.ndarray, fs: np.ndarray) -> np.ndarray:
     """Sorted int64 codes ``frame << 32 | bin1 << 20 | bin2 << 8 | frames between`` of peak pairs."""
-    ts, fs = peaks(mag)
     out = []
     for k in range(1, FAN + 1):
         if len(ts) > k:
@@ -83,6 +141,36 @@ def fingerprint(mag: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
 
 
+def fingerprint(mag: np.ndarray) -> np.ndarray:
+    """Peak pairs of a whole spectrogram."""
+    return pairs(*peaks(mag))
+
+
+def fingerprint_wav(data: bytes | None, chunk: int | None = None) -> tuple | None:
+    """(rate, samples, frames, rms, fingerprint) of WAV bytes; None where they can't be read.
+
+    A recording of any length passes in parts of ``chunk`` frames, twice if it has several, as
+    peaks are held against the mean magnitude of the whole.
+    """
+    chunk = chunk or CHUNK_FRAMES
+    if (got := wav_samples(data, chunk * HOP)) is None:
+        return None
+    n, squares, total, cells, frames, first = 0, 0.0, 0.0, 0, 0, None
+
+    def counted(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+        nonlocal n, squares
+        for x in parts:
+            n, squares = n + len(x), squares + float(np.dot(x, x))
+            yield x
+
+    for mag in spectra(counted(got[1]), chunk=chunk):
+        first = mag if not frames else None
+        frames, total, cells = frames + len(mag), total + float(mag.sum()), cells + mag.size
+    again = iter([first]) if first is not None else spectra(wav_samples(data, chunk * HOP)[1], chunk=chunk)
+    found = streamed_peaks(again, total / cells)
+    return got[0], n, frames, round(math.sqrt(squares / n), 6) if n else 0.0, pairs(*found)
+
+
 def tones(v: np.ndarray, seconds: float = 1.0, rate: int = RATE) -> np.ndarray:
     """A signal made from a vector: its entries, in turn, are amplitudes of short tones of rising and falling pitch."""
     n = int(seconds * rate) // max(len(v), 1)
@@ -94,7 +182,11 @@ def tones(v: np.ndarray, seconds: float = 1.0, rate: int = RATE) -> np.ndarray:
 
 
 def media_of_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(media_id, wav): a WAV column made from vectors, as a stand-in for recordings. A null vector gives a null WAV."""
+    """(media_id, wav): a WAV column made from vectors of any length, as a stand-in for recordings.
+
+    A null vector gives a null WAV, an empty or all-zero one silence; null and NaN entries are 0.
+    Repeated rows and null ids stay; other columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,32 +195,25 @@ def media_of_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str
                 wavs = [None if v is None else wav_bytes(tones(np.array([x or 0.0 for x in v], np.float64))) for v in s.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(wavs, pa.binary())], names=["media_id", "wav"])
 
-    return map_arrow(spread(vectors.select(id_col, vec_col)), run, f"media_id {vectors.schema[id_col].dataType.simpleString()}, wav binary")
+    return map_arrow(spread(vectors.select(F.col(f"`{id_col}`"), F.col(f"`{vec_col}`"))), run, f"media_id {vectors.schema[id_col].dataType.simpleString()}, wav binary")
 
 
 def fingerprints(media: DataFrame, id_col: str = "media_id", wav_col: str = "wav") -> DataFrame:
     """(media_id, rate, n_samples, n_frames, rms, fingerprint) for every row, without a shuffle.
 
-    Null or unreadable bytes give nulls; silence gives an empty fingerprint; a signal of any
-    length is read whole. Repeated rows stay; other columns are ignored.
+    Null or unreadable bytes, and samples of other than 8, 16, 24 or 32 bits, give nulls; silence
+    gives an empty fingerprint; a signal of any length is read whole, in parts. Repeated rows and
+    null ids stay; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()))
         for b in batches:
-            rows = []
-            for data in b.column(1):
-                got = read_wav(data.as_py())
-                if got is None:
-                    rows.append((None,) * 5)
-                    continue
-                rate, x = got
-                mag = spectrogram(x)
-                rows.append((rate, len(x), len(mag), round(float(np.sqrt(np.mean(x * x))), 6) if len(x) else 0.0, fingerprint(mag)))
+            rows = [fingerprint_wav(data.as_py()) or (None,) * 5 for data in b.column(1)]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types))], names=["media_id", "rate", "n_samples", "n_frames", "rms", "fingerprint"])
 
-    return map_arrow(media.select(F.col(id_col), F.col(wav_col)), run, f"media_id {media.schema[id_col].dataType.simpleString()}, rate int, n_samples bigint, n_frames int, rms double, fingerprint array<bigint>")
+    return map_arrow(media.select(F.col(f"`{id_col}`"), F.col(f"`{wav_col}`")), run, f"media_id {media.schema[id_col].dataType.simpleString()}, rate int, n_samples bigint, n_frames int, rms double, fingerprint array<bigint>")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
