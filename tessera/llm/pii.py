@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -286,11 +287,22 @@ class Detector:
             q = float(np.interp(v, *self.curves[kind]))
             if q >= self.least[kind]:
                 good.append((z - a, q, -a, z, kind))
-        taken: list[tuple[int, int, str, float]] = []
-        for _, q, a, z, kind in sorted(good, reverse=True):
-            if all(z <= b or -a >= c for b, c, _, _ in taken):
-                taken.append((-a, z, kind, round(q, 4)))
-        return sorted(taken)
+        return longest([(-a, z, kind, round(q, 4)) for _, q, a, z, kind in sorted(good, reverse=True)])
+
+
+def longest(ranked: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Spans taken in the order given, each unless it overlaps one taken before; in order of their starts.
+
+    Taken spans are disjoint, so only the neighbours of a span's place in their order can overlap it.
+    """
+    starts: list[int] = []
+    taken: dict[int, tuple[int, int, str, float]] = {}
+    for span in ranked:
+        i = bisect_left(starts, span[0])
+        if (i == len(starts) or starts[i] >= span[1]) and (i == 0 or taken[starts[i - 1]][1] <= span[0]):
+            starts.insert(i, span[0])
+            taken[span[0]] = span
+    return [taken[a] for a in starts]
 
 
 @lru_cache(maxsize=4)
@@ -313,8 +325,9 @@ def find_private(docs: DataFrame, model: Detector | None = None, id_col: str = "
     """(doc_id, spans, redacted) of the documents that have something to redact; others give no row.
 
     Spans are characters [start, end) of the text. Texts without any trigger character, null
-    and empty ones are passed over in the JVM. Whole texts of any length are searched; repeated
-    rows stay; other columns are ignored. No shuffle.
+    and empty ones are passed over in the JVM. Whole texts of any length are searched; of equally
+    long overlapping spans the more probable is taken, then the first; repeated rows and null ids
+    stay; other columns are ignored; an empty table gives no rows. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or detector())
 
@@ -334,7 +347,7 @@ def find_private(docs: DataFrame, model: Detector | None = None, id_col: str = "
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(spans, SPANS), pa.array(texts, pa.string())], names=["doc_id", "spans", "redacted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).rlike(TRIGGER))
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).where(F.col(f"`{text_col}`").rlike(TRIGGER))
     return map_arrow(spread(rows), run, f"doc_id {kind}, spans array<struct<start:int,end:int,kind:string,probability:double>>, redacted string")
 
 
