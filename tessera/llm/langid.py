@@ -254,7 +254,10 @@ def _expected(arcs, many: np.ndarray, p: np.ndarray) -> np.ndarray:
 def training_counts(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Counter]:
     """Word counts of at most ``per_lang`` labelled texts a language, chosen by the hash of their ids.
 
-    A repeated id counts once a language, with its least text.
+    A repeated id counts once a language, with its least text. Every word of a chosen text counts,
+    whatever its length. Rows of a null id or language aren't labelled, and null texts have no
+    words; a language without words keeps equal piece probabilities; no labels, as of an empty
+    table, give no languages. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL").distinct().withColumn("h", F.xxhash64("id", F.lit(17)))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -274,7 +277,7 @@ def training_counts(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, id_col: st
     for i, lang, text in texts.toLocalIterator():
         if (i, lang) not in picked:
             continue
-        counts[lang].update(w.decode("utf-8", "replace") for w in words_of(text.lower().encode()) if len(w) <= 4 * LONG_WORD)
+        counts[lang].update(w.decode("utf-8", "replace") for w in words_of(text.lower().encode()))
     return counts
 
 
@@ -329,7 +332,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([b.column(0), pred, post, margin, pa.array(n), ok], names=["doc_id", "lang_pred", "posterior", "margin", "n_words", "accepted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(spread(docs.select(F.col(id_col), F.col(text_col))), run, f"doc_id {kind}, {COLUMNS}")
+    return map_arrow(spread(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))), run, f"doc_id {kind}, {COLUMNS}")
 
 
 def _decide(langs: list[str], score: np.ndarray, n: np.ndarray, least: float):
@@ -351,7 +354,12 @@ def _decide(langs: list[str], score: np.ndarray, n: np.ndarray, least: float):
 
 
 def accept(docs: DataFrame, model: Model, text_col: str = "text", min_posterior: float = MIN_POSTERIOR) -> DataFrame:
-    """The rows of ``docs`` that ``identify`` accepts, all columns as they were. Works within each partition."""
+    """The rows of ``docs`` that ``identify`` accepts, all columns as they were, whatever their names.
+
+    Null and empty texts and texts without a word go; texts of any length are scored whole; rows
+    of null ids and repeated rows stay or go by their text; an empty table stays empty. Works
+    within each partition.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.of_byte, model.probs))
     where = docs.columns.index(text_col)
 
