@@ -40,6 +40,20 @@ def _uniform(key, seed: str):
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def _numbered(df: DataFrame, order: list, out: str) -> DataFrame:
+    """``df`` with its place from 1 on in ``order``, which has no ties, sorted over all tasks and not in one.
+
+    Rows are dealt to ranges of the order; each range is numbered by itself, from the sum of the
+    sizes of the ranges before it, of which there are as many as partitions.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged, _ = written(df.repartitionByRange(parts, *order).withColumn(_P + "part", F.spark_partition_id()), "ranged")
+    before = F.sum(_P + "many").over(Window.orderBy(_P + "part")) - F.col(_P + "many")
+    counts = ranged.groupBy(_P + "part").agg(F.count(F.lit(1)).alias(_P + "many")).select(_P + "part", before.alias(_P + "before"))
+    place = F.row_number().over(Window.partitionBy(_P + "part").orderBy(*order)) + F.col(_P + "before")
+    return ranged.join(F.broadcast(counts), _P + "part").withColumn(out, place).drop(_P + "part", _P + "before")
+
+
 def with_copies(docs: DataFrame, weights: dict | None = None, default_weight: int = DEFAULT_WEIGHT, total: int | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_chars", out: str = "copies") -> DataFrame:
     """``docs`` with a bigint column ``out``: how often each row occurs in the mixture, 0 included.
 
@@ -51,8 +65,9 @@ def with_copies(docs: DataFrame, weights: dict | None = None, default_weight: in
     """
     weights = WEIGHTS if weights is None else weights
     c = lambda n: F.col(_P + n)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    narrow = docs.select(F.col(source_col).alias(_P + "s"), key.alias(_P + "key"), _size(F.col(size_col)).alias(_P + "x"))
+    id_, source, size = (F.col(f"`{x}`") for x in (id_col, source_col, size_col))
+    key = F.coalesce(id_.cast("string"), F.lit(""))
+    narrow = docs.select(source.alias(_P + "s"), key.alias(_P + "key"), _size(size).alias(_P + "x"))
 
     per = narrow.groupBy(_P + "s").agg(F.count(F.lit(1)).alias(_P + "rows"), F.sum(_P + "x").alias(_P + "tot")).withColumn(_P + "w", _weight(c("s"), weights, default_weight))
     per, _ = written(per, "sources")
@@ -61,7 +76,8 @@ def with_copies(docs: DataFrame, weights: dict | None = None, default_weight: in
     wide = (F.lit(total).cast("decimal(20,0)") * c("w").cast("decimal(18,0)")).cast("decimal(38,0)")
     per = per.withColumn(_P + "n", F.expr(f"{total} * CAST({_P}w AS DECIMAL(18,0)) DIV {max(w, 1)}").cast("bigint")).withColumn(_P + "rem", (wide % F.lit(max(w, 1))).cast("bigint"))
     left = total - (per.agg(F.coalesce(F.sum(_P + "n"), F.lit(0))).first()[0]) if n else 0
-    per = per.withColumn(_P + "n", c("n") + (F.row_number().over(Window.orderBy(c("rem").desc(), c("s").asc_nulls_first())) <= left).cast("bigint")).select(_P + "s", _P + "n", _P + "tot")
+    per = _numbered(per, [c("rem").desc(), c("s").asc_nulls_first()], _P + "place")
+    per = per.select(_P + "s", (c("n") + (c("place") <= left).cast("bigint")).alias(_P + "n"), _P + "tot")
     per, per_size = written(per, "allocation")
 
     def scored(df, stats, stats_size):
@@ -96,7 +112,7 @@ def with_copies(docs: DataFrame, weights: dict | None = None, default_weight: in
     stats = per.join(r2, c("s").eqNullSafe(c("s2")), "left").drop(_P + "s2")
     stats, stats_size = written(stats, "cuts")
 
-    df = docs.drop(out).withColumns({_P + "s": F.col(source_col), _P + "key": key, _P + "x": _size(F.col(size_col))})
+    df = docs.drop(out).withColumns({_P + "s": source, _P + "key": key, _P + "x": _size(size)})
     df = scored(df, stats, stats_size)
     at = c("q").eqNullSafe(c("cq")) & (c("key") == c("ckey")) & c("cq").isNotNull()
     extra = F.coalesce((c("q") < c("cq")) | ((c("q") == c("cq")) & (c("key") <= c("ckey"))), F.lit(False))

@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, sharding
@@ -90,6 +91,34 @@ def test_sharding(nasty, nasty_rows, empty, spark):
     assert sharding.shard_documents(empty, 3, 5).count() == 0
 
 
+def test_a_store_goes_on_from_its_newest_map(spark, empty):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"), F.lit(1).alias("slot"), F.lit(1).alias("shard_v1"))
+    store = sharding.SlotMapStore(spark)
+    first = {r["doc_id"]: r for r in sharding.shard_documents(docs, 3, 5, 64, store).collect()}
+    second = {r["doc_id"]: r for r in sharding.shard_documents(docs, 3, 4, 64, store).collect()}
+    assert {v: store.get(v).count() for v in (1, 2, 3)} == {1: 64, 2: 64, 3: 64} and store.version() == 3
+    assert all(second[i]["shard_v1"] == first[i]["shard_v2"] and second[i]["shard_v2"] < 4 for i in range(500))
+    assert sharding.shard_documents(empty, 3, 4, 64, store).count() == 0 and store.version() == 4
+    with pytest.raises(ValueError, match="slots"):
+        sharding.shard_documents(docs, 3, 4, 32, store)
+
+
+def test_numbering_over_many_tasks(spark):
+    rows = [(f"s{i}", i % 5) for i in range(300)] + [(None, 3)]
+    df = spark.createDataFrame(rows, "s string, r int").repartition(6)
+    out = mixing._numbered(df, [F.col("r").desc(), F.col("s").asc_nulls_first()], "place").collect()
+    want = sorted(rows, key=lambda x: (-x[1], x[0] is not None, x[0] or ""))
+    assert [(r["s"], r["r"]) for r in sorted(out, key=lambda r: r["place"])] == want
+    assert sorted(r["place"] for r in out) == list(range(1, 302))
+
+
+def test_mixing_with_many_sources(spark):
+    rows = [(i, f"site{i % 97}", (i * 31) % 900) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, n_chars bigint")
+    for total in (None, 333):
+        assert got(mixing.with_copies(df, {"site3": 7}, total=total)) == brute_mix(rows, {"site3": 7}, total=total)
+
+
 def test_rebalancing_moves_little_and_levels(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
     store = sharding.SlotMapStore(spark)
