@@ -151,7 +151,9 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
     Character offsets are stored small: ``steps`` is each token's first character less that of
     the token before (or 0), ``widths`` the characters it covers; ``with_offsets`` gives them
     in full. round_trip says that decoding ``ids`` gave the text's bytes. A null text gives
-    nulls, an empty one empty arrays. Special tokens' strings are ordinary text.
+    nulls, an empty one empty arrays; a text of any length is encoded whole. Special tokens'
+    strings are ordinary text. Repeated rows and null ids stay; an empty table gives no rows;
+    other columns are ignored.
     """
     kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int16()), pa.list_(pa.int16()), pa.bool_())
     names = ["doc_id", "n_tokens", "ids", "steps", "widths", "round_trip"]
@@ -194,11 +196,15 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), pa.array(n, pa.int64(), mask=null), *lists, pa.array(same, mask=null)], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(spread(docs.select(F.col(id_col), F.col(text_col))), run, f"doc_id {kind}, n_tokens bigint, ids array<int>, steps array<smallint>, widths array<smallint>, round_trip boolean")
+    return map_arrow(spread(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))), run, f"doc_id {kind}, n_tokens bigint, ids array<int>, steps array<smallint>, widths array<smallint>, round_trip boolean")
 
 
 def with_offsets(encoded: DataFrame) -> DataFrame:
-    """(doc_id, ids, starts, ends): the characters [start, end) of each token, from steps and widths."""
+    """(doc_id, ids, starts, ends): the characters [start, end) of each token, from steps and widths.
+
+    Nulls give nulls and empty arrays empty ones; repeated rows and null ids stay; an empty table
+    gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,7 +221,11 @@ def with_offsets(encoded: DataFrame) -> DataFrame:
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) of encoded rows; null ids give a null text."""
+    """(doc_id, text) of encoded rows; null token ids give a null text, no token ids an empty one.
+
+    A character whose last bytes are missing becomes U+FFFD. Repeated rows and null document ids
+    stay; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.get(vocabulary)
