@@ -18,9 +18,11 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor reaches: ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """Folder that every executor reaches: ``spark.checkpoint.dir``; where unset, a temporary one in local mode only."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         d = spark.sparkContext.getCheckpointDir()
     return d.rstrip("/")
