@@ -15,12 +15,31 @@ from ..functions import values as V
 
 @dataclass
 class Context:
-    """What stages need beside rows: other collections, a sink, and the order set by the last sort."""
+    """What stages need beside rows: other collections, a sink, and the hidden columns that hold the rows' order.
+
+    ``wanted`` says that a later $group depends on order, so that it has to be kept.
+    """
 
     collections: dict[str, DataFrame] = field(default_factory=dict)
     sink: Callable[[str, DataFrame], None] | None = None
-    order: list[Column] = field(default_factory=list)
+    order: list[str] = field(default_factory=list)
     render_keys: bool = False
+    wanted: bool = False
+
+    def hidden(self) -> list[Column]:
+        return [F.col(c) for c in self.order]
+
+
+def _visible(df: DataFrame, ctx: Context) -> list[str]:
+    return [c for c in df.columns if c not in ctx.order]
+
+
+def numbered(df: DataFrame, ctx: Context) -> DataFrame:
+    """``df`` with its rows' order in a hidden column: that of the scan, unless a stage has set another."""
+    if ctx.order or not ctx.wanted:
+        return df
+    ctx.order = ["_tsr_order0"]
+    return df.withColumn(ctx.order[0], F.monotonically_increasing_id())
 
 
 def ordering(schema: T.StructType, keys) -> list[Column]:
@@ -52,7 +71,7 @@ def project(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     take = [(k, v) for k, v in spec.items() if not (v in (0, False))]
     if not take:
         return df.drop(*drop)
-    out = []
+    out = ctx.hidden()
     for name, v in take:
         at = V.resolve(df.schema, _path(v) if isinstance(v, str) else name)
         if at is not None:
@@ -76,9 +95,7 @@ def accumulator(df: DataFrame, spec: dict, ctx: Context) -> Column:
 
 
 def _ordered(c: Column, ctx: Context) -> Column:
-    if not ctx.order:
-        raise QueryParseError("an order-dependent accumulator needs a $sort before its $group")
-    return F.struct(*[F.col(f"_o{i}") for i in range(len(ctx.order))], c.alias("v"))
+    return F.struct(*[h.alias(f"o{i}") for i, h in enumerate(ctx.hidden())], c.alias("v"))
 
 
 ACCUMULATORS: dict[str, Callable[[Column, T.DataType, Context], Column]] = {
@@ -95,8 +112,17 @@ ACCUMULATORS: dict[str, Callable[[Column, T.DataType, Context], Column]] = {
 _NEED_ORDER = ("$push", "$first", "$last")
 
 
+def _needs_order(stage: dict) -> bool:
+    spec = stage.get("$group")
+    return isinstance(spec, dict) and any(op in _NEED_ORDER for n, s in spec.items() if n != "_id" and isinstance(s, dict) for op in s)
+
+
 def group(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
-    """Groups by null, a field or an object of fields; no row for no input. ``_id`` keeps native types unless keys are rendered."""
+    """Groups by null, a field or an object of fields; no row for no input. ``_id`` keeps native types unless keys are rendered.
+
+    $push, $first and $last follow the order of the last $sort, stable among ties, or else that
+    of the input's scan.
+    """
     key = spec.get("_id")
     if key is None:
         k = F.lit(None).cast("string")
@@ -112,34 +138,32 @@ def group(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     else:
         raise QueryParseError("_id must be null, a field or an object of fields")
     outs = {n: s for n, s in spec.items() if n != "_id"}
-    if any(op in _NEED_ORDER for s in outs.values() for op in s):
-        df = df.withColumns({f"_o{i}": o for i, o in enumerate(_order_values(ctx))})
+    if _needs_order({"$group": spec}):
+        ctx.wanted = True
+        df = numbered(df, ctx)
     aggs = [accumulator(df, s, ctx).alias(n) for n, s in outs.items()]
     grouped = df.groupBy(k.alias("_id"))
     ctx.order = []
     return grouped.agg(*aggs) if aggs else grouped.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
 
 
-def _order_values(ctx: Context) -> list[Column]:
-    return [c for c, _ in ctx.order]
-
-
 def sort(df: DataFrame, spec, ctx: Context) -> DataFrame:
-    keys = list(spec.items() if isinstance(spec, dict) else spec)
-    values = []
-    for path, way in keys:
-        at = V.resolve(df.schema, path)
-        if at is None:
-            continue
-        c, dt = at
-        if not way or (not isinstance(way, bool) and way < 0):
-            if V.column_tag(dt) not in (*V.NUMERIC, "datetime"):
-                values.append((None, None))
-                continue
-            c = -(c if V.column_tag(dt) != "datetime" else F.unix_micros(c.cast("timestamp")))
-        values.append((F.struct(c.isNull().alias("n"), c.alias("v")), path))
-    ctx.order = [v for v in values if v[0] is not None]
-    return df.orderBy(*ordering(df.schema, keys))
+    """Rows by the keys in turn, of any type that has an order.
+
+    Where a later stage needs the order, rows are numbered after the sort: tasks hold ranges of
+    it in turn, so the number is one comparable column whatever the keys' types and directions.
+    """
+    keys = ordering(df.schema, list(spec.items() if isinstance(spec, dict) else spec))
+    if not keys:  # no document has any of them, so all are equal
+        return numbered(df, ctx)
+    if ctx.wanted:
+        df = numbered(df, ctx)  # ties keep the order they came in
+    out = df.orderBy(*keys, *ctx.hidden())
+    if not ctx.wanted:
+        return out
+    out = out.withColumn("_tsr_sorted", F.monotonically_increasing_id()).drop(*ctx.order).withColumnRenamed("_tsr_sorted", "_tsr_order0")
+    ctx.order = ["_tsr_order0"]
+    return out
 
 
 def limit(df: DataFrame, n, ctx: Context) -> DataFrame:
@@ -156,10 +180,16 @@ def unwind(df: DataFrame, spec, ctx: Context) -> DataFrame:
     if path not in df.columns or not isinstance(df.schema[path].dataType, T.ArrayType):
         return df if keep else df.where(F.lit(False))
     c = F.col(f"`{path}`")
-    return df.withColumn(path, F.explode_outer(c) if keep else F.explode(c))
+    if not ctx.wanted:
+        return df.withColumn(path, F.explode_outer(c) if keep else F.explode(c))
+    df, place = numbered(df, ctx), f"_tsr_order{len(ctx.order)}"
+    out = df.select("*", (F.posexplode_outer(c) if keep else F.posexplode(c)).alias(place, "_tsr_element"))
+    ctx.order = [*ctx.order, place]
+    return out.withColumn(path, F.col("_tsr_element")).drop("_tsr_element")
 
 
 def count(df: DataFrame, name: str, ctx: Context) -> DataFrame:
+    ctx.order = []
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
@@ -171,27 +201,40 @@ def replace_root(df: DataFrame, spec, ctx: Context) -> DataFrame:
     at = V.resolve(df.schema, _path(spec["newRoot"] if isinstance(spec, dict) else spec))
     if at is None or not isinstance(at[1], T.StructType):
         raise QueryParseError("$replaceRoot needs a document field")
-    return df.where(at[0].isNotNull()).select(*[at[0].getField(n).alias(n) for n in at[1].names])
+    return df.where(at[0].isNotNull()).select(*[at[0].getField(n).alias(n) for n in at[1].names], *ctx.hidden())
 
 
 def lookup(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     """Foreign documents of an equal key as an array, empty without any.
 
-    The foreign side is grouped by key before the join, so a key meets one row; Catalyst
-    chooses broadcast or sort-merge, and skewed keys were already folded by the grouping.
+    Only foreign documents whose key some local row has are gathered: a semi-join with the
+    distinct local keys comes first. They are grouped by key before the join, so a key meets one
+    row; Catalyst chooses broadcast or sort-merge. A key's array is the result asked for, so its
+    documents come together in one row whatever their number.
     """
+    if spec["from"] not in ctx.collections:
+        raise QueryParseError(f"$lookup from an unknown collection {spec['from']}")
+    df = numbered(df, ctx)
     foreign = ctx.collections[spec["from"]]
-    rows = foreign.where(F.col(spec["foreignField"]).isNotNull()).groupBy(F.col(spec["foreignField"]).alias("_fk")).agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"`{n}`") for n in foreign.columns]))).alias("_fv"))
-    joined = df.join(rows, df[spec["localField"]] == rows["_fk"], "left")
-    kind = rows.schema["_fv"].dataType
-    return joined.select(*[df[n] for n in df.columns if n != spec["as"]], F.coalesce("_fv", F.array().cast(kind)).alias(spec["as"]))
+    key, mine = V.resolve(foreign.schema, spec["foreignField"]), V.resolve(df.schema, spec["localField"])
+    kind = T.ArrayType(foreign.schema)
+    none = F.array().cast(kind)
+    if key is None or mine is None:
+        return df.withColumn(spec["as"], none)
+    rows = foreign.select(key[0].alias("_fk"), F.struct(*[F.col(f"`{n}`") for n in foreign.columns]).alias("_fd")).where(F.col("_fk").isNotNull())
+    local = df.select(mine[0].alias("_fk")).where(F.col("_fk").isNotNull()).distinct()
+    rows = rows.join(local, "_fk", "left_semi").groupBy("_fk").agg(F.array_sort(F.collect_list("_fd")).alias("_fv"))
+    joined = df.join(rows, mine[0] == F.col("_fk"), "left")
+    return joined.select(*[F.col(f"`{n}`") for n in df.columns if n != spec["as"]], F.coalesce("_fv", none).alias(spec["as"]))
 
 
 def out(df: DataFrame, name: str, ctx: Context) -> DataFrame:
+    """Hand the rows to the sink under a name, or register a temporary view without one; they pass on."""
+    seen = df.drop(*ctx.order)
     if ctx.sink is not None:
-        ctx.sink(name, df)
+        ctx.sink(name, seen)
     else:
-        df.createOrReplaceTempView(name)
+        seen.createOrReplaceTempView(name)
     return df
 
 
@@ -201,11 +244,14 @@ STAGES: dict[str, Callable] = {"$match": match, "$project": project, "$group": g
 def aggregate(df: DataFrame, stages: list[dict], collections: dict[str, DataFrame] | None = None, sink=None, render_keys: bool = False) -> DataFrame:
     """Apply a pipeline. A stage object names one stage; an unknown one is an error."""
     ctx = Context(collections or {}, sink, [], render_keys)
-    for stage in stages:
+    for i, stage in enumerate(stages):
         if not isinstance(stage, dict) or len(stage) != 1:
             raise QueryParseError("a stage is an object with one name")
         ((name, spec),) = stage.items()
         if name not in STAGES:
             raise QueryParseError(f"unknown stage {name}")
+        # the next stage that makes new rows is the last to ask for the order of these
+        ahead = next((s for s in stages[i + 1 :] if isinstance(s, dict) and ("$group" in s or "$count" in s)), {})
+        ctx.wanted = _needs_order(ahead)
         df = STAGES[name](df, spec, ctx)
-    return df
+    return df.drop(*ctx.order)
