@@ -11,6 +11,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,12 +95,13 @@ def _field(path: str, v):
 
 
 def safe_pattern(p: str) -> bool:
-    """Whether a pattern is valid and linear: without look-around and back-references."""
+    """Whether a pattern is linear, without look-around and back-references, and valid to the JVM, which runs it."""
     if re.search(r"\(\?[=!]|\(\?<[=!]|\\[1-9]|\(\?P=", p):
         return False
+    context = SparkContext._active_spark_context
     try:
-        re.compile(p)
-    except re.error:
+        context._jvm.java.util.regex.Pattern.compile(p) if context is not None else re.compile(p)
+    except (Py4JJavaError, PySparkException, re.error):
         return False
     return True
 

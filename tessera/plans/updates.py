@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryParseError
+from ..functions import values as V
 from .filters import compile_filter
 
 OPERATORS = ("$set", "$unset", "$inc", "$push", "$pull", "$rename")
@@ -28,51 +31,134 @@ def parse_update(update: dict) -> list[tuple[str, str, object]]:
 
 
 def apply_update(df: DataFrame, query: dict, update: dict, version_col: str | None = None) -> DataFrame:
-    """``df`` after the update of matching rows. Each operator is one projection, which Catalyst collapses."""
-    hit = compile_filter(query, df.schema)
-    df = df.withColumn("_hit", hit)
+    """``df`` after the update of matching rows. Each operator is one projection, which Catalyst collapses.
+
+    A dotted path goes through documents and maps; $set, $inc and $push make documents that are
+    missing on the way. A value that doesn't fit its column widens it (int to bigint to double);
+    one of another kind is an error, as is a path through anything but documents.
+    """
+    df = df.withColumn(HIT, compile_filter(query, df.schema))
+    hit = F.col(HIT)
     for op, path, v in parse_update(update):
-        head, *rest = path.split(".")
-        old = F.col(f"`{head}`") if head in df.columns else None
         if op == "$rename":
-            if old is not None:
-                moved = F.when(F.col("_hit"), old)
-                kept = F.when(~F.col("_hit"), old)
-                target = F.col(f"`{v}`") if v in df.columns else F.lit(None).cast(df.schema[head].dataType)
-                df = df.withColumns({v: F.coalesce(moved, target), head: kept})
-            continue
-        if rest:
-            new = _nested(old, rest, op, v)
-        elif op == "$set":
-            new = F.lit(v) if old is None else F.lit(v).cast(df.schema[head].dataType)
-        elif op == "$unset":
-            new = F.lit(None)
-        elif op == "$inc":
-            new = F.coalesce(old, F.lit(0)) + F.lit(v) if old is not None else F.lit(v)
-        elif op == "$push":
-            kind = df.schema[head].dataType if old is not None else T.ArrayType(T.StringType())
-            base = F.coalesce(old, F.array().cast(kind)) if old is not None else F.array().cast(kind)
-            new = F.array_append(base, F.lit(v).cast(kind.elementType))
-        else:
-            if old is None:
-                continue
-            new = F.filter(old, lambda x: ~F.coalesce(x == F.lit(v), F.lit(False)))
-        df = df.withColumn(head, F.when(F.col("_hit"), new).otherwise(old) if old is not None else F.when(F.col("_hit"), new))
+            df = _renamed(df, path, v)
+        elif op in MAKES or V.resolve(df.schema, path) is not None:
+            df = _put(df, path.split("."), hit, lambda old, dt, op=op, v=v: _leaf(op, old, dt, v), op in MAKES)
     if version_col:
-        df = df.withColumn(version_col, F.when(F.col("_hit"), F.col(version_col) + 1).otherwise(F.col(version_col)))
-    return df.drop("_hit")
+        df = df.withColumn(version_col, F.when(hit, F.col(version_col) + 1).otherwise(F.col(version_col)))
+    return df.drop(HIT)
+
+
+HIT = "_tsr_hit"
+#: Operators that make what is missing on their path.
+MAKES = ("$set", "$inc", "$push")
+
+
+def _renamed(df: DataFrame, path: str, to: str) -> DataFrame:
+    at = V.resolve(df.schema, path)
+    if at is None or path == to:
+        return df
+    value, dt = at
+    df = df.withColumns({"_tsr_value": value, "_tsr_has": F.col(HIT) & value.isNotNull()})
+
+    def assign(old, kind):
+        if kind is not None and kind != dt:
+            raise QueryParseError(f"$rename of a {dt.simpleString()} to a {kind.simpleString()}")
+        return F.col("_tsr_value")
+
+    df = _put(df, to.split("."), F.col("_tsr_has"), assign, True)
+    df = _put(df, path.split("."), F.col("_tsr_has"), lambda old, kind: F.lit(None).cast(kind), False)
+    return df.drop("_tsr_value", "_tsr_has")
 
 
-def _nested(old: Column | None, rest: list[str], op: str, v) -> Column:
-    path = ".".join(rest)
-    if old is None:
-        raise QueryParseError("a nested update needs its document")
+def _put(df: DataFrame, path: list[str], hit: Column, leaf: Callable, makes: bool) -> DataFrame:
+    head = path[0]
+    old, dt = (F.col(f"`{head}`"), df.schema[head].dataType) if head in df.columns else (None, None)
+    return df.withColumn(head, _rebuilt(old, dt, path[1:], hit, leaf, makes))
+
+
+def _rebuilt(old: Column | None, dt: T.DataType | None, rest: list[str], hit: Column, leaf: Callable, makes: bool) -> Column:
+    """A column with ``leaf`` applied at a path below it in rows that are hit; every document on the way is rebuilt."""
+    if not rest:
+        new = leaf(old, dt)
+        return F.when(hit, new).otherwise(old) if old is not None else F.when(hit, new)
+    name, *below = rest
+    if dt is None:
+        return F.when(hit, F.struct(_rebuilt(None, None, below, hit, leaf, makes).alias(name)))
+    if isinstance(dt, T.MapType):
+        inner = _rebuilt(F.try_element_at(old, F.lit(name)), dt.valueType, below, hit, leaf, makes)
+        base = F.coalesce(old, F.create_map().cast(dt)) if makes else old
+        others = F.map_filter(base, lambda k, _: k != name)
+        return F.when(hit & base.isNotNull(), F.map_filter(F.map_concat(others, F.create_map(F.lit(name), inner)), lambda _, x: x.isNotNull())).otherwise(old)
+    if not isinstance(dt, T.StructType):
+        raise QueryParseError(f"{name} is below a {dt.simpleString()}")
+    inner = _rebuilt(*((old.getField(name), dt[name].dataType) if name in dt.names else (None, None)), below, hit, leaf, makes)
+    parts = [(inner if n == name else old.getField(n)).alias(n) for n in dt.names]
+    whole = F.struct(*parts, *([] if name in dt.names else [inner.alias(name)]))
+    return F.when(old.isNotNull() | hit if makes else old.isNotNull(), whole)
+
+
+def _leaf(op: str, old: Column | None, dt: T.DataType | None, v) -> Column:
+    """The value that an operator gives in a row that it hits."""
     if op == "$unset":
-        return old.dropFields(path)
-    inner = old
-    for seg in rest:
-        inner = inner.getField(seg)
-    return old.withField(path, F.coalesce(inner, F.lit(0)) + F.lit(v) if op == "$inc" else F.lit(v))
+        return F.lit(None).cast(dt)
+    if op == "$set":
+        return literal(v) if dt is None or v is None else literal(v, fitted(dt, v))
+    if op == "$inc":
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or (dt is not None and V.column_tag(dt) not in V.NUMERIC):
+            raise QueryParseError("$inc adds numbers to numbers")
+        return F.lit(v) if dt is None else F.coalesce(old, F.lit(0)) + F.lit(v)
+    if dt is not None and not isinstance(dt, T.ArrayType):
+        raise QueryParseError(f"{op} needs an array")
+    if op == "$push":
+        if dt is None:
+            return F.array(literal(v))
+        kind = dt.elementType if v is None else fitted(dt.elementType, v)
+        base = old if kind == dt.elementType else old.cast(T.ArrayType(kind))
+        return F.array_append(F.coalesce(base, F.array().cast(T.ArrayType(kind))), literal(v, kind))
+    return F.filter(old, lambda x: ~F.coalesce(V.equals(x, dt.elementType, v), F.lit(False)))
+
+
+def fitted(dt: T.DataType, v) -> T.DataType:
+    """The least type that holds a column's values and ``v``; an error where there is none."""
+    tag, lit_tag = V.column_tag(dt), V.literal_tag(v)
+    if tag in V.NUMERIC and lit_tag in V.NUMERIC:
+        if lit_tag == "double":
+            return dt if isinstance(dt, T.DoubleType) else T.DoubleType()
+        if tag == "double":
+            return dt if isinstance(dt, T.DoubleType) else T.DoubleType()
+        return T.LongType() if lit_tag == "int64" else dt if isinstance(dt, T.LongType) else T.IntegerType()
+    if isinstance(dt, T.ArrayType) and lit_tag == "array":
+        kind = dt.elementType
+        for x in v:
+            kind = kind if x is None else fitted(kind, x)
+        return T.ArrayType(kind)
+    if isinstance(dt, T.StructType) and lit_tag == "document":
+        if not set(v) <= set(dt.names):
+            raise QueryParseError(f"fields {sorted(set(v) - set(dt.names))} aren't in {dt.simpleString()}")
+        return T.StructType([T.StructField(f.name, f.dataType if v.get(f.name) is None else fitted(f.dataType, v[f.name])) for f in dt.fields])
+    if isinstance(dt, T.MapType) and lit_tag == "document":
+        kind = dt.valueType
+        for x in v.values():
+            kind = kind if x is None else fitted(kind, x)
+        return T.MapType(dt.keyType, kind)
+    if tag != lit_tag and not (tag == "null" or lit_tag == "null"):
+        raise QueryParseError(f"a {lit_tag} doesn't fit a {dt.simpleString()}")
+    return dt
+
+
+def literal(v, dt: T.DataType | None = None) -> Column:
+    """A value as a Column, documents and arrays included, in a type if one is given."""
+    if isinstance(v, dict):
+        if isinstance(dt, T.MapType):
+            return F.create_map(*[c for k, x in v.items() for c in (F.lit(k), literal(x, dt.valueType))]).cast(dt)
+        names = dt.names if dt is not None else sorted(v)
+        return F.struct(*[literal(v.get(n), dt[n].dataType if dt is not None else None).alias(n) for n in names])
+    if isinstance(v, (list, tuple)):
+        out = F.array(*[literal(x, dt.elementType if dt is not None else None) for x in v])
+    else:
+        out = F.lit(v)
+    return out if dt is None else out.cast(dt)
 
 
 def delete_many(df: DataFrame, query: dict) -> DataFrame:
