@@ -21,6 +21,14 @@ class NotFoundError(EngineError):
     """A collection, index or transaction that doesn't exist."""
 
 
+class DimensionError(EngineError):
+    """A vector of another length than its index."""
+
+
+class TransactionTimeout(EngineError):
+    """A transaction that was open for too long."""
+
+
 class CapacityError(EngineError):
     """An insert beyond a capped collection's size."""
 
