@@ -39,7 +39,7 @@ def whitespace(text: Column) -> Column:
 
 
 def keyword(text: Column) -> Column:
-    return F.array(text)
+    return F.when(text.isNotNull(), F.array(text))
 
 
 def ngram(text: Column, least: int = 2, most: int = 3) -> Column:

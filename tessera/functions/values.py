@@ -211,6 +211,25 @@ def crc32(c: Column) -> Column:
     return F.crc32(c.cast("binary"))
 
 
+def from_extended(v):
+    """A Python value from extended JSON: wrappers of one key become what they stand for."""
+    import base64
+
+    if isinstance(v, list):
+        return [from_extended(x) for x in v]
+    if not isinstance(v, dict):
+        return v
+    if len(v) == 1:
+        ((k, x),) = v.items()
+        if k == "$date" and isinstance(x, str):
+            return datetime.datetime.fromisoformat(x) if "T" in x else datetime.date.fromisoformat(x)
+        if k == "$binary" and isinstance(x, str):
+            return base64.b64decode(x)
+        if k == "$oid" and isinstance(x, str):
+            return x
+    return {k: from_extended(x) for k, x in v.items()}
+
+
 def to_extended(v):
     """A Python value as extended JSON: ``$oid``-like wrappers for what JSON lacks."""
     import base64

@@ -4,22 +4,177 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import DuplicateKeyError, NotFoundError
 from ..functions.text import ANALYZERS, edge_ngram
+from ..sources import scratch
 from .spread import spread
 
 K1, B = 1.5, 0.75
 FIELD_GAP = 100
 
 
+#: Folders that a stored index deals its terms to, by hash; a query reads those of its terms.
+BUCKETS = 64
+#: Documents of a hot term that one task writes.
+DOCS_A_TASK = 2_000_000
+
+
+def _terms(spark: SparkSession, analyzer: str, query: str) -> list[str]:
+    """The query's terms; one local row through the index's own analyzer."""
+    return spark.range(1).select(ANALYZERS[analyzer](F.lit(query)).alias("t")).first()["t"]
+
+
+def _ranked(posts: DataFrame, stats: DataFrame, terms: list[str], among: DataFrame | None, score: str) -> DataFrame:
+    """(doc, score, matched_terms) from the postings (doc, dl, term, wtf) of the query's terms; a repeated query term counts again."""
+    repeats = {t: terms.count(t) for t in terms}
+    # a row a query term, so its broadcast is bounded by the query
+    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if among is not None:
+        posts = posts.join(among, "doc", "left_semi")
+    qn = reduce(lambda acc, kv: F.when(F.col("term") == kv[0], F.lit(kv[1])).otherwise(acc), repeats.items(), F.lit(0))
+    j = posts.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    part = bm25(F.col("wtf"), F.col("dl"), F.col("avgdl"), F.col("df"), F.col("n_docs")) if score == "bm25" else tf_idf(F.col("wtf"), F.col("dl"), F.col("df"), F.col("n_docs"))
+    return j.groupBy("doc").agg(F.sum(part * qn).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
+
+
+class StoredTextIndex:
+    """Postings on disk, in folders by a hash of their term and sorted by term, with lengths and totals.
+
+    Every query reads only the folders of its own terms, and in them only the row groups that
+    can hold these; texts are analyzed once, when the index is built. A posting carries its
+    document's length, so scoring joins nothing that grows with the collection.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.meta = spark, path, scratch.load(spark, f"{path}/meta.json")
+        self.analyzer = self.meta["analyzer"]
+
+    @classmethod
+    def build(cls, index: TextIndex, path: str, buckets: int = BUCKETS) -> StoredTextIndex:
+        """Write an index. Tokens are shuffled once, by bucket and a part of the documents, so that a hot term's postings come from many tasks."""
+        spark = index.docs.sparkSession
+        n_docs = index.docs.select("doc").count()
+        salts = max(1, -(-n_docs // DOCS_A_TASK))
+        tokens = index.docs.select("doc", F.size("tokens").alias("dl"), F.inline_outer("tokens")).where(F.col("term").isNotNull())
+        tokens = tokens.withColumns({"bucket": _bucket(F.col("term"), buckets), "salt": F.pmod(F.xxhash64("doc"), F.lit(salts))}).repartition("bucket", "salt")
+        posts = tokens.groupBy("bucket", "salt", "term", "doc", "dl").agg(
+            F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.sum(index._weight(F.col("field"))).alias("wtf")
+        )
+        posts.drop("salt").sortWithinPartitions("bucket", "term", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        kind = index.docs.schema["doc"].dataType.simpleString()
+        written = spark.read.schema("tf bigint").parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        meta = {"analyzer": index.analyzer, "fields": index.fields, "weights": index.weights, "buckets": buckets, "doc": kind, "n_docs": n_docs, "avgdl": written / n_docs if n_docs else None}
+        scratch.save(spark, f"{path}/meta.json", meta)
+        return cls(spark, path)
+
+    @property
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema(f"term string, doc {self.meta['doc']}, dl int, tf bigint, positions array<int>, wtf double, bucket int").parquet(f"{self.path}/postings")
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        if terms is None:
+            return self._all.drop("bucket")
+        if not terms:
+            return self._all.where(F.lit(False)).drop("bucket")
+        few = sorted(set(terms))
+        buckets = self.spark.range(1).select(F.array_sort(F.array_distinct(F.array(*[_bucket(F.lit(t), self.meta["buckets"]) for t in few]))).alias("b")).first()["b"]
+        return self._all.where(F.col("bucket").isin(buckets) & F.col("term").isin(few)).drop("bucket")
+
+    def lengths(self) -> DataFrame:
+        """(doc, dl) of the documents that have a term."""
+        return self._all.groupBy("doc").agg(F.max("dl").alias("dl"))
+
+    def stats(self) -> DataFrame:
+        return self.spark.range(1).select(F.lit(self.meta["n_docs"]).cast("bigint").alias("n_docs"), F.lit(self.meta["avgdl"]).cast("double").alias("avgdl"))
+
+    def vocabulary(self) -> DataFrame:
+        return self._all.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+    def without(self, ids: DataFrame) -> DataFrame:
+        return self.postings().join(ids.toDF("doc"), "doc", "left_anti")
+
+    def terms_of(self, query: str) -> list[str]:
+        return _terms(self.spark, self.analyzer, query)
+
+    def boolean_and(self, terms: list[str]) -> DataFrame:
+        hits = self.postings(terms).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+        return hits.where(F.col("n") == len(set(terms))).select("doc")
+
+    def boolean_or(self, terms: list[str]) -> DataFrame:
+        return self.postings(terms).select("doc").distinct()
+
+    def phrase(self, terms: list[str]) -> DataFrame:
+        """Documents where the terms stand at consecutive positions: places less their offset, in common to all terms."""
+        few = sorted(set(terms))
+        at = {t: F.col(f"p{few.index(t)}") for t in few}
+        docs = self.postings(terms).groupBy("doc").agg(*[F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"p{i}") for i, t in enumerate(few)]) if few else self.postings([]).select("doc")
+        if not few:
+            return docs
+
+        def starts(term: str, i: int) -> Column:
+            return F.transform(at[term], lambda p: p - i)
+
+        common = reduce(F.array_intersect, [starts(t, i) for i, t in enumerate(terms)])
+        return docs.where(F.coalesce(F.size(common), F.lit(0)) > 0).select("doc")
+
+    def scored(self, terms: list[str], among: DataFrame | None = None, score: str = "bm25") -> DataFrame:
+        return _ranked(self.postings(terms), self.stats(), terms, among, score)
+
+    def search(self, query: str, limit: int = 10, score: str = "bm25") -> DataFrame:
+        return self.scored(self.terms_of(query), score=score).orderBy(F.desc("score"), "doc").limit(limit)
+
+    def phrase_search(self, query: str, limit: int = 10) -> DataFrame:
+        terms = self.terms_of(query)
+        return self.scored(terms, self.phrase(terms)).orderBy(F.desc("score"), "doc").limit(limit)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+class TextIndexes:
+    """Named text indexes of collections under one folder; they outlive the process."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _at(self, collection: str, name: str) -> str:
+        return f"{self.path}/{collection}/{name}"
+
+    def create_index(self, df: DataFrame, collection: str, name: str, id_col: str, fields: list[str], analyzer: str = "standard", weights: dict[str, float] | None = None, buckets: int = BUCKETS) -> StoredTextIndex:
+        if scratch.exists(self.spark, f"{self._at(collection, name)}/meta.json"):
+            raise DuplicateKeyError(f"text index {collection}.{name} is there already")
+        return StoredTextIndex.build(TextIndex(df, id_col, fields, analyzer, weights), self._at(collection, name), buckets)
+
+    def get(self, collection: str, name: str) -> StoredTextIndex:
+        if not scratch.exists(self.spark, f"{self._at(collection, name)}/meta.json"):
+            raise NotFoundError(f"no text index {collection}.{name}")
+        return StoredTextIndex(self.spark, self._at(collection, name))
+
+    def drop_index(self, collection: str, name: str) -> None:
+        self.get(collection, name)
+        scratch.delete(self.spark, self._at(collection, name))
+
+    def list_indexes(self, collection: str) -> list[str]:
+        return scratch.children(self.spark, f"{self.path}/{collection}")
+
+    def search(self, collection: str, name: str, query: str, limit: int = 10) -> DataFrame:
+        return self.get(collection, name).search(query, limit)
+
+    def stats(self, collection: str, name: str) -> dict:
+        index = self.get(collection, name)
+        return {"documents": index.meta["n_docs"], "terms": index._all.select("term").distinct().count(), "avg_length": index.meta["avgdl"], "bytes": scratch.size(self.spark, index.path)}
+
+
 class TextIndex:
-    """Postings of a collection: (doc, term, tf, positions), with document lengths.
+    """Postings of a collection worked out from its texts: (doc, term, tf, positions), with document lengths.
 
     Several fields are put one after another with a gap in positions, so that no phrase spans
-    two. A query reads only its own terms' postings: their filter is pushed below the grouping,
-    so nothing but matching tokens is shuffled.
+    two. For a query or two over a collection that isn't stored; every query analyzes all texts
+    (``StoredTextIndex.build`` does so once).
     """
 
     def __init__(self, df: DataFrame, id_col: str, fields: list[str], analyzer: str = "standard", weights: dict[str, float] | None = None):
@@ -61,9 +216,7 @@ class TextIndex:
         return self.tokens.join(ids, self.tokens["doc"] == ids[ids.columns[0]], "left_anti")
 
     def terms_of(self, query: str) -> list[str]:
-        """The query's terms; one local row through the index's own analyzer."""
-        spark = self.docs.sparkSession
-        return spark.range(1).select(ANALYZERS[self.analyzer](F.lit(query)).alias("t")).first()["t"]
+        return _terms(self.docs.sparkSession, self.analyzer, query)
 
     def boolean_and(self, terms: list[str]) -> DataFrame:
         hits = self.tokens.where(F.col("term").isin(terms)).groupBy("doc").agg(F.count_distinct("term").alias("n"))
@@ -85,23 +238,11 @@ class TextIndex:
         return self.docs.where(F.element_at(hits, 1) > 0).select("doc")
 
     def scored(self, terms: list[str], among: DataFrame | None = None, score: str = "bm25") -> DataFrame:
-        """(doc, score, matched_terms): a repeated query term counts again.
-
-        One scan takes the terms' occurrences and the document lengths together, and only those
-        occurrences are shuffled; the terms' document counts come from the same exchange. The
-        collection's size and average length are one row, the counts a row a term.
-        """
-        repeats = {t: terms.count(t) for t in terms}
-        hits = F.filter("tokens", lambda x: x["term"].isin(list(repeats)) if repeats else F.lit(False))
+        """``_ranked`` over one scan, which takes the terms' occurrences and the lengths together; only those occurrences are shuffled."""
+        hits = F.filter("tokens", lambda x: x["term"].isin(sorted(set(terms))) if terms else F.lit(False))
         found = self.docs.select("doc", F.size("tokens").alias("dl"), F.explode_outer(hits).alias("t")).where(F.col("t").isNotNull())
         posts = found.groupBy("doc", "dl", F.col("t.term").alias("term")).agg(F.sum(self._weight(F.col("t.field"))).alias("wtf"))
-        df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        if among is not None:
-            posts = posts.join(among, "doc", "left_semi")
-        qn = reduce(lambda acc, kv: F.when(F.col("term") == kv[0], F.lit(kv[1])).otherwise(acc), repeats.items(), F.lit(0))
-        j = posts.join(F.broadcast(df), "term").crossJoin(F.broadcast(self.stats()))
-        part = bm25(F.col("wtf"), F.col("dl"), F.col("avgdl"), F.col("df"), F.col("n_docs")) if score == "bm25" else tf_idf(F.col("wtf"), F.col("dl"), F.col("df"), F.col("n_docs"))
-        return j.groupBy("doc").agg(F.sum(part * qn).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
+        return _ranked(posts, self.stats(), terms, among, score)
 
     def search(self, query: str, limit: int = 10, score: str = "bm25") -> DataFrame:
         return self.scored(self.terms_of(query), score=score).orderBy(F.desc("score"), "doc").limit(limit)

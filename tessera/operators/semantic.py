@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +11,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .search import TextIndex
+from ..errors import QueryParseError
+from .search import StoredTextIndex, TextIndex
 from .vector_search import knn
 
 DIMS = 384
+
+
+@dataclass(frozen=True)
+class ModelConfig:
+    """How texts are embedded. Only the local model runs; it makes no remote call and reads texts whole."""
+
+    provider: str = "local"
+    model: str = "byte-chunks"
+    dimensions: int = DIMS
+    batch_size: int = 1024
+
+    def __post_init__(self):
+        if self.provider != "local":
+            raise QueryParseError(f"no embedding provider {self.provider} here")
+        if self.dimensions < 1 or self.batch_size < 1:
+            raise QueryParseError("dimensions and batch_size are 1 or more")
+
+
 #: What parses as a 64-bit float in text: signs, decimals, exponents, inf, infinity and nan.
 NUMBER = r"^[+-]?(?i:inf|infinity|nan|\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?)$"
 
@@ -40,13 +60,15 @@ def embed_text(text: str, dims: int = DIMS) -> np.ndarray:
     return (v / n if n > 1e-6 else v).astype(np.float32)
 
 
-def embed(df: DataFrame, id_col: str, text_col: str, dims: int = DIMS) -> DataFrame:
+def embed(df: DataFrame, id_col: str, text_col: str, dims: int = DIMS, config: ModelConfig | None = None) -> DataFrame:
     """(id, embedding); a null text gives a null embedding."""
+    config = config or ModelConfig(dimensions=dims)
+    dims, rows = config.dimensions, config.batch_size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                s = b.slice(at, 1024)
+            for at in range(0, b.num_rows, rows):
+                s = b.slice(at, rows)
                 vs = [None if t is None else embed_text(t, dims) for t in s.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(vs, pa.list_(pa.float32()))], names=[id_col, "embedding"])
 
@@ -65,7 +87,7 @@ def hybrid(nearest: DataFrame, keyword: DataFrame, limit: int, id_col: str, vect
     return j.withColumn("score", total).orderBy(F.desc("score"), id_col).limit(limit)
 
 
-def hybrid_search(vectors: DataFrame, index: TextIndex, query: str, query_vector, limit: int, id_col: str, candidates: int = 100) -> DataFrame:
+def hybrid_search(vectors: DataFrame, index: TextIndex | StoredTextIndex, query: str, query_vector, limit: int, id_col: str, candidates: int = 100) -> DataFrame:
     return hybrid(knn(vectors, query_vector, candidates, id_col=id_col), index.scored(index.terms_of(query)), limit, id_col)
 
 
@@ -95,8 +117,12 @@ def summarize(text: Column, most: int = 100) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
 
-def generate(prompt: Column, model: str = "default") -> Column:
-    return F.concat(F.lit(f"[{model}] response to: "), prompt)
+def generate(prompt: Column, max_tokens: int = 100) -> Column:
+    """The fixed text that stands for a generated one: the prompt's first 50 bytes, or as many as make whole characters, and the limit."""
+    b = F.encode(prompt, "UTF-8")
+    # 50 bytes at most: a byte is the first of a character unless its two upper bits are 10
+    fits = [F.when((F.octet_length(prompt) <= n) | ~F.substring(F.hex(F.substring(b, n + 1, 1)), 1, 1).isin("8", "9", "A", "B"), F.decode(F.substring(b, 1, n), "UTF-8")) for n in (50, 49, 48, 47)]
+    return F.concat(F.lit("[Generated text based on: '"), F.coalesce(*fits), F.lit(f"' (max {max_tokens} tokens)]"))
 
 
 def answer(text: Column) -> Column:
