@@ -20,12 +20,17 @@ def route(df: DataFrame, key: Column, ring_df: DataFrame) -> DataFrame:
     """``df`` with ``shard``: the first node at the key's position or after, around the ring.
 
     The ring is shards times virtual nodes, collected as one sorted literal array, so routing
-    is a scan in the JVM without a join.
+    is a scan in the JVM without a join. A key is hashed once, in a projection of its own, and
+    its place found by halving the sorted ring: one comparison for each doubling of the nodes.
     """
     nodes = sorted((r["h"], r["shard"]) for r in ring_df.collect())
-    arr = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(s).alias("shard")) for h, s in nodes])
-    after = F.filter(arr, lambda n: n["h"] >= position(key))
-    return df.withColumn("shard", F.coalesce(F.try_element_at(after, F.lit(1))["shard"], F.lit(nodes[0][1])))
+    places = F.array(*[F.lit(h) for h, _ in nodes])
+    shards = F.array(*[F.lit(s) for _, s in nodes], F.lit(nodes[0][1]))
+    # lo counts nodes before the position; a null key has none and stays null
+    steps, lo, h = [1 << b for b in reversed(range(len(nodes).bit_length()))], F.lit(0), F.col("_tsr_at")
+    found = F.aggregate(F.array(*map(F.lit, steps)), lo, lambda n, s: F.when((n + s <= len(nodes)) & (F.element_at(places, F.least(n + s, F.lit(len(nodes)))) < h), n + s).otherwise(n))
+    out = df.withColumn("_tsr_at", position(key))
+    return out.withColumn("shard", F.when(h.isNotNull(), F.element_at(shards, found + 1))).drop("_tsr_at")
 
 
 def in_range(c: Column, low, high) -> Column:
