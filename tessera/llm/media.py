@@ -7,7 +7,7 @@ import math
 import struct
 import wave
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,19 +67,25 @@ def read_wav(data: bytes | None) -> tuple[int, np.ndarray] | None:
     return None if got is None else (got[0], np.concatenate([np.empty(0), *got[1]]))
 
 
+@lru_cache(maxsize=8)
+def _hann(frame: int) -> np.ndarray:
+    return np.hanning(frame)
+
+
 def spectra(samples: Iterator[np.ndarray], frame: int = FRAME, hop: int = HOP, chunk: int = CHUNK_FRAMES) -> Iterator[np.ndarray]:
     """Magnitudes by parts of ``chunk`` frames, under a Hann window; a signal is padded with zeros to one frame or more and whole hops."""
-    window, held = np.hanning(frame), np.empty(0)
+    window, held = _hann(frame), np.empty(0)
 
     def magnitudes(x: np.ndarray, n: int) -> np.ndarray:
         return np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, frame)[::hop][:n] * window, axis=1))
 
     for x in samples:
-        held = np.concatenate([held, x])
+        held = np.concatenate([held, x]) if len(held) else x
         while len(held) > frame + (chunk - 1) * hop:
             yield magnitudes(held, chunk)
             held = held[chunk * hop :]
-    held = np.pad(held, (0, frame - len(held) if len(held) < frame else -(len(held) - frame) % hop))
+    short = frame - len(held) if len(held) < frame else -(len(held) - frame) % hop
+    held = np.concatenate([held, np.zeros(short)]) if short else held
     yield magnitudes(held, 1 + (len(held) - frame) // hop)
 
 
@@ -88,46 +94,40 @@ def spectrogram(x: np.ndarray, frame: int = FRAME, hop: int = HOP) -> np.ndarray
     return np.concatenate(list(spectra(iter([x]), frame, hop)))
 
 
-def _window_max(x: np.ndarray, near: int, axis: int) -> np.ndarray:
-    """Maxima over ``near`` neighbours on both sides along an axis."""
-    x = np.moveaxis(x, axis, 0)
-    out = x.copy()
-    for d in range(1, near + 1):
-        np.maximum(out[d:], x[:-d], out=out[d:])
-        np.maximum(out[:-d], x[d:], out=out[:-d])
-    return np.moveaxis(out, 0, axis)
-
-
-def peaks(mag: np.ndarray, near: int = NEAR, mean: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(frame, bin) of local maxima over ``near`` frames and bins around that exceed the mean by three times; the first of equal neighbours wins."""
-    top = mag > 3 * (mag.mean() if mean is None else mean)
-    top &= mag == _window_max(_window_max(mag, near, 0), near, 1)
-    t, f = np.nonzero(top)
-    ok = np.ones(len(t), bool)
-    for dt in range(-near, 1):
-        for df in range(-near, near + 1):
-            if (dt, df) < (0, 0):
-                a, b = t + dt, f + df
-                inside = np.nonzero((a >= 0) & (b >= 0) & (b < mag.shape[1]))[0]
-                ok[inside] &= mag[a[inside], b[inside]] != mag[t[inside], f[inside]]
-    return t[ok], f[ok]
-
-
-def streamed_peaks(parts: Iterator[np.ndarray], mean: float, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """``peaks`` of magnitudes that come in parts: a frame is judged once the ``near`` frames after it are there."""
-    held, start, done, found = None, 0, 0, []
-    for part in chain(parts, [None]):
-        if part is not None:
-            held = part if held is None else np.concatenate([held, part])
-        upto = start + len(held) - (near if part is not None else 0)
+#: Neighbours of a cell, the nearest first, as they rule out most cells.
+AROUND = sorted(((dt, df) for dt in range(-NEAR, NEAR + 1) for df in range(-NEAR, NEAR + 1) if dt or df), key=lambda x: (x[0] ** 2 + x[1] ** 2, x))
+
+
+def peaks(mag: np.ndarray, mean: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(frame, bin) of local maxima over NEAR frames and bins around that exceed the mean by three times; the first of equal neighbours wins."""
+    wide = mag.shape[1] + 2 * NEAR
+    held = np.full((mag.shape[0] + 2 * NEAR, wide), -1.0)
+    held[NEAR:-NEAR, NEAR:-NEAR] = mag
+    flat = held.ravel()
+    at = np.flatnonzero(flat > 3 * (mag.mean() if mean is None else mean))
+    top = flat[at]
+    for dt, df in AROUND:
+        other = flat[at + (dt * wide + df)]
+        ok = top > other if (dt, df) < (0, 0) else top >= other
+        at, top = at[ok], top[ok]
+    return at // wide - NEAR, at % wide - NEAR
+
+
+def streamed_peaks(parts: Iterator[np.ndarray], mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """``peaks`` of magnitudes that come in parts: a frame is judged once the NEAR frames after it are there."""
+    held, start, done, found = next(parts), 0, 0, []
+    while True:
+        more = next(parts, None)
+        upto = start + len(held) - (NEAR if more is not None else 0)
         if upto > done:
-            t, f = peaks(held, near, mean)
+            t, f = peaks(held, mean)
             mine = (t + start >= done) & (t + start < upto)
             found.append((t[mine] + start, f[mine]))
             done = upto
-            drop = max(0, done - near - start)
-            held, start = held[drop:], start + drop
-    return tuple(np.concatenate(x) for x in zip(*found))
+        if more is None:
+            return tuple(np.concatenate(x) for x in zip(*found))
+        drop = max(0, done - NEAR - start)
+        held, start = np.concatenate([held[drop:], more]), start + drop
 
 
 def pairs(ts: np.ndarray, fs: np.ndarray) -> np.ndarray:
