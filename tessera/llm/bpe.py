@@ -23,6 +23,8 @@ VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 CACHE_WORDS = 200_000
 #: Characters encoded together.
 BATCH_CHARS = 1 << 20
+#: Pre-tokens given to the library at once.
+TOGETHER = 8192
 
 
 def byte_chars() -> dict[str, int]:
@@ -83,7 +85,8 @@ class Codec:
             other = [w for w in new if not (w[0] == " " and w[1:].isalpha())]
             new = plain + other
             ids, size = self._encode_joined(plain)
-            coded = [e.ids for e in self.tok.encode_batch_fast(other, add_special_tokens=False)]
+            # few at once, as the library's results are much larger than the ids in them
+            coded = [e.ids for i in range(0, len(other), TOGETHER) for e in self.tok.encode_batch_fast(other[i : i + TOGETHER], add_special_tokens=False)]
             size = np.concatenate([size, np.fromiter(map(len, coded), np.int64, len(coded))])
             base, count = len(self.ids), len(self.first)
             self.ids = np.concatenate([self.ids, ids, np.array([i for c in coded for i in c], np.int32)])
@@ -103,7 +106,7 @@ class Codec:
         if not words:
             return np.empty(0, np.int32), np.empty(0, np.int64)
         texts = ["".join(words[i : i + together]) for i in range(0, len(words), together)]
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+        ids = np.concatenate([np.array(e.ids, np.int32) for i in range(0, len(texts), 16) for e in self.tok.encode_batch_fast(texts[i : i + 16], add_special_tokens=False)])
         ends = np.cumsum([len(w.encode()) for w in words])
         last = np.searchsorted(np.cumsum(self.lens[ids]), ends) + 1
         return ids, np.diff(last, prepend=0)
@@ -169,8 +172,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
         for whole in batches:
             every = whole.column(1).to_pylist()
             for lo, hi in _groups(every, BATCH_CHARS):
-                texts = [t or "" for t in every[lo:hi]]
                 null = np.array([t is None for t in every[lo:hi]])
+                # copies that stand together, as a mixture's do, are encoded once
+                place: dict[str, int] = {}
+                which = np.array([place.setdefault(t or "", len(place)) for t in every[lo:hi]])
+                texts = list(place)
                 ids, n = codec.encode(texts)
                 raw = [t.encode() for t in texts]
                 data = np.frombuffer(b"".join(raw), np.uint8)
@@ -191,6 +197,10 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
                     width = stop - start
                 else:
                     step = width = np.empty(0, np.int64)
+                if len(texts) < len(which):
+                    rows = _ranges(edge[which], n[which])
+                    ids, step, width, n, same = ids[rows], step[rows], width[rows], n[which], same[which]
+                    edge = np.concatenate([[0], np.cumsum(n)])
                 at = pa.array(np.where(np.concatenate([null, [False]]), 0, edge).astype(np.int32), mask=np.concatenate([null, [False]]))
                 lists = [pa.ListArray.from_arrays(at, pa.array(v, k.value_type)) for v, k in ((ids, kinds[1]), (step.astype(np.int16), kinds[2]), (width.astype(np.int16), kinds[3]))]
                 yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), pa.array(n, pa.int64(), mask=null), *lists, pa.array(same, mask=null)], names=names)

@@ -158,6 +158,15 @@ def test_offsets(spark):
     assert {r["doc_id"]: r["text"] for r in back} == dict(enumerate(TRICKY))
 
 
+def test_copies_that_stand_together_are_encoded_alike(spark):
+    texts = [None, "", "", "a é 🙂 b", *["a é 🙂 b"] * 3, "other words", None, "a é 🙂 b", "", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    rows = {r["doc_id"]: r for r in bpe.with_offsets(bpe.encode(df)).collect()}
+    alone = {r["doc_id"]: r for i in range(len(texts)) for r in bpe.with_offsets(bpe.encode(df.where(f"doc_id = {i}"))).collect()}
+    assert rows == alone and len(rows) == len(texts)
+    assert all(r["round_trip"] is (None if texts[r["doc_id"]] is None else True) for r in bpe.encode(df).collect())
+
+
 def test_split_characters_decode():
     codec = bpe.Codec.get(bpe.VOCABULARY)
     ids, _ = codec.encode(["🙂𐍈"])
