@@ -40,7 +40,7 @@ from ..operators.spread import spread
 from .common import map_arrow, small, table, trim, written
 
 NGRAM = 2
-THRESHOLD = Fraction(3, 4)
+THRESHOLD = Fraction(7, 10)
 #: Signatures that a worker gathers before it packs them, and that a bucket has on average.
 FLUSH_SIGNATURES = 1_500_000
 BUCKET_SIGNATURES = 5_000_000
@@ -685,8 +685,8 @@ WITH RECURSIVE nw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{
 ng AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS g FROM nw WHERE len(w) > 0),
 nt AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(doc_id), g) AS k, list_sort(list_distinct(list(doc_id))) AS ids, len(g) AS n, g FROM ng GROUP BY g),
 ne AS (SELECT k, n, unnest(g) AS t FROM nt),
-np AS (SELECT a.k AS ak, b.k AS bk, a.n AS an, b.n AS bn, count(*) AS c FROM ne a JOIN ne b ON a.t = b.t AND a.k < b.k AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY ALL),
-nj AS MATERIALIZED (SELECT ak, bk FROM np WHERE 4 * c >= 3 * (an + bn - c)),
+np AS (SELECT a.k AS ak, b.k AS bk, a.n AS an, b.n AS bn, count(*) AS c FROM ne a JOIN ne b ON a.t = b.t AND a.k < b.k AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n) GROUP BY ALL),
+nj AS MATERIALIZED (SELECT ak, bk FROM np WHERE 10 * c >= 7 * (an + bn - c)),
 nb AS MATERIALIZED (SELECT ak AS x, bk AS y FROM nj UNION ALL SELECT bk, ak FROM nj),
 per AS MATERIALIZED (SELECT unnest(ids) AS doc_id, k, len(ids) - 1 + coalesce(l, 0) AS l FROM nt LEFT JOIN (SELECT x, sum(len(ids)) AS l FROM nb JOIN nt ON k = y GROUP BY x) ON x = k),
 edges AS MATERIALIZED (SELECT x, y FROM nb UNION SELECT p.k, q.k FROM per p JOIN per q USING (doc_id)),

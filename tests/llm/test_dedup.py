@@ -19,7 +19,7 @@ def grams(text, n=2):
     return frozenset(zip(*[w[i:] for i in range(n)])) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute_pairs(rows, n=2, threshold=Fraction(3, 4)):
+def brute_pairs(rows, n=2, threshold=ngram_join.THRESHOLD):
     docs = {(i, grams(t, n)) for i, t in rows if i is not None and t}
     docs = sorted([d for d in docs if d[1]], key=lambda d: (d[0], sorted(d[1])))
     return {tuple(sorted((a, b))) for (a, x), (b, y) in combinations(docs, 2) if len(x & y) * threshold.denominator >= len(x | y) * threshold.numerator}
@@ -125,7 +125,7 @@ def corpus(seed, docs=160, common=0.4):
     return [(i, " ".join(w)) for i, w in enumerate(out)]
 
 
-def brute_classes(rows, n=2, threshold=Fraction(3, 4)):
+def brute_classes(rows, n=2, threshold=ngram_join.THRESHOLD):
     """(id, least id of its group, links), by sets of n-grams: an id's links are those of all its texts."""
     texts = {(i, grams(t, n)) for i, t in rows if i is not None and t}
     ids, of = defaultdict(set), defaultdict(set)
