@@ -395,4 +395,5 @@ class Database:
 
 def list_databases(spark: SparkSession, path: str) -> list[str]:
     fs, p = _fs(spark, path), _path(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+    return sorted(n for n in names if n[0] not in "._")

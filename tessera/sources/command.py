@@ -38,7 +38,7 @@ class Commands:
         self.spark, self.path = spark, path
         self.metrics = dict.fromkeys(COUNTERS, 0)
         self.transactions = TransactionManager()
-        self.require_auth, self.users, self.user = require_auth, users or Users(), None
+        self.require_auth, self.users, self.user = require_auth, users or Users(spark, f"{path}/.users"), None
 
     def execute(self, command: dict) -> dict:
         start = time.perf_counter()

@@ -40,6 +40,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in _fs(spark, path).listStatus(_path(spark, path)) if s.isDirectory())
 
 
+def files(spark: SparkSession, path: str) -> list[str]:
+    if not exists(spark, path):
+        return []
+    return sorted(s.getPath().getName() for s in _fs(spark, path).listStatus(_path(spark, path)) if s.isFile())
+
+
 def size(spark: SparkSession, path: str) -> int:
     return _fs(spark, path).getContentSummary(_path(spark, path)).getLength()
 

@@ -156,6 +156,17 @@ def test_commands_with_roles(spark, tmp_path):
     assert c.execute({"type": "authenticate", "username": "ann", "password": "pw"})["data"] == ["read"]
     assert "needs another role" in c.execute({"type": "insert_one", "collection": "u", "document": {"a": 1}})["error"]
     assert c.metrics["errors_total"] == 3
+    again = Commands(spark, str(tmp_path), require_auth=True)
+    assert again.execute({"type": "authenticate", "username": "ann", "password": "pw"})["data"] == ["read"]
+    assert again.execute({"type": "list_databases"})["data"] == []
+    c.users.grant("ann", "readWrite")
+    with pytest.raises(ConflictError):
+        again.users.create("bob", "pw", ["read"])
+    assert again.users.roles("ann") == ["read", "readWrite"]
+    again.users.create("bob", "pw", ["read"])
+    for bad in (lambda: c.users.grant("ann", "nothing"), lambda: c.users.roles("eve"), lambda: again.users.create("x", "p", ["nothing"])):
+        with pytest.raises(NotFoundError):
+            bad()
 
 
 def test_prompt_and_settings(tmp_path):
