@@ -46,8 +46,9 @@ FLUSH_SIGNATURES = 1_500_000
 BUCKET_SIGNATURES = 5_000_000
 #: Distinct n-grams a byte of text, about; only sizes the buckets.
 GRAMS_A_BYTE = 0.14
-#: Pairs that a worker holds at once.
+#: Matches that a worker makes at once, and holds at once until they are counted by pair.
 PAIR_CHUNK = 500_000
+HELD_MATCHES = 8_000_000
 #: Pairs verified in one group of documents.
 BLOCK_PAIRS = 100_000
 #: Part of its segments that a set leaves out.
@@ -433,41 +434,52 @@ def _match(plan: Plan):
         first = np.nonzero((key >> U(31) & U(1) == 0) & (left > 0))[0]
         left = left[first]
         cum = np.cumsum(left)
-        # so many passes, each over the pairs of one class, that the pairs of a pass fit in memory
-        classes = max(1, -(-int(cum[-1] if len(cum) else 0) // (32 * PAIR_CHUNK)))
+        # so many passes, each over the matches of one class of pairs, that those of a pass fit in memory
+        classes = max(1, -(-int(cum[-1] if len(cum) else 0) // HELD_MATCHES))
+        kind = (mix(key >> U(1) & mask) % U(classes)).astype(np.int32)
         for c in range(classes):
-            pairs, counts, at = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+            held, at, filled = np.empty(min(int(cum[-1]), HELD_MATCHES) + PAIR_CHUNK if len(cum) else 0, np.uint64), 0, 0
             while at < len(first):
                 done = cum[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(cum, done + PAIR_CHUNK, side="right")))
                 f, n = first[at:to], left[at:to]
-                i = np.repeat(f, n)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                x, y = key[i], key[j]
-                ok = (x & y & U(1)) == 0
-                p, q = x[ok] >> U(1) & mask, y[ok] >> U(1) & mask
-                p, q = np.minimum(p, q), np.maximum(p, q)
-                ok = p != q
+                before = np.cumsum(n) - n
+                j = np.arange(int(n.sum())) + np.repeat(f + 1 - before, n)
                 if classes > 1:
-                    ok &= (p + q) % U(classes) == U(c)
+                    # those of the class before anything else: kinds of the two that add up to it
+                    mine = np.nonzero(kind[j] == np.repeat((c - kind[f]) % classes, n))[0]
+                    i, j = np.repeat(f, np.diff(np.searchsorted(mine, before), append=len(mine))), j[mine]
+                else:
+                    i = np.repeat(f, n)
+                x, y = key[i], key[j]
+                p, q = x >> U(1) & mask, y >> U(1) & mask
+                ok = ((x & y & U(1)) == 0) & (p != q)
                 p, q = p[ok], q[ok]
+                p, q = np.minimum(p, q), np.maximum(p, q)
                 near = self_ok(plan, size, p, q)
-                new, t = np.unique(p[near] << U(32) | q[near], return_counts=True)
-                pairs, counts = np.concatenate([pairs, new]), np.concatenate([counts, t])
+                p, q = p[near], q[near]
+                if filled + len(p) > len(held):
+                    # a class that got more than its share, or a set with very many partners
+                    held = np.concatenate([held[:filled], np.empty(len(p) + HELD_MATCHES // 4, np.uint64)])
+                held[filled : filled + len(p)] = p << U(32) | q
+                filled += len(p)
                 at = to
-                if len(pairs) > 2 * PAIR_CHUNK or at == len(first):
-                    pairs, back = np.unique(pairs, return_inverse=True)
-                    counts = np.bincount(back, weights=counts, minlength=len(pairs)).astype(np.int64)
-            p, q, t = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64), counts
-            need = plan.needed(size[p], size[q])
-            # the part of it that some bucket has, and some part of that bucket; where the latter
-            # is 1, all matches are passed on and summed, to the bucket's part at least
-            some = -(-need // plan.dealt[plan.band(np.minimum(size[p], size[q]))])
-            least = -(-some // parts)
-            ok = t >= least
-            p, q, t, need = p[ok], q[ok], t[ok], np.where(least > 1, 1, np.where(some > 1, np.where(parts > 1, some, 1), need))[ok]
-            a, b = every[p].astype(np.int64), every[q].astype(np.int64)
-            yield from rows(np.minimum(a, b), np.maximum(a, b), need, t)
+            held = held[:filled]
+            held.sort()
+            edge = np.nonzero(np.concatenate([[True], held[1:] != held[:-1]]))[0] if filled else np.empty(0, np.int64)
+            for at in range(0, len(edge), PAIR_CHUNK):
+                mine = edge[at : at + PAIR_CHUNK]
+                t = np.diff(mine, append=edge[at + PAIR_CHUNK] if at + PAIR_CHUNK < len(edge) else filled)
+                p, q = (held[mine] >> U(32)).astype(np.int64), (held[mine] & U(0xFFFFFFFF)).astype(np.int64)
+                need = plan.needed(size[p], size[q])
+                # the part of it that some bucket has, and some part of that bucket; where the latter
+                # is 1, all matches are passed on and summed, to the bucket's part at least
+                some = -(-need // plan.dealt[plan.band(np.minimum(size[p], size[q]))])
+                least = -(-some // parts)
+                ok = t >= least
+                p, q, t, need = p[ok], q[ok], t[ok], np.where(least > 1, 1, np.where(some > 1, np.where(parts > 1, some, 1), need))[ok]
+                a, b = every[p].astype(np.int64), every[q].astype(np.int64)
+                yield from rows(np.minimum(a, b), np.maximum(a, b), need, t)
 
     return run
 

@@ -199,6 +199,7 @@ def test_join_finds_every_pair(spark, seed, threshold, n, monkeypatch):
         monkeypatch.setattr(ngram_join, "FLUSH_SIGNATURES", 5000)
         monkeypatch.setattr(ngram_join.Plan.lay_out, "__defaults__", (300,))
         monkeypatch.setattr(ngram_join, "PAIR_CHUNK", 500)
+        monkeypatch.setattr(ngram_join, "HELD_MATCHES", 2000)
         monkeypatch.setattr(ngram_join, "BLOCK_PAIRS", 10)
     if seed == 5:  # buckets matched in parts
         monkeypatch.setattr(ngram_join, "MATCH_SIGNATURES", 900)
