@@ -51,6 +51,8 @@ PAIR_CHUNK = 500_000
 HELD_MATCHES = 8_000_000
 #: Pairs verified in one group of documents.
 BLOCK_PAIRS = 100_000
+#: Sets of which a task remembers what connects them; beyond so many it starts anew.
+FOREST_SETS = 200_000
 #: Part of its segments that a set leaves out.
 SKIP = 0.08
 #: Signatures that a worker matches at once; a bucket of more is matched in parts, by signature.
@@ -613,12 +615,37 @@ def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: Fraction = TH
     return across.unionByName(within)
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets less those whose two sets are connected by pairs before them in the same task."""
+    parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def root(v: tuple[int, int]) -> tuple[int, int]:
+        parent.setdefault(v, v)
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    for batch in batches:
+        a, a_check, b, b_check = (c.to_pylist() for c in batch.columns)
+        kept = []
+        for i, (u, v) in enumerate(zip(zip(a, a_check), zip(b, b_check))):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[u] = v
+                kept.append(i)
+        yield batch.take(pa.array(kept, pa.int64()))
+        if len(parent) > FOREST_SETS:
+            parent.clear()
+
+
 def _grouped(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets (unit, check, low, n), labels (v, root)): each set's least id and number of ids, and the group of each least id.
 
     Groups are found among sets, of which each goes by its least id, so that copies add no
-    edges. Sets that share an id belong together, as the id is one document.
+    edges; of the pairs that a task reads only a spanning forest is shuffled. Sets that share an
+    id belong together, as the id is one document.
     """
+    pairs = map_arrow(pairs.select("a", "a_check", "b", "b_check"), _forest, "a bigint, a_check bigint, b bigint, b_check bigint")
     sets, _ = written(members.groupBy("unit", "check").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "sets")
     near = pairs.join(_side(sets, "a", "low"), ["a", "a_check"]).join(_side(sets, "b", "low"), ["b", "b_check"]).select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))
     # an id of several texts is in several sets; most tables have none

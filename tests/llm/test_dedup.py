@@ -212,6 +212,27 @@ def test_join_finds_every_pair(spark, seed, threshold, n, monkeypatch):
         assert abs(r["jaccard"] - len(a & b) / len(a | b)) < 1e-12
 
 
+@pytest.mark.parametrize("limit", [40, 1000])
+def test_a_forest_connects_what_its_pairs_do(limit, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FOREST_SETS", limit)
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), 0, rng.randrange(60), rng.randrange(2)) for _ in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges[i : i + 50])], names=["a", "a_check", "b", "b_check"]) for i in range(0, 300, 50)]
+    kept = [tuple(r.values()) for b in ngram_join._forest(iter(batches)) for r in b.to_pylist()]
+
+    def groups(rows):
+        of = {}
+        for a, ac, b, bc in rows:
+            both = of.get((a, ac), {(a, ac)}) | of.get((b, bc), {(b, bc)})
+            of |= dict.fromkeys(both, both)
+        return {frozenset(g) for g in of.values() if len(g) > 1}
+
+    assert groups(kept) == groups(edges)
+    assert set(kept) <= set(edges)
+    if limit == 1000:
+        assert len(kept) == sum(len(g) - 1 for g in groups(edges))
+
+
 def test_the_guaranteed_matches_hold():
     """Pairs at the threshold meet in as many segments as the plan says, whatever is left out."""
     r = np.random.default_rng(5)
