@@ -4,19 +4,31 @@ A document is the set of its hashed word n-grams; all documents of one set are o
 once. Sets are put in bands of sizes within a factor of the threshold. For a band, at most H
 n-grams differ between any two sets that reach the threshold, the smaller being in the band.
 The n-gram universe is hashed into m segments, and two sets whose segments all differ by more
-than k n-grams differ by at least m * (k + 1). So at least m - H // (k + 1) of a pair's
-segments differ by at most k, where k is 0 (the segments' subsets are equal) or 1 (one is the
-other less an element: a subset meets a one-deletion neighbour). m and k are chosen for each
-band by cost; each set also leaves out its e least selective segments, which costs 2e of the
-guaranteed matches and is paid for by a larger m. Pairs with as many matches as their sizes
-demand are then verified on the whole sets.
-
-A band's segments are dealt to G buckets, so that some bucket has a G-th part of the matches a
-pair needs; pairs with fewer are dropped where they are found. Where a single segment overfills
-a bucket it is split by signature, and the parts' matches are summed.
+than one n-gram differ by at least 2m. So with m > H / 2 some segments of a pair differ by at
+most one: the segments' subsets are equal, or one is the other less an element, and a subset
+meets a one-deletion neighbour.
+
+Segments of one n-gram or none match by chance and aren't signed. A match that is lost this way
+has both subsets that small, or differs by one n-gram exactly, so that sets which leave out x
+and y segments lose (x + y) / 2 of their guaranteed matches. Each set may leave out as many as
+m, its size and its partners' sizes allow; one with more of them leaves out none, and counts
+what its partners leave out in full.
+
+A band's segments are dealt to groups of about ``GROUP`` segments, and each set has for each
+group the parity of its n-grams there in 128 bits. In some group of a pair that reaches the
+threshold d n-grams differ, with d below twice the group's segments less those left out: else
+they would sum up to more than H. Such a group holds a match, and at most d bits of the parities
+differ. So a pair is passed on by each group where it has a match and so few different bits, and
+chance matches go where they are found: what is passed on doesn't grow with the square of the
+corpus. Where a group overfills a bucket it is split by signature. Pairs that were passed on are
+then verified on the whole sets.
+
+Bands are matched in rounds of about equal volume, up to ``ROUNDS`` for large tables, and each
+round's shuffle files are deleted at its end, so that only a round's signatures are on disk at
+once.
 
 Signatures travel in packed binary blocks, one a batch and bucket, so that the shuffle carries
-under five bytes a signature and no row a signature. When verifying, 64 bits stand for an n-gram
+about four bytes a signature and no row a signature. When verifying, 64 bits stand for an n-gram
 and two independent 64-bit sums for a set: two sets of 20,000 n-grams have a clash between them
 with a chance of 2e-11, and among 10^10 different sets two are taken for one with a chance of
 2e-19. Candidates go by the first sum alone; where two sets share that, each is verified.
@@ -46,17 +58,24 @@ FLUSH_SIGNATURES = 1_500_000
 BUCKET_SIGNATURES = 5_000_000
 #: Distinct n-grams a byte of text, about; only sizes the buckets.
 GRAMS_A_BYTE = 0.14
-#: Matches that a worker makes at once, and holds at once until they are counted by pair.
+#: Matches that a worker makes at once, and pairs that it holds at once until repeated ones are dropped.
 PAIR_CHUNK = 500_000
-HELD_MATCHES = 8_000_000
+HELD_MATCHES = 4_000_000
 #: Pairs verified in one group of documents.
 BLOCK_PAIRS = 100_000
 #: Sets of which a task remembers what connects them; beyond so many it starts anew.
 FOREST_SETS = 200_000
-#: Part of its segments that a set leaves out.
-SKIP = 0.08
+#: Segments of a group, about, and groups of a band at most.
+GROUP, GROUPS = 20, 1024
+#: Rounds at most, and buckets that a round has at least, about.
+ROUNDS, ROUND_BUCKETS = 4, 6
+#: Bits of a signature.
+SIGNATURE = np.uint64((1 << 26) - 1)
 #: Signatures that a worker matches at once; a bucket of more is matched in parts, by signature.
-MATCH_SIGNATURES = 20_000_000
+MATCH_SIGNATURES = 8_000_000
+#: Times the usual signatures that a bucket of one group may have before the group is split; it
+#: is matched in parts, as each set's row comes again in each bucket.
+WIDE = 3
 
 U = np.uint64
 _WORD = np.array([1 if c >= 128 or chr(c).isalnum() else 0 for c in range(256)], np.int8)
@@ -130,27 +149,41 @@ CHECK = 0xA0761D6478BD642F
 
 
 class Plan:
-    """Bands of set sizes and each band's segments, for a threshold and a number of documents."""
+    """Bands of set sizes, each band's segments and groups of segments, for a threshold; they don't depend on the number of documents.
+
+    Groups are numbered through all bands: those of band i are ``group[i]`` to
+    ``group[i] + dealt[i] - 1``, and segment j is in the (j mod ``dealt[i]``)-th of them.
+    """
 
     def __init__(self, threshold: Fraction, documents: int):
         t = self.threshold = Fraction(threshold)
-        self.lo, self.hi, self.m, self.k, self.e = [], [], [], [], []
+        self.lo, self.hi, self.m = [], [], []
         lo = 1
         while lo < 1 << 31:
             hi = max(lo, int(lo / t))
-            h = self.differences(hi, int(hi / t))
-            m, k, e = self.allocate(h, (lo + hi) / 2, documents)
-            for a, v in ((self.lo, lo), (self.hi, hi), (self.m, m), (self.k, k), (self.e, e)):
+            for a, v in ((self.lo, lo), (self.hi, hi), (self.m, self.segments(hi))):
                 a.append(v)
             lo = hi + 1
-        for a in ("lo", "hi", "m", "k", "e"):
+        for a in ("lo", "hi", "m"):
             setattr(self, a, np.array(getattr(self, a), np.int64))
+        self.dealt = np.clip(self.m // GROUP, 1, GROUPS)
+        self.group = np.cumsum(self.dealt) - self.dealt
+        self.of = np.repeat(np.arange(len(self.m)), self.dealt)
+        at = np.arange(len(self.of)) - self.group[self.of]
+        #: segments of each group
+        self.holds = (self.m[self.of] - at + self.dealt[self.of] - 1) // self.dealt[self.of]
+
+    def segments(self, hi: int) -> int:
+        """Segments of the band up to ``hi``: what its largest pairs need, and some more, so that few sets leave out too many."""
+        m = int(hi / self.threshold) * (self.threshold.denominator - self.threshold.numerator) / (self.threshold.denominator + self.threshold.numerator)
+        return int(np.ceil(m + 0.5 + 0.025 * m + 3 * np.sqrt(0.025 * m)))
 
     def lay_out(self, lengths: list[tuple[float, int]], limit: int = BUCKET_SIGNATURES) -> int:
-        """Deal the bands' segments to buckets of about ``limit`` signatures; returns the number of buckets.
+        """Deal the groups to buckets of about ``limit`` signatures, or up to ``WIDE`` times that for one group; returns the number of buckets.
 
-        ``lengths``: (mean bytes, documents) of groups of texts. Sets, for each band, the first
-        bucket, the buckets its segments are dealt to, and the parts a segment is split into.
+        ``lengths``: (mean bytes, documents) of groups of texts. Sets, for each group, its first
+        bucket and first block, and the parts, of a bucket and a block each, that it is split
+        into; and the rounds as (first band, last band, first bucket, buckets).
         """
         volume = np.zeros(len(self.hi))
         for mean, docs in lengths:
@@ -158,66 +191,74 @@ class Plan:
             b = int(self.band(np.array([n]))[0])
             for i in (b, b - 1):
                 if i >= 0:
-                    volume[i] += docs * (self.m[i] + n * self.k[i])
-        self.start, self.dealt, self.split = (np.ones(len(volume), np.int64) for _ in range(3))
-        at = filled = 0
+                    volume[i] += docs * (self.m[i] + n)
+        self.start, self.split = (np.ones(len(self.of), np.int64) for _ in range(2))
+        count = min(ROUNDS, max(1, int(volume.sum() // (limit * ROUND_BUCKETS))))
+        self.rounds = []
+        at = filled = first = band = 0
+        done = 0.0
         for i, v in enumerate(volume):
-            if v <= limit:
-                if filled + v > limit:
-                    at, filled = at + 1, 0
-                filled += v
-                self.start[i] = at
-            else:
-                at += filled > 0
-                self.start[i] = at
-                self.dealt[i] = min(self.m[i], -(-v // limit))
-                self.split[i] = max(1, -(-v // (self.dealt[i] * limit)))
-                at, filled = at + self.dealt[i] * self.split[i], 0
-        return int(at + 1)
+            v /= self.dealt[i]
+            for g in range(self.group[i], self.group[i] + self.dealt[i]):
+                if v <= limit:
+                    if filled + v > limit:
+                        at, filled = at + 1, 0
+                    filled += v
+                    self.start[g] = at
+                else:
+                    at += filled > 0
+                    self.start[g] = at
+                    self.split[g] = -(-v // (WIDE * limit))
+                    at, filled = at + self.split[g], 0
+            done += volume[i]
+            last = i + 1 == len(volume)
+            if last or len(self.rounds) + 1 < count and done >= volume.sum() / count * (len(self.rounds) + 1) and done < volume.sum():
+                at, filled = at + (filled > 0 or at == first), 0
+                self.rounds.append((band, i, int(first), int(at - first)))
+                first, band = at, i + 1
+        self.block = np.cumsum(self.split) - self.split
+        return int(at)
 
     def differences(self, a, b):
         """n-grams that differ, at most, between sets of sizes a and b that reach the threshold."""
         t = self.threshold
         return (a + b) * (t.denominator - t.numerator) // (t.denominator + t.numerator)
 
-    @staticmethod
-    def allocate(h: int, size: float, documents: int) -> tuple[int, int, int]:
-        """(segments, deletions, segments left out) of least cost: signatures made, plus false matches expected.
-
-        Unrelated sets are taken to share a twentieth of their n-grams, and a document to meet
-        a sixteenth of the others in its band.
-        """
-        best = None
-        for k in (0, 1):
-            need = h // (k + 1) + 1
-            for part in (0.0, SKIP / 2, SKIP):
-                e = round(need * part / (1 - 2 * part))
-                if part and not e:
-                    continue
-                m = need + 2 * e
-                x = 2 * size / m * 0.95
-                p = np.exp(-x) if k == 0 else np.exp(-x) * (1 + x)
-                p *= 1 - min(0.9, e / m / max(np.exp(-size / m), 1e-9))
-                cost = (m - e) + (size * (1 - e / m) if k else 0) + documents / 32 * m * p
-                if best is None or cost < best[0]:
-                    best = cost, m, k, e
-        return best[1:]
-
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.hi, sizes, side="left")
 
+    def spare(self, sizes: np.ndarray, band: np.ndarray, probe: bool) -> np.ndarray:
+        """Segments that a set may leave out, so that a pair keeps a match; below 0 for one that may leave out none.
+
+        With d differences, and x and y segments left out, d + x + y is to be below 2m, whatever
+        the partner; and d + 2x, where the partner leaves out none.
+        """
+        t, m = self.threshold, self.m[band]
+        rest = (t.denominator - t.numerator) * sizes
+        alone = (2 * m - 1) * (t.denominator + t.numerator) - 2 * rest
+        other = self.hi[band] if probe else sizes * t.denominator // t.numerator
+        return np.minimum(alone // (2 * (t.denominator + t.numerator)), (2 * m - 1 - self.differences(sizes, other)) // 2)
+
     def needed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Matches that a pair of these sizes has at least, if it reaches the threshold."""
-        i = self.band(np.minimum(a, b))
-        return self.m[i] - 2 * self.e[i] - self.differences(a, b) // (self.k[i] + 1)
+        """Matches that a pair of these sizes has at least, if it reaches the threshold, whatever its sets leave out."""
+        small, large = np.minimum(a, b), np.maximum(a, b)
+        i = self.band(small)
+        probe = self.band(large) > i
+        x = np.maximum(self.spare(small, i, False), 0)
+        y = np.maximum(np.where(probe, self.spare(large, i, True), self.spare(large, i, False)), 0)
+        d = self.differences(a, b)
+        return self.m[i] - np.maximum(d + x + y, d + 2 * np.maximum(x, y)) // 2
 
 
-def signatures(plan: Plan, grams: np.ndarray, per: np.ndarray, weight: np.ndarray):
-    """(signature, bucket, set, deletion?, prober?) arrays of sets in a row.
+def signatures(plan: Plan, grams: np.ndarray, per: np.ndarray, weight: np.ndarray | None = None, bands: tuple[int, int] | None = None, rows: list | None = None):
+    """(signature, row, set, deletion?, prober?) arrays of sets in a row.
 
     A set has signatures in its own band, and as a prober in the band below if that may hold a
-    partner. ``weight`` is each n-gram's rarity, which decides what segments are left out.
+    partner; of these in ``bands`` only, if given. A row is a set's part in a group; ``rows``
+    gets (set, group, segments left out there, 255 for a set that leaves out none as it has too
+    many, parities) arrays of the rows. ``weight`` is not used any more.
     """
+    numbered = 0
     for probe in (False, True):
         band = plan.band(np.maximum(per, 1)) - probe
         use = per > 0
@@ -225,61 +266,65 @@ def signatures(plan: Plan, grams: np.ndarray, per: np.ndarray, weight: np.ndarra
             t = plan.threshold
             least = -(-per * t.numerator // t.denominator)
             use &= (band >= 0) & (least <= plan.hi[np.maximum(band, 0)])
+        if bands is not None:
+            use &= (band >= bands[0]) & (band <= bands[1])
         band = np.maximum(band, 0)
         sets = np.nonzero(use)[0]
         if not len(sets):
             continue
-        g, w = (grams, weight) if len(sets) == len(per) else (x[np.repeat(use, per)] for x in (grams, weight))
+        g = grams if len(sets) == len(per) else grams[np.repeat(use, per)]
         size, b = per[sets], band[sets]
-        m, k, e = plan.m[b], plan.k[b], plan.e[b]
+        m, dealt = plan.m[b], plan.dealt[b]
         base = np.cumsum(m) - m
         total = int(m.sum())
         own = np.repeat(np.arange(len(sets)), m)
         seg = np.arange(total) - base[own]
+        row0 = np.cumsum(dealt) - dealt
+        row = row0[own] + seg % dealt[own]
+        count = int(dealt.sum())
         salt = mix((b[own].astype(np.uint64) << U(34)) + seg.astype(np.uint64) + U(1))
         hashed = mix(g + U(0x632BE59BD9B4E019))
         of = np.repeat(np.arange(len(sets)), size)
         slot = base[of] + ((hashed >> U(33)).astype(np.int64) * m[of] >> 31)
         sums = np.zeros(total, np.uint64)
         np.add.at(sums, slot, hashed)
-        rare = np.bincount(slot, weights=w, minlength=total)
-        top = np.zeros(total)
-        np.maximum.at(top, slot, w)
-        score = rare - np.where(k[own] > 0, top, 0)
-        order = np.argsort(own + score / (score.max() + 1.0) * 0.999, kind="stable")
-        rank = np.empty(total, np.int64)
-        rank[order] = np.arange(total)
-        keep = rank - base[own] >= e[own]
-        at = np.nonzero(keep)[0]
-        first, parts = plan.start[b][own] + seg % plan.dealt[b][own] * plan.split[b][own], plan.split[b][own]
-
-        def placed(sig, slots):
-            return first[slots] + ((sig >> U(40)).astype(np.int64) * parts[slots] >> 24)
-
-        sig = mix(sums[at] + salt[at])
-        yield sig, placed(sig, at), sets[own[at]], False, probe
-        drop = keep[slot] & (k[of] > 0)
+        few = np.bincount(slot, minlength=total) <= 1
+        over = np.bincount(own, few, len(sets)) > plan.spare(size, b, probe)
+        few &= ~over[own]
+        at = np.nonzero(~few)[0]
+        if rows is not None:
+            of_row = np.repeat(np.arange(len(sets)), dealt)
+            left = np.where(over[of_row], 255, np.bincount(row, few, count)).astype(np.uint8)
+            odd = np.bincount(row[slot] << 7 | (hashed & U(127)).astype(np.int64), minlength=count << 7) & 1
+            maps = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(count, 2)
+            rows.append((sets[of_row], plan.group[b][of_row] + np.arange(count) - row0[of_row], left, maps))
+        yield mix(sums[at] + salt[at]), row[at] + numbered, sets[own[at]], False, probe
+        drop = ~few[slot]
         s = slot[drop]
-        sig = mix(sums[s] - hashed[drop] + salt[s])
-        yield sig, placed(sig, s), sets[of[drop]], True, probe
+        yield mix(sums[s] - hashed[drop] + salt[s]), row[s] + numbered, sets[of[drop]], True, probe
+        numbered += count
 
 
 _HEAD = np.dtype([("kind", "<u4"), ("docs", "<u4"), ("entries", "<u4"), ("jumps", "<u4")])
 
 
-def pack(sig: np.ndarray, who: np.ndarray, units: np.ndarray, sizes: np.ndarray) -> bytes:
-    """Signatures of one bucket: 32 bits each, sorted, and 16 bits for their set and flags.
+def pack(sig: np.ndarray, who: np.ndarray, units: np.ndarray, sizes: np.ndarray, left: np.ndarray | None = None, maps: np.ndarray | None = None, group: int = 0) -> bytes:
+    """Signatures of one group and bucket: sorted, and 16 bits each for their set and flags.
 
     ``who``: local set << 2 | deletion << 1 | prober, below 2**16. The upper halves of the
     signatures go as differences of a byte, which compress, with the few larger ones apart.
+    ``left`` and ``maps`` are what each set leaves out, and its parities.
     """
     order = np.argsort(sig)
     sig, who = sig[order], who[order]
     ids, local = np.unique(who >> 2, return_inverse=True)
     step = np.diff(sig >> np.uint32(16), prepend=np.uint32(0))
     jumps = step[step > 254]
-    head = np.array([(0, len(ids), len(sig), len(jumps))], _HEAD)
-    parts = (units[ids].astype("<u8"), sizes[ids].astype("<u4"), jumps.astype("<u4"), np.minimum(step, 255).astype(np.uint8), sig.astype("<u2"), (local.astype(np.uint16) << 2 | (who & 3).astype(np.uint16)).astype("<u2"))
+    head = np.array([(group << 1, len(ids), len(sig), len(jumps))], _HEAD)
+    who = local.astype(np.uint16) << 2 | (who & 3).astype(np.uint16)
+    parts = (units[ids].astype("<u8"), sizes[ids].astype("<u4"), jumps.astype("<u4"), np.minimum(step, 255).astype(np.uint8), sig.astype("<u2"), (who & 255).astype(np.uint8), (who >> 8).astype(np.uint8))
+    if left is not None:
+        parts += (left[ids], maps[ids].astype("<u8"))
     return zstandard.compress(b"".join([head.tobytes(), *(x.tobytes() for x in parts)]), 1)
 
 
@@ -288,7 +333,12 @@ def pack_members(units: np.ndarray, ids: np.ndarray, checks: np.ndarray) -> byte
 
 
 def unpack(blob: bytes):
-    """(kind, units, sizes, signatures, local set and flags), or (1, units, ids, checks, None)."""
+    """(kind, units, sizes, signatures, local set and flags), or (1, units, ids, checks, None); the kind of signatures is twice their group."""
+    return _unpack(blob)[:5]
+
+
+def _unpack(blob: bytes):
+    """As ``unpack``, and what the sets leave out, and their parities."""
     blob = zstandard.decompress(blob)
     kind, docs, n, jumps = (int(x) for x in np.frombuffer(blob, _HEAD, 1)[0])
     at = _HEAD.itemsize
@@ -301,43 +351,55 @@ def unpack(blob: bytes):
 
     units = take("<u8", docs)
     if kind == 1:
-        return kind, units, take("<i8", docs), take("<u8", docs), None
+        return kind, units, take("<i8", docs), take("<u8", docs), None, None, None
     sizes, big, step = take("<u4", docs), take("<u4", jumps), take("u1", n).astype(np.uint32)
     step[step == 255] = big
-    return kind, units, sizes, np.cumsum(step, dtype=np.uint32) << np.uint32(16) | take("<u2", n), take("<u2", n)
+    sig = np.cumsum(step, dtype=np.uint32) << np.uint32(16) | take("<u2", n)
+    who = take("u1", n) | take("u1", n).astype(np.uint16) << np.uint16(8)
+    extra = (take("u1", docs), take("<u8", 2 * docs).reshape(docs, 2)) if at < len(blob) else (None, None)
+    return kind, units, sizes, sig, who, *extra
 
 
-def _sign(plan: Plan, buckets: int, n: int):
-    """Texts to (bucket, block) rows."""
+def _sign(plan: Plan, turn: int, n: int):
+    """Texts to (bucket, block) rows of one round; members go with the first."""
+    low, high, start, buckets = plan.rounds[turn]
 
     def flush(got: list[tuple]) -> Iterator[pa.RecordBatch]:
         grams, per, ids = (np.concatenate(x) for x in zip(*got))
-        units, checks = unit_ids(grams, per), unit_ids(grams, per, CHECK)
+        units = unit_ids(grams, per)
         # sets that occur twice in the batch are signed once
         _, first = np.unique(units, return_index=True)
         once = np.zeros(len(units), bool)
         once[first] = True
         once &= per > 0
         g, p, u = grams[np.repeat(once, per)], per[once], units[once]
-        rows = []
-        if len(p):
-            _, inverse, df = np.unique(g, return_inverse=True, return_counts=True)
-            weight = np.log2((len(p) + 1) / df)[inverse]
-            parts = [(s.astype(np.uint32), at.astype(np.uint32), d.astype(np.uint32) << np.uint32(2) | np.uint32(2 * dele + probe)) for s, at, d, dele, probe in signatures(plan, g, p, weight)]
-            sig, bucket, who = (np.concatenate(x) for x in zip(*parts))
-            del parts, inverse, weight
-            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable") if buckets > 1 else np.arange(len(sig))
-            sig, who = sig[order], who[order]
-            edge = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-            for i in np.nonzero(np.diff(edge))[0]:
-                rows.append((int(i), pack(sig[edge[i] : edge[i + 1]], who[edge[i] : edge[i + 1]], u, p)))
-        named = per > 0
-        home = (units[named] >> U(32)) * U(buckets) >> U(32)
-        for i in np.unique(home):
-            mine = np.nonzero(named)[0][home == i]
-            rows.append((int(i), pack_members(units[mine], ids[mine], checks[mine])))
-        for at in range(0, len(rows), 16):
-            b, data = zip(*rows[at : at + 16])
+        out = []
+        parts, rows = [], []
+        for s, row, _, dele, probe in signatures(plan, g, p, bands=(low, high), rows=rows):
+            parts.append(((s & SIGNATURE).astype(np.uint32), (s >> U(40)).astype(np.uint32), row.astype(np.uint32), np.full(len(s), 2 * dele + probe, np.uint8)))
+        if parts:
+            of, group, left, maps = (np.concatenate(x) for x in zip(*rows))
+            sig, part, row, flags = (np.concatenate(x) for x in zip(*parts))
+            del parts, rows
+            part = part.astype(np.int64) * plan.split[group][row] >> 24
+            block = plan.block[group][row] + part
+            order = np.argsort(block, kind="stable")
+            edge = np.concatenate([[0], np.nonzero(np.diff(block[order]))[0] + 1, [len(order)]])
+            for a, b in zip(edge[:-1], edge[1:]):
+                mine = order[a:b]
+                here, local = np.unique(row[mine], return_inverse=True)
+                k = int(group[here[0]])
+                who = local.astype(np.uint32) << np.uint32(2) | flags[mine]
+                out.append((int(plan.start[k] + part[mine[0]] - start), pack(sig[mine], who, u[of[here]], p[of[here]], left[here], maps[here], k)))
+        if not turn:
+            checks = unit_ids(grams, per, CHECK)
+            named = per > 0
+            home = (units[named] >> U(32)) * U(buckets) >> U(32)
+            for i in np.unique(home):
+                mine = np.nonzero(named)[0][home == i]
+                out.append((int(i), pack_members(units[mine], ids[mine], checks[mine])))
+        for at in range(0, len(out), 16):
+            b, data = zip(*out[at : at + 16])
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,20 +408,25 @@ def _sign(plan: Plan, buckets: int, n: int):
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 grams, per = gram_sets(b.column(1), n)
-                got.append((grams, per, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+                ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                if turn:
+                    band = plan.band(np.maximum(per, 1))
+                    mine = (per > 0) & (band >= low) & (band <= high + 1)
+                    grams, per, ids = grams[np.repeat(mine, per)], per[mine], ids[mine]
+                got.append((grams, per, ids))
                 size += 2.5 * len(grams)
                 docs += len(per)
                 if size >= FLUSH_SIGNATURES or docs >= 1 << 13:
                     yield from flush(got)
                     got, size, docs = [], 0, 0
-        if got:
+        if docs:
             yield from flush(got)
 
     return run
 
 
 def _match(plan: Plan):
-    """Blocks of a bucket to (a, b, need, t): matches of unit a with unit b; members come as (unit, id, -1, check)."""
+    """Blocks of a bucket to (a, b, need, t): pairs of units a and b, with 0 and 0; members come as (unit, id, -1, check)."""
 
     def rows(a, b, need, t):
         cols = [pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(need.astype(np.int32)), pa.array(t.astype(np.int64))]
@@ -368,25 +435,24 @@ def _match(plan: Plan):
             yield whole.slice(at, 1 << 18)
 
     def gathered(blobs: list[bytes], part: int, parts: int):
-        """(keys, units, sizes): the signatures of one part of their range, with their sets numbered."""
-        keys, units, sizes, base = [], [], [], 0
+        """(keys, units, sizes, groups, left out, parities): the signatures of one part of their range, with their sets numbered."""
+        keys, sets, base = [], [], 0
         for i, blob in enumerate(blobs):
             if part + 1 == parts:
                 blobs[i] = b""
-            _, u, s, sig, who = unpack(blob)
+            kind, u, s, sig, who, left, maps = _unpack(blob)
             if parts > 1:
-                mine = (sig.astype(np.uint64) * U(parts) >> U(32)).astype(np.int64) == part
+                mine = ((sig & np.uint32(SIGNATURE)).astype(np.uint64) * U(parts) // (SIGNATURE + U(1))).astype(np.int64) == part
                 sig, (ids, local), flags = sig[mine], np.unique(who[mine] >> 2, return_inverse=True), who[mine] & 3
-                u, s, who = u[ids], s[ids], local.astype(np.uint64) << U(2) | flags
+                u, s, left, maps, who = u[ids], s[ids], left[ids], maps[ids], local.astype(np.uint64) << U(2) | flags
             # signature, deletion, set, prober: subsets come before deletions in a group
             key = sig.astype(np.uint64) << U(32)
             key |= (who.astype(np.uint64) >> U(1) & U(1)) << U(31) | (who & 1)
             key |= ((who >> 2).astype(np.uint64) + U(base)) << U(1)
             keys.append(key)
-            units.append(u)
-            sizes.append(s)
+            sets.append((u, s, np.full(len(u), kind >> 1, np.int32), left, maps))
             base += len(u)
-        return np.concatenate(keys), np.concatenate(units), np.concatenate(sizes)
+        return np.concatenate(keys), *(np.concatenate(x) for x in zip(*sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, entries, sets = [], 0, 0
@@ -404,16 +470,18 @@ def _match(plan: Plan):
         while blobs and sets > parts * (1 << 29) and parts < 1 << 16:
             parts *= 2
         for part in range(parts if blobs else 0):
-            yield from matched(*gathered(blobs, part, parts), parts)
-
-    def matched(key: np.ndarray, units: np.ndarray, sizes: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-        every, inverse = np.unique(units, return_inverse=True)
-        size = np.zeros(len(every), np.int64)
-        size[inverse] = sizes
+            yield from matched(*gathered(blobs, part, parts))
+
+    def matched(key: np.ndarray, units: np.ndarray, sizes: np.ndarray, groups: np.ndarray, left_out: np.ndarray, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, at, inverse = np.unique(units ^ mix(groups.astype(np.uint64)), return_index=True, return_inverse=True)
+        every, size, group, maps = units[at], sizes[at].astype(np.int64), groups[at], maps[at]
+        # segments left out, and how often those of a partner count
+        whole = left_out[at] == 255
+        left_out, counts, most = np.where(whole, 0, left_out[at]).astype(np.int64), whole + 1, 2 * plan.holds[group] - 1
         # sets are numbered by block so far; one that came in several blocks gets one number
         mask = U((1 << 30) - 1)
         to = inverse.astype(np.uint64) << U(1)
-        del units, sizes, inverse
+        del units, sizes, groups, inverse
         trim()
         for at in range(0, len(key), 1 << 20):
             part = key[at : at + (1 << 20)]
@@ -436,52 +504,35 @@ def _match(plan: Plan):
         first = np.nonzero((key >> U(31) & U(1) == 0) & (left > 0))[0]
         left = left[first]
         cum = np.cumsum(left)
-        # so many passes, each over the matches of one class of pairs, that those of a pass fit in memory
-        classes = max(1, -(-int(cum[-1] if len(cum) else 0) // HELD_MATCHES))
-        kind = (mix(key >> U(1) & mask) % U(classes)).astype(np.int32)
-        for c in range(classes):
-            held, at, filled = np.empty(min(int(cum[-1]), HELD_MATCHES) + PAIR_CHUNK if len(cum) else 0, np.uint64), 0, 0
-            while at < len(first):
-                done = cum[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(cum, done + PAIR_CHUNK, side="right")))
-                f, n = first[at:to], left[at:to]
-                before = np.cumsum(n) - n
-                j = np.arange(int(n.sum())) + np.repeat(f + 1 - before, n)
-                if classes > 1:
-                    # those of the class before anything else: kinds of the two that add up to it
-                    mine = np.nonzero(kind[j] == np.repeat((c - kind[f]) % classes, n))[0]
-                    i, j = np.repeat(f, np.diff(np.searchsorted(mine, before), append=len(mine))), j[mine]
-                else:
-                    i = np.repeat(f, n)
-                x, y = key[i], key[j]
-                p, q = x >> U(1) & mask, y >> U(1) & mask
-                ok = ((x & y & U(1)) == 0) & (p != q)
-                p, q = p[ok], q[ok]
-                p, q = np.minimum(p, q), np.maximum(p, q)
-                near = self_ok(plan, size, p, q)
-                p, q = p[near], q[near]
-                if filled + len(p) > len(held):
-                    # a class that got more than its share, or a set with very many partners
-                    held = np.concatenate([held[:filled], np.empty(len(p) + HELD_MATCHES // 4, np.uint64)])
-                held[filled : filled + len(p)] = p << U(32) | q
-                filled += len(p)
-                at = to
-            held = held[:filled]
-            held.sort()
-            edge = np.nonzero(np.concatenate([[True], held[1:] != held[:-1]]))[0] if filled else np.empty(0, np.int64)
-            for at in range(0, len(edge), PAIR_CHUNK):
-                mine = edge[at : at + PAIR_CHUNK]
-                t = np.diff(mine, append=edge[at + PAIR_CHUNK] if at + PAIR_CHUNK < len(edge) else filled)
-                p, q = (held[mine] >> U(32)).astype(np.int64), (held[mine] & U(0xFFFFFFFF)).astype(np.int64)
-                need = plan.needed(size[p], size[q])
-                # the part of it that some bucket has, and some part of that bucket; where the latter
-                # is 1, all matches are passed on and summed, to the bucket's part at least
-                some = -(-need // plan.dealt[plan.band(np.minimum(size[p], size[q]))])
-                least = -(-some // parts)
-                ok = t >= least
-                p, q, t, need = p[ok], q[ok], t[ok], np.where(least > 1, 1, np.where(some > 1, np.where(parts > 1, some, 1), need))[ok]
-                a, b = every[p].astype(np.int64), every[q].astype(np.int64)
-                yield from rows(np.minimum(a, b), np.maximum(a, b), need, t)
+        held, filled, at = [], 0, 0
+        while at < len(first):
+            done = cum[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(cum, done + PAIR_CHUNK, side="right")))
+            f, n = first[at:to], left[at:to]
+            before = np.cumsum(n) - n
+            x, y = key[np.repeat(f, n)], key[np.arange(int(n.sum())) + np.repeat(f + 1 - before, n)]
+            at = to
+            p, q = (x >> U(1) & mask).astype(np.int64), (y >> U(1) & mask).astype(np.int64)
+            ok = ((x & y & U(1)) == 0) & (group[p] == group[q]) & (p != q)
+            p, q = p[ok], q[ok]
+            near = self_ok(plan, size, p, q)
+            p, q = p[near], q[near]
+            bits = np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1, dtype=np.int64)
+            near = bits <= most[p] - left_out[p] * counts[q] - left_out[q] * counts[p]
+            p, q = p[near], q[near]
+            held.append(np.unique(np.minimum(p, q) << 32 | np.maximum(p, q)))
+            filled += len(held[-1])
+            if filled > HELD_MATCHES or at >= len(first):
+                pairs = np.unique(np.concatenate(held))
+                if at < len(first) and len(pairs) <= HELD_MATCHES // 2:
+                    held, filled = [pairs], len(pairs)
+                    continue
+                held, filled = [], 0
+                for i in range(0, len(pairs), PAIR_CHUNK):
+                    p, q = pairs[i : i + PAIR_CHUNK] >> 32, pairs[i : i + PAIR_CHUNK] & 0xFFFFFFFF
+                    a, b = every[p].astype(np.int64), every[q].astype(np.int64)
+                    none = np.zeros(len(p), np.int64)
+                    yield from rows(np.minimum(a, b), np.maximum(a, b), none, none)
 
     return run
 
@@ -499,12 +550,21 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(i.alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
 
-def candidates(docs: DataFrame, plan: Plan, buckets: int, n: int = NGRAM) -> DataFrame:
-    """(a, b, need, t) of every pair of units with enough matches, and (unit, id, -1, check) of every document; written once."""
-    signed = map_arrow(spread(docs), _sign(plan, buckets, n), "bucket int, block binary").repartitionById(buckets, "bucket")
-    rows = map_arrow(signed, _match(plan), "a bigint, b bigint, need int, t bigint")
-    total = F.coalesce(F.sum(F.when(F.col("need") >= 0, F.col("t"))), F.max(F.when(F.col("need") < 0, F.col("t"))))
-    return rows.groupBy("a", "b", "need").agg(total.alias("t")).where("need < 0 OR t >= need")
+def candidates(docs: DataFrame, plan: Plan, n: int = NGRAM) -> DataFrame:
+    """(a, b, need, t): pairs of units that some group passes on, with 0 and 0, and (unit, id, -1, check) of every document.
+
+    Each round is written by itself, and its shuffle files are deleted at its end. Bands of
+    different rounds have no pair in common, so no row comes twice.
+    """
+    out = None
+    for turn, (low, _, _, buckets) in enumerate(plan.rounds):
+        # a text of w words has 2w - 1 bytes at least, and no more n-grams than words
+        texts = docs.where(F.octet_length("text") >= int(2 * plan.lo[low] - 1)) if turn else docs
+        signed = map_arrow(spread(texts), _sign(plan, turn, n), "bucket int, block binary").repartitionById(buckets, "bucket")
+        rows = map_arrow(signed, _match(plan), "a bigint, b bigint, need int, t bigint").distinct()
+        found, _ = written(rows, "candidates")
+        out = found if out is None else out.union(found)
+    return out
 
 
 def _packed_sets(n: int):
@@ -564,8 +624,8 @@ def unit_pairs(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD,
     by = d.select(F.octet_length("text").alias("n")).groupBy(F.floor(F.log2(F.col("n") + 1) * 4).alias("g"))
     lengths = [(r["mean"], r["docs"]) for r in by.agg(F.avg("n").alias("mean"), F.count(F.lit(1)).alias("docs")).collect()]
     plan = Plan(threshold, sum(c for _, c in lengths))
-    buckets = plan.lay_out(lengths)
-    found, _ = written(candidates(d, plan, buckets, n), "candidates")
+    plan.lay_out(lengths)
+    found = candidates(d, plan, n)
     pairs = found.where("need >= 0").select("a", "b")
     members = found.where("need < 0").select(F.col("a").alias("unit"), F.col("t").alias("check"), F.col("b").alias("id"))
 

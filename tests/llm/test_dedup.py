@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 from fractions import Fraction
 from itertools import combinations
@@ -258,6 +259,86 @@ def test_the_guaranteed_matches_hold():
             assert t >= need >= 1, (documents, s, l, t, need)
 
 
+def passed_on(plan, texts, n=1):
+    """(unit of each text, pairs of units that a bucket passes on, as often as one does)."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    buckets, pairs, units = defaultdict(list), [], [0] * len(texts)
+    for turn in range(len(plan.rounds)):
+        for out in ngram_join._sign(plan, turn, n)(iter([batch])):
+            for bucket, block in zip(*out.to_pydict().values()):
+                buckets[turn, bucket].append(block)
+    for blocks in buckets.values():
+        for out in ngram_join._match(plan)(iter([pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())] * 2, names=["bucket", "block"])])):
+            for r in out.to_pylist():
+                if r["need"] < 0:
+                    units[r["b"]] = r["a"]
+                else:
+                    pairs.append((r["a"], r["b"]))
+    return units, pairs
+
+
+@pytest.mark.parametrize(("limit", "wide"), [(10**6, 3), (2000, 1)])
+def test_some_group_passes_on_every_pair(limit, wide, monkeypatch):
+    """Pairs just at the threshold, whatever their sizes, and whether or not their groups are split."""
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
+    monkeypatch.setattr(ngram_join, "ROUND_BUCKETS", 1)
+    rng = random.Random(7)
+    texts = []
+    for i in range(700):
+        s = rng.choice([rng.randint(1, 40), rng.randint(20, 600), rng.randint(600, 2000)])
+        l = rng.randint(s, s * 10 // 7)  # noqa: E741
+        inter = -(-7 * (s + l) // 17)
+        if inter <= s and (s, l) != (inter, inter):
+            pool = [f"w{i}x{j}" for j in range(s + l - inter)]
+            texts += [" ".join(pool[:s]), " ".join(pool[:inter] + pool[s:])]
+    plan = Plan(Fraction(7, 10), len(texts))
+    plan.lay_out([(float(len(t)), 1) for t in texts], limit)
+    assert (len(plan.rounds) > 1 and plan.split.max() > 1) == (limit == 2000)
+    units, pairs = passed_on(plan, texts)
+    assert len(texts) > 1000
+    assert {tuple(sorted(units[i : i + 2])) for i in range(0, len(texts), 2)} <= set(pairs)
+
+
+def test_chance_matches_are_not_passed_on():
+    """Unrelated texts meet in small segments; over many buckets all such matches were once passed on and summed."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(rng.random() ** 3 * 20_000)}" for _ in range(300)) for _ in range(600)]
+    plan = Plan(Fraction(7, 10), len(texts))
+    assert plan.lay_out([(2000.0, len(texts))], 1000) > 100
+    _, pairs = passed_on(plan, texts, 2)
+    assert len(pairs) < 20
+
+
+def test_rounds_find_every_pair_and_keep_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join.Plan.lay_out, "__defaults__", (2000,))
+    monkeypatch.setattr(ngram_join, "ROUND_BUCKETS", 1)
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return sum(disk.getAllFiles().apply(i).getName().startswith("shuffle_") for i in range(disk.getAllFiles().size()))
+
+    real, left, parts = ngram_join.written, [], []
+
+    def written(table, name):
+        before = shuffled()
+        out = real(table, name)
+        for _ in range(50):
+            if shuffled() <= before:
+                break
+            time.sleep(0.1)
+        left.append(shuffled() - before)
+        parts.append(name)
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    out = ngram_join.ngram_jaccard_join(df).collect()
+    assert pairs_of(out) == brute_pairs(rows)
+    assert parts.count("candidates") > 1
+    assert max(left) <= 0
+
+
 def test_packing():
     r = np.random.default_rng(1)
     for n in (1, 5, 70_000):
