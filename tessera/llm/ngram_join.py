@@ -65,6 +65,9 @@ HELD_MATCHES = 4_000_000
 BLOCK_PAIRS = 100_000
 #: Sets of which a task remembers what connects them; beyond so many it starts anew.
 FOREST_SETS = 200_000
+#: Sets of a group within which no more pairs are sought, at least, and such sets at most; the
+#: pairs of those beyond are sought like others.
+LARGE, KNOWN_SETS = 64, 1_000_000
 #: Segments of a group, about, and groups of a band at most.
 GROUP, GROUPS = 20, 1024
 #: Rounds at most, and buckets that a round has at least, about.
@@ -425,8 +428,12 @@ def _sign(plan: Plan, turn: int, n: int):
     return run
 
 
-def _match(plan: Plan):
-    """Blocks of a bucket to (a, b, need, t): pairs of units a and b, with 0 and 0; members come as (unit, id, -1, check)."""
+def _match(plan: Plan, star: bool = False, known: tuple[np.ndarray, np.ndarray] | None = None):
+    """Blocks of a bucket to (a, b, need, t): pairs of units a and b, with 0 and 0; members come as (unit, id, -1, check).
+
+    With ``star``, the sets of a signature are paired with the first and the next of them only.
+    With ``known``, (sorted units, group of each), pairs within a group are left out.
+    """
 
     def rows(a, b, need, t):
         cols = [pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(need.astype(np.int32)), pa.array(t.astype(np.int64))]
@@ -474,6 +481,16 @@ def _match(plan: Plan):
 
     def matched(key: np.ndarray, units: np.ndarray, sizes: np.ndarray, groups: np.ndarray, left_out: np.ndarray, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, at, inverse = np.unique(units ^ mix(groups.astype(np.uint64)), return_index=True, return_inverse=True)
+        label = np.zeros(len(at), np.int64)
+        if known is not None and len(known[0]):
+            place = np.minimum(np.searchsorted(known[0], units[at]), len(known[0]) - 1)
+            label = np.where(known[0][place] == units[at], known[1][place] + 1, 0)
+        if star or known is not None:
+            # in the same order in every group, and those of one label together
+            order = np.lexsort((units[at], label))
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            at, label, inverse = at[order], label[order], rank[inverse]
         every, size, group, maps = units[at], sizes[at].astype(np.int64), groups[at], maps[at]
         # segments left out, and how often those of a partner count
         whole = left_out[at] == 255
@@ -502,7 +519,19 @@ def _match(plan: Plan):
         length = np.diff(np.append(head, len(key)))
         left = np.repeat(head + length, length) - np.arange(len(key)) - 1
         first = np.nonzero((key >> U(31) & U(1) == 0) & (left > 0))[0]
-        left = left[first]
+        left, after = left[first], first + 1
+        if star:
+            left = np.where(np.isin(first, head, assume_unique=True), left, 1)
+        elif known is not None:
+            # partners are the later subsets of other labels, and the deletions below and above the own label
+            own = np.where(label == 0, np.arange(len(label)), np.searchsorted(label, label)).astype(np.uint64)
+            of = key & ~(mask << U(1) | U(1)) | own[(key >> U(1) & mask).astype(np.int64)] << U(1)
+            mine = of[first] | U(1 << 31)
+            edges = [np.searchsorted(of, of[first], "right"), np.searchsorted(of, mine >> U(31) << U(31)), np.searchsorted(of, mine), np.searchsorted(of, mine, "right"), after + left]
+            after = np.concatenate([edges[0], edges[1], edges[3]])
+            left = np.concatenate([edges[1] - edges[0], edges[2] - edges[1], edges[4] - edges[3]])
+            first = np.tile(first, 3)[left > 0]
+            after, left = after[left > 0], left[left > 0]
         cum = np.cumsum(left)
         held, filled, at = [], 0, 0
         while at < len(first):
@@ -510,7 +539,7 @@ def _match(plan: Plan):
             to = max(at + 1, int(np.searchsorted(cum, done + PAIR_CHUNK, side="right")))
             f, n = first[at:to], left[at:to]
             before = np.cumsum(n) - n
-            x, y = key[np.repeat(f, n)], key[np.arange(int(n.sum())) + np.repeat(f + 1 - before, n)]
+            x, y = key[np.repeat(f, n)], key[np.arange(int(n.sum())) + np.repeat(after[at:to] - before, n)]
             at = to
             p, q = (x >> U(1) & mask).astype(np.int64), (y >> U(1) & mask).astype(np.int64)
             ok = ((x & y & U(1)) == 0) & (group[p] == group[q]) & (p != q)
@@ -550,7 +579,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(i.alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
 
-def candidates(docs: DataFrame, plan: Plan, n: int = NGRAM) -> DataFrame:
+def candidates(docs: DataFrame, plan: Plan, n: int = NGRAM, star: bool = False, known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(a, b, need, t): pairs of units that some group passes on, with 0 and 0, and (unit, id, -1, check) of every document.
 
     Each round is written by itself, and its shuffle files are deleted at its end. Bands of
@@ -561,7 +590,7 @@ def candidates(docs: DataFrame, plan: Plan, n: int = NGRAM) -> DataFrame:
         # a text of w words has 2w - 1 bytes at least, and no more n-grams than words
         texts = docs.where(F.octet_length("text") >= int(2 * plan.lo[low] - 1)) if turn else docs
         signed = map_arrow(spread(texts), _sign(plan, turn, n), "bucket int, block binary").repartitionById(buckets, "bucket")
-        rows = map_arrow(signed, _match(plan), "a bigint, b bigint, need int, t bigint").distinct()
+        rows = map_arrow(signed, _match(plan, star, known), "a bigint, b bigint, need int, t bigint").distinct()
         found, _ = written(rows, "candidates")
         out = found if out is None else out.union(found)
     return out
@@ -615,17 +644,18 @@ def _verify(threshold: Fraction):
     return run
 
 
-def unit_pairs(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def unit_pairs(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", star: bool = False, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, a_check, b, b_check, jaccard) of sets, members (unit, check, id)); both written in the shared folder.
 
-    A set goes by its two sums; every (unit, check, id) is there once.
+    A set goes by its two sums; every (unit, check, id) is there once. ``star`` and ``known``
+    leave out pairs as in ``_match``.
     """
     d = _documents(docs, id_col, text_col)
     by = d.select(F.octet_length("text").alias("n")).groupBy(F.floor(F.log2(F.col("n") + 1) * 4).alias("g"))
     lengths = [(r["mean"], r["docs"]) for r in by.agg(F.avg("n").alias("mean"), F.count(F.lit(1)).alias("docs")).collect()]
     plan = Plan(threshold, sum(c for _, c in lengths))
     plan.lay_out(lengths)
-    found = candidates(d, plan, n)
+    found = candidates(d, plan, n, star, known)
     pairs = found.where("need >= 0").select("a", "b")
     members = found.where("need < 0").select(F.col("a").alias("unit"), F.col("t").alias("check"), F.col("b").alias("id"))
 
@@ -756,15 +786,41 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _large_groups(sets: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted units, least id of each one's group) of groups of ``LARGE`` sets or more; of the largest, where that is more than ``KNOWN_SETS``."""
+    of = sets.join(labels, sets["low"] == labels["v"]).select("unit", "root")
+    counts = of.groupBy("root").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LARGE)
+    least, total = None, 0
+    for r in sorted(counts.groupBy("k").agg(F.sum("k").alias("sets")).collect(), reverse=True):
+        total += r["sets"]
+        if total > KNOWN_SETS:
+            break
+        least = r["k"]
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    # a sum that two sets share says nothing of either
+    once = sets.groupBy("unit").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("unit")
+    got = of.join(counts.where(F.col("k") >= least).select("root"), "root").join(once, "unit").select("unit", "root").toArrow()
+    units = got.column("unit").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(units)
+    return units[order], np.unique(got.column("root").to_numpy(), return_inverse=True)[1][order].astype(np.int64)
+
+
 def drop_near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less all but one document of each group connected by pairs of ``ngram_jaccard_join``.
 
     The least id of a group stays. Rows of one id are one document and stay or go together;
     rows without a whole-number id, of a null text or of a text without words stay. All columns
     are kept, whatever their names; an empty table stays empty.
+
+    Pairs within a large group grow with the square of its sets, and only tell what some of them
+    tell. So groups are first found by pairs in stars, and then all pairs but those within the
+    large groups found so far are sought, so that no link between groups is missed.
     """
-    pairs, members = unit_pairs(docs, n, threshold, id_col, text_col)
-    sets, labels = _grouped(pairs, members)
+    pairs, members = unit_pairs(docs, n, threshold, id_col, text_col, star=True)
+    known = _large_groups(*_grouped(pairs, members))
+    more, _ = unit_pairs(docs, n, threshold, id_col, text_col, known=known)
+    sets, labels = _grouped(pairs.unionByName(more), members)
     roots = sets.join(labels, sets["low"] == labels["v"], "left").select("unit", "check", F.coalesce("root", "low").alias("root"), "n", "low")
     # only sets of copies, and sets whose group has a lesser id, have anything to drop
     roots, size = written(roots.where("n > 1 OR root <> low"), "roots")

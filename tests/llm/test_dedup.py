@@ -387,3 +387,18 @@ def test_near_stage_keeps_rows_without_id_or_text(nasty):
     assert kept.columns == nasty.columns
     assert kept.where("doc_id IS NULL").count() == nasty.where("doc_id IS NULL").count()
     assert kept.where("text IS NULL OR text IN ('', '...!!')").count() == nasty.where("text IS NULL OR text IN ('', '...!!')").count()
+
+
+def test_pairs_within_a_large_group_are_not_all_sought(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 5)
+    r = random.Random(5)
+    words = [f"w{r.randint(0, 600)}" for _ in range(150)]
+    rows = corpus(7, 60)
+    rows += [(1000 + i, " ".join(mutated(r, words, 0.01 if i < 150 else 0.14, words))) for i in range(190)]
+    seen, grouped = [], ngram_join._grouped
+    monkeypatch.setattr(ngram_join, "_grouped", lambda pairs, members: (seen.append(pairs.count()), grouped(pairs, members))[1])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {x["doc_id"] for x in ngram_join.drop_near_duplicates(df).collect()}
+    classes = brute_classes(rows)
+    assert kept == {i for i, _ in rows if classes.get(i, (i,))[0] == i}
+    assert max(seen) < len(brute_pairs(rows)) / 2
