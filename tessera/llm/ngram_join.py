@@ -68,6 +68,10 @@ FOREST_SETS = 200_000
 #: Sets of a group within which no more pairs are sought, at least, and such sets at most; the
 #: pairs of those beyond are sought like others.
 LARGE, KNOWN_SETS = 64, 1_000_000
+#: Entries of one signature up to which all its pairs are sought at once, when links are counted.
+CROWD = 64
+#: Sets and bytes of text, about, of a block of a large group; a task compares two blocks.
+CROSS_SETS, CROSS_BYTES = 2048, 16 << 20
 #: Segments of a group, about, and groups of a band at most.
 GROUP, GROUPS = 20, 1024
 #: Rounds at most, and buckets that a round has at least, about.
@@ -428,10 +432,12 @@ def _sign(plan: Plan, turn: int, n: int):
     return run
 
 
-def _match(plan: Plan, star: bool = False, known: tuple[np.ndarray, np.ndarray] | None = None):
+def _match(plan: Plan, star: bool = False, known: tuple[np.ndarray, np.ndarray] | None = None, crowd: int | None = None):
     """Blocks of a bucket to (a, b, need, t): pairs of units a and b, with 0 and 0; members come as (unit, id, -1, check).
 
     With ``star``, the sets of a signature are paired with the first and the next of them only.
+    With ``crowd``, so are those of a signature of more than so many entries, of which the first
+    is paired with subsets only, and with one deletion; all these sets come as (unit, 0, -2, 0).
     With ``known``, (sorted units, group of each), pairs within a group are left out.
     """
 
@@ -485,7 +491,7 @@ def _match(plan: Plan, star: bool = False, known: tuple[np.ndarray, np.ndarray]
         if known is not None and len(known[0]):
             place = np.minimum(np.searchsorted(known[0], units[at]), len(known[0]) - 1)
             label = np.where(known[0][place] == units[at], known[1][place] + 1, 0)
-        if star or known is not None:
+        if star or crowd or known is not None:
             # in the same order in every group, and those of one label together
             order = np.lexsort((units[at], label))
             rank = np.empty_like(order)
@@ -522,6 +528,15 @@ def _match(plan: Plan, star: bool = False, known: tuple[np.ndarray, np.ndarray]
         left, after = left[first], first + 1
         if star:
             left = np.where(np.isin(first, head, assume_unique=True), left, 1)
+        elif crowd:
+            size_of, subsets = np.repeat(length, length)[first], np.repeat(np.add.reduceat((key >> U(31) & U(1) == 0).astype(np.int64), head), length)
+            fewer = size_of > crowd
+            if fewer.any():
+                crowded = np.unique((key[np.repeat((length > crowd) & (subsets[head] > 0), length)] >> U(1) & mask).astype(np.int64))
+                units = np.unique(every[crowded]).astype(np.int64)
+                none = np.zeros(len(units), np.int64)
+                yield from rows(units, none, none - 2, none)
+                left = np.where(~fewer, left, np.where(np.isin(first, head, assume_unique=True), np.minimum(left, subsets[first]), 1))
         elif known is not None:
             # partners are the later subsets of other labels, and the deletions below and above the own label
             own = np.where(label == 0, np.arange(len(label)), np.searchsorted(label, label)).astype(np.uint64)
@@ -579,9 +594,11 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(i.alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
 
-def candidates(docs: DataFrame, plan: Plan, n: int = NGRAM, star: bool = False, known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def candidates(docs: DataFrame, plan: Plan, n: int = NGRAM, star: bool = False, known: tuple[np.ndarray, np.ndarray] | None = None, crowd: int | None = None) -> DataFrame:
     """(a, b, need, t): pairs of units that some group passes on, with 0 and 0, and (unit, id, -1, check) of every document.
 
+    With ``crowd``, also (unit, 0, -2, 0) of sets that ``_match`` left pairs of out.
+
     Each round is written by itself, and its shuffle files are deleted at its end. Bands of
     different rounds have no pair in common, so no row comes twice.
     """
@@ -590,7 +607,7 @@ def candidates(docs: DataFrame, plan: Plan, n: int = NGRAM, star: bool = False,
         # a text of w words has 2w - 1 bytes at least, and no more n-grams than words
         texts = docs.where(F.octet_length("text") >= int(2 * plan.lo[low] - 1)) if turn else docs
         signed = map_arrow(spread(texts), _sign(plan, turn, n), "bucket int, block binary").repartitionById(buckets, "bucket")
-        rows = map_arrow(signed, _match(plan, star, known), "a bigint, b bigint, need int, t bigint").distinct()
+        rows = map_arrow(signed, _match(plan, star, known, crowd), "a bigint, b bigint, need int, t bigint").distinct()
         found, _ = written(rows, "candidates")
         out = found if out is None else out.union(found)
     return out
@@ -650,14 +667,19 @@ def unit_pairs(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD,
     A set goes by its two sums; every (unit, check, id) is there once. ``star`` and ``known``
     leave out pairs as in ``_match``.
     """
-    d = _documents(docs, id_col, text_col)
+    return _unit_pairs(_documents(docs, id_col, text_col), n, threshold, star, known)[:2]
+
+
+def _unit_pairs(d: DataFrame, n: int, threshold: Fraction, star: bool = False, known: tuple[np.ndarray, np.ndarray] | None = None, crowd: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``unit_pairs`` of (id, text) rows, and the units (unit) of sets that ``crowd`` left pairs of out."""
     by = d.select(F.octet_length("text").alias("n")).groupBy(F.floor(F.log2(F.col("n") + 1) * 4).alias("g"))
     lengths = [(r["mean"], r["docs"]) for r in by.agg(F.avg("n").alias("mean"), F.count(F.lit(1)).alias("docs")).collect()]
     plan = Plan(threshold, sum(c for _, c in lengths))
     plan.lay_out(lengths)
-    found = candidates(d, plan, n, star, known)
+    found = candidates(d, plan, n, star, known, crowd)
     pairs = found.where("need >= 0").select("a", "b")
-    members = found.where("need < 0").select(F.col("a").alias("unit"), F.col("t").alias("check"), F.col("b").alias("id"))
+    members = found.where("need = -1").select(F.col("a").alias("unit"), F.col("t").alias("check"), F.col("b").alias("id"))
+    left_out = found.where("need = -2").select(F.col("a").alias("unit")).distinct()
 
     # A pair is verified in the block of its first unit's least neighbour, so that sets of a
     # cluster travel once; a block of many pairs is cut by the first unit.
@@ -677,7 +699,7 @@ def unit_pairs(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD,
     rows = sets.union(placed.select("block", "a", "b", none.alias("check"), F.lit(None).cast("binary").alias("grams")))
     rows = rows.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first())
     done, _ = written(map_arrow(rows, _verify(Fraction(threshold)), "a bigint, a_check bigint, b bigint, b_check bigint, jaccard double"), "pairs")
-    return done, members
+    return done, members, left_out
 
 
 def _side(sets: DataFrame, of: str, *cols: str) -> DataFrame:
@@ -754,12 +776,36 @@ def near_duplicate_classes(docs: DataFrame, n: int = NGRAM, threshold: Fraction
     once. An id of several texts has the links of them all, summed, and groups them. Ids that
     aren't whole numbers, null texts and texts without words are in no row; an empty table gives
     none; other columns are ignored.
+
+    The pairs of a large group grow with the square of its sets, so they are counted and none is
+    written: where many sets share a signature few of its pairs are sought at first, which find
+    the large groups; then all other pairs of those sets are, but for pairs within one of these
+    groups, whose sets are compared with each other by blocks (``_links_within``).
     """
-    pairs, members = unit_pairs(docs, n, threshold, id_col, text_col)
+    d = _documents(docs, id_col, text_col)
+    pairs, members, crowded = _unit_pairs(d, n, threshold, crowd=CROWD)
+    within = None
+    if crowded.limit(1).count():
+        sets, labels = _grouped(pairs, members)
+        large, arrays = _large_groups(sets, labels)
+        ids = members.join(crowded, "unit").groupBy("unit", "check").agg(F.min("id").alias("id")).select("id").distinct()
+        ids, size = written(ids, "crowded")
+        more, _, _ = _unit_pairs(d.join(small(ids, size), "id", "left_semi"), n, threshold, known=arrays)
+        pairs = pairs.union(more).distinct()
+        if large is not None:
+            sets, _ = written(sets, "sets")
+            within = _links_within(d, large, sets, n, Fraction(threshold))
     sets, labels = _grouped(pairs, members)
+    if within is not None:
+        # pairs within a large group connect it, and are counted with all the others there
+        for side in ("a", "b"):
+            pairs = pairs.join(large.select(F.col("unit").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+        pairs = pairs.where("a_root IS NULL OR b_root IS NULL OR a_root <> b_root").drop("a_root", "b_root")
     flipped = pairs.select(F.col("b").alias("a"), F.col("b_check").alias("a_check"), F.col("a").alias("b"), F.col("a_check").alias("b_check"))
     both = pairs.drop("jaccard").unionByName(flipped)
     links = both.join(_side(sets, "b", "n"), ["b", "b_check"]).groupBy(F.col("a").alias("unit"), F.col("a_check").alias("check")).agg(F.sum("b_n").alias("links"))
+    if within is not None:
+        links = links.unionByName(within).groupBy("unit", "check").agg(F.sum("links").alias("links"))
     per = sets.join(links, ["unit", "check"], "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("n") - 1).where("links > 0")
     per = per.join(labels, per["low"] == labels["v"], "left").select("unit", "check", F.coalesce("root", "low").alias("class_id"), "links")
     per, size = written(per, "linked")
@@ -786,8 +832,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _large_groups(sets: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted units, least id of each one's group) of groups of ``LARGE`` sets or more; of the largest, where that is more than ``KNOWN_SETS``."""
+def _large_groups(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, tuple[np.ndarray, np.ndarray]]:
+    """Written (unit, root) of groups of ``LARGE`` sets or more, None without any, and (sorted units, group of each); of the largest, where that is more than ``KNOWN_SETS``."""
     of = sets.join(labels, sets["low"] == labels["v"]).select("unit", "root")
     counts = of.groupBy("root").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LARGE)
     least, total = None, 0
@@ -797,13 +843,129 @@ def _large_groups(sets: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nd
             break
         least = r["k"]
     if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return None, (np.empty(0, np.uint64), np.empty(0, np.int64))
     # a sum that two sets share says nothing of either
     once = sets.groupBy("unit").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("unit")
-    got = of.join(counts.where(F.col("k") >= least).select("root"), "root").join(once, "unit").select("unit", "root").toArrow()
+    large, _ = written(of.join(counts.where(F.col("k") >= least).select("root"), "root").join(once, "unit").select("unit", "root"), "large")
+    got = large.toArrow()
     units = got.column("unit").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(units)
-    return units[order], np.unique(got.column("root").to_numpy(), return_inverse=True)[1][order].astype(np.int64)
+    return large, (units[order], np.unique(got.column("root").to_numpy(), return_inverse=True)[1][order].astype(np.int64))
+
+
+def _block_sets(n: int):
+    """(id, text, unit, check, n, tasks) to (task, side, unit, check, n, grams) rows of the text's own set, one a task and side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                grams, per = gram_sets(b.column(1), n)
+                units, checks = unit_ids(grams, per).astype(np.int64), unit_ids(grams, per, CHECK).astype(np.int64)
+                edge = np.concatenate([[0], np.cumsum(per)])
+                out = []
+                for i, (unit, check, copies, tasks) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 6)))):
+                    if unit == units[i] and check == checks[i]:
+                        data = grams[edge[i] : edge[i + 1]].astype("<u8").tobytes()
+                        out += [(t["task"], t["side"], unit, check, copies, data) for t in tasks]
+                for k in range(0, len(out), 1024):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[k : k + 1024]), (pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary()))], names=["task", "side", "unit", "check", "n", "grams"])
+
+    return run
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of ``a`` shares with each of ``b``: common ones by matrix products, rare ones one by one."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides, found = [], []
+    for x in (a, b):
+        g, who = np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])
+        order = np.argsort(g, kind="stable")
+        sides.append((g[order], who[order]))
+        found.append(np.unique(g[order], return_index=True, return_counts=True))
+    _, i, j = np.intersect1d(found[0][0], found[1][0], assume_unique=True, return_indices=True)
+    (at, k), (to, m) = ((f[1][x], f[2][x]) for f, x in zip(found, (i, j)))
+    common = k * m > max(1, out.size // 128)
+    for lo in range(0, int(common.sum()), 512):
+        cols = np.nonzero(common)[0][lo : lo + 512]
+        dense = []
+        for (_, who), start, count in ((sides[0], at, k), (sides[1], to, m)):
+            c = np.repeat(np.arange(len(cols)), count[cols])
+            place = np.arange(len(c)) - np.repeat(np.cumsum(count[cols]) - count[cols], count[cols]) + np.repeat(start[cols], count[cols])
+            d = np.zeros((len(a) if start is at else len(b), len(cols)), np.float32)
+            d[who[place], c] = 1
+            dense.append(d)
+        out += dense[0] @ dense[1].T
+    rare = np.nonzero(~common)[0]
+    product_ = np.cumsum(k[rare] * m[rare])
+    lo = 0
+    while lo < len(rare):
+        hi = max(lo + 1, int(np.searchsorted(product_, (product_[lo - 1] if lo else 0) + PAIR_CHUNK, side="right")))
+        c = rare[lo:hi]
+        lo = hi
+        size = k[c] * m[c]
+        of = np.repeat(np.arange(len(c)), size)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        p, q = sides[0][1][at[c][of] + place // m[c][of]], sides[1][1][to[c][of] + place % m[c][of]]
+        cell, times = np.unique(p * len(b) + q, return_counts=True)
+        out.reshape(-1)[cell] += times
+    return out
+
+
+def _count_within(threshold: Fraction):
+    """Rows sorted by task and side to (unit, check, links): documents of the other sets of the task that reach the threshold."""
+
+    def links(sets: list[list]) -> Iterator[pa.RecordBatch]:
+        own, left, right = sets
+        for one, other in ((own, own), (left, right)):
+            if not one or not other:
+                continue
+            shared = shared_counts([x[3] for x in one], [x[3] for x in other]).astype(np.int64)
+            a, b = (np.array([len(x[3]) for x in side], np.int64) for side in (one, other))
+            near = shared * (threshold.denominator + threshold.numerator) >= (a[:, None] + b[None]) * threshold.numerator
+            if one is other:
+                np.fill_diagonal(near, False)
+            n, m = (np.array([x[2] for x in side], np.int64) for side in (one, other))
+            for side, got in ((one, near @ m), (other, n @ near)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in side], pa.int64()), pa.array([x[1] for x in side], pa.int64()), pa.array(got, pa.int64())], names=["unit", "check", "links"])
+                if one is other:
+                    break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, last, sets = None, None, [[], [], []]
+        for b in batches:
+            for x, side, unit, check, copies, data in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if x != task:
+                    yield from links(sets)
+                    task, last, sets = x, None, [[], [], []]
+                if (side, unit) != last:  # rows of one id may repeat its text
+                    last = side, unit
+                    sets[side].append((unit, check, copies, np.frombuffer(data, "<u8")))
+        yield from links(sets)
+
+    return run
+
+
+def _links_within(d: DataFrame, large: DataFrame, sets: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """(unit, check, links): of each set of ``large`` (unit, root), the documents of other sets of its group that reach the threshold.
+
+    A group is cut into blocks of about ``CROSS_SETS`` sets or ``CROSS_BYTES`` of text, and a
+    task compares two blocks, so that what it holds doesn't grow with the group.
+    """
+    spark = d.sparkSession
+    of = large.join(sets, "unit").select("unit", "check", "n", "low", "root")
+    bytes_ = d.select(F.col("id").alias("low"), F.octet_length("text").alias("b")).groupBy("low").agg(F.max("b").alias("b"))
+    of, _ = written(of.join(bytes_, "low"), "within")
+    cuts = of.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(CROSS_SETS)), F.ceil(F.sum("b") / F.lit(CROSS_BYTES))).cast("int").alias("cuts"))
+    of = of.join(cuts, "root").withColumn("i", F.pmod(F.xxhash64("unit"), F.col("cuts")).cast("int"))
+    # block i is alone in a task (0), on the left (1) of one with each later block, and on the right (2) of one with each earlier
+    tasks = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.xxhash64("root", F.least("i", j), F.greatest("i", j)).alias("task"), F.when(j == F.col("i"), 0).when(j > F.col("i"), 1).otherwise(2).alias("side")))
+    of, size = written(of.select(F.col("low").alias("id"), "unit", "check", "n", tasks.alias("tasks")), "blocks")
+    texts = d.join(small(of, size), "id").select("id", "text", "unit", "check", "n", "tasks")
+    rows = map_arrow(texts, _block_sets(n), "task bigint, side int, unit bigint, check bigint, n bigint, grams binary")
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism, "task").sortWithinPartitions("task", "side", "unit")
+    done, _ = written(map_arrow(rows, _count_within(threshold), "unit bigint, check bigint, links bigint"), "links")
+    return done
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -818,7 +980,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: Fraction =
     large groups found so far are sought, so that no link between groups is missed.
     """
     pairs, members = unit_pairs(docs, n, threshold, id_col, text_col, star=True)
-    known = _large_groups(*_grouped(pairs, members))
+    _, known = _large_groups(*_grouped(pairs, members))
     more, _ = unit_pairs(docs, n, threshold, id_col, text_col, known=known)
     sets, labels = _grouped(pairs.unionByName(more), members)
     roots = sets.join(labels, sets["low"] == labels["v"], "left").select("unit", "check", F.coalesce("root", "low").alias("root"), "n", "low")

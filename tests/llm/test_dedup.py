@@ -402,3 +402,29 @@ def test_pairs_within_a_large_group_are_not_all_sought(spark, monkeypatch):
     classes = brute_classes(rows)
     assert kept == {i for i, _ in rows if classes.get(i, (i,))[0] == i}
     assert max(seen) < len(brute_pairs(rows)) / 2
+
+
+@pytest.mark.parametrize("block", [40, 2048])
+def test_links_within_a_large_group_are_counted_and_not_written(spark, monkeypatch, block):
+    """Every pair of a cluster was once written and verified by itself, and clusters grow with the table."""
+    for name, value in (("LARGE", 5), ("CROWD", 8), ("CROSS_SETS", block)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(5)
+    words = [f"w{r.randint(0, 600)}" for _ in range(150)]
+    rows = corpus(7, 60)
+    rows += [(1000 + i, " ".join(mutated(r, words, 0.01 if i < 150 else 0.14, words))) for i in range(190)]
+    rows += [(2000 + i, rows[-1 - i // 3][1]) for i in range(9)]
+    sought, real = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: (out := real(df, name), name == "placed" and sought.append(out[0].count()))[0])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngram_join.near_duplicate_classes(df).collect()}
+    assert got == brute_classes(rows)
+    assert len(sought) == 2 and sum(sought) < len(brute_pairs(rows)) / 2
+
+
+def test_shared_counts():
+    r = np.random.default_rng(3)
+    a, b = ([np.unique(r.integers(0, 3000, r.integers(1, 400)) ** 2 // 3000).astype(np.uint64) for _ in range(k)] for k in (70, 40))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert ngram_join.shared_counts(a, b).tolist() == want
+    assert ngram_join.shared_counts(a, a).tolist() == [[len(np.intersect1d(x, y)) for y in a] for x in a]
