@@ -505,3 +505,35 @@ def test_change_feed_resumes(spark, tmp_path):
     e.limit(1).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_a_text_index_shuffles_postings_and_not_words(spark, tmp_path):
+    """Each word's occurrence was once shuffled by itself and sorted, which spilled."""
+    rows = [(i, " ".join(f"Word{(i + k) % 9} naïve-{k % 3} the x {'lying' * (k % 2)}" for k in range(100)), "Übung running tests" if i % 2 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, a string, b string")
+    store = spark._jsc.sc().statusStore()
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    fresh, before = search.TextIndex(df, "doc_id", ["a", "b"], weights={"b": 2.5}), shuffled()
+    stored = search.StoredTextIndex.build(fresh, str(tmp_path / "x"))
+    moved, words = shuffled() - before, fresh.tokens.count()
+    assert moved < words / 4
+    cols = ["doc", "term", "tf", "positions", "wtf"]
+    assert sorted(map(str, stored.postings().select(cols).collect())) == sorted(map(str, fresh.postings().select(cols).collect()))
+    assert stored.meta["avgdl"] == words / len(rows)
+
+
+@pytest.mark.parametrize("analyzer", ["standard", "whitespace", "keyword", "edge_ngram"])
+def test_a_text_index_of_repeated_ids_and_odd_texts(spark, tmp_path, analyzer):
+    odd = ["", None, "...", "a the", "cat Cats cat's", "ÄÖ ß ﬁ İstanbul e\u0301te", "lies 日本語 ing xing", "cat " * 50]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(4, "cat Cats cat's"), (4, "dogs running"), (None, "cat"), (None, "cat"), (None, None)]
+    fresh = search.TextIndex(spark.createDataFrame(rows, "doc_id bigint, a string"), "doc_id", ["a"], analyzer)
+    stored = search.StoredTextIndex.build(fresh, str(tmp_path / "x"))
+    tokens = fresh.docs.select("doc", F.size("tokens").alias("dl"), F.inline_outer("tokens")).where("term IS NOT NULL")
+    want = tokens.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    got = stored.postings().select("doc", "dl", "term", "tf", "positions")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
