@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -507,20 +508,20 @@ def test_change_feed_resumes(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def shuffled(spark):
+    """Records of all shuffles so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 def test_a_text_index_shuffles_postings_and_not_words(spark, tmp_path):
     """Each word's occurrence was once shuffled by itself and sorted, which spilled."""
     rows = [(i, " ".join(f"Word{(i + k) % 9} naïve-{k % 3} the x {'lying' * (k % 2)}" for k in range(100)), "Übung running tests" if i % 2 else None) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, a string, b string")
-    store = spark._jsc.sc().statusStore()
-
-    def shuffled():
-        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
-
-    fresh, before = search.TextIndex(df, "doc_id", ["a", "b"], weights={"b": 2.5}), shuffled()
+    fresh, before = search.TextIndex(df, "doc_id", ["a", "b"], weights={"b": 2.5}), shuffled(spark)
     stored = search.StoredTextIndex.build(fresh, str(tmp_path / "x"))
-    moved, words = shuffled() - before, fresh.tokens.count()
+    moved, words = shuffled(spark) - before, fresh.tokens.count()
     assert moved < words / 4
     cols = ["doc", "term", "tf", "positions", "wtf"]
     assert sorted(map(str, stored.postings().select(cols).collect())) == sorted(map(str, fresh.postings().select(cols).collect()))
@@ -537,3 +538,21 @@ def test_a_text_index_of_repeated_ids_and_odd_texts(spark, tmp_path, analyzer):
     want = tokens.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
     got = stored.postings().select("doc", "dl", "term", "tf", "positions")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot", "manhattan"])
+def test_a_join_of_neighbours_copies_rows_a_few_times_only(spark, monkeypatch, metric):
+    """Each row was once copied for each block of 2048 of the other table. Copies of a vector tie, and go by id."""
+    monkeypatch.setattr(vector_search, "BLOCK_ROWS", 50)
+    r = np.random.default_rng(2)
+    one = np.concatenate([r.normal(size=(499, 24)), np.zeros((1, 24))]).astype(np.float32)
+    x = np.tile(one, (4, 1)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(4)
+    before = shuffled(spark)
+    got = {(q["query_id"], q["vec_id"]) for q in vector_search.knn_join(df, df, 5, metric).collect()}
+    assert shuffled(spark) - before < len(x) * 2 * 20
+    # distances of different vectors, so that copies are at the same
+    d = np.array([[vector_search._pair_distances(a[None].astype(float), b[None].astype(float), metric)[0] for b in one] for a in one])
+    d = np.tile(d, (4, 4))
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, int(j)) for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:5]}
